@@ -60,10 +60,10 @@ SQL_VIEWS = {
              CASE WHEN user_id % 11 = 0 THEN NULL ELSE CAST(user_id % 5 AS DOUBLE) END AS lvdsmid,
              CAST(0.5 AS DOUBLE) AS unit,
              CAST(row_number() OVER (PARTITION BY user_id, event_id // 100000 ORDER BY ts, event_id) - 1 AS BIGINT)
-               AS at, CAST(floor(value) AS INTEGER) AS raw
+               AS pos, CAST(floor(value) AS INTEGER) AS raw
       FROM events""",
     "physical": """
-      SELECT read_id, source_file, at,
+      SELECT read_id, source_file, pos,
              CASE WHEN lvdsmid IS NOT NULL THEN (raw - lvdsmid) * unit
                   ELSE 0.25 * 2.0 * (((raw % 65536) + 65536) % 65536 + 3.0) + 1.5 END AS x
       FROM samples""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigspark.plans import metric_queries  # noqa: F401
+from sigspark.plans import metric_queries, split_queries  # noqa: F401
 from sigspark.plans.registry import ORACLES, QUERIES, Query
 
 
