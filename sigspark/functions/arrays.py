@@ -57,18 +57,3 @@ def softmax(logits: Column) -> Column:
 def argmax(x: Column) -> Column:
     """Position of the largest value, the lowest one on ties."""
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
-
-
-def median_of(sorted_x: Column) -> Column:
-    """Median of an ascending array."""
-    n = F.size(sorted_x)
-    middle = lambda i: F.get(sorted_x, i.cast("int"))
-    return (middle(F.floor((n - 1) / 2)) + middle(F.floor(n / 2))) / 2
-
-
-def quantile_of(sorted_x: Column, q: float) -> Column:
-    """Linearly interpolated quantile of an ascending array."""
-    at = (F.size(sorted_x) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    high = F.ceil(at).cast("int")
-    return F.get(sorted_x, low) + (F.get(sorted_x, high) - F.get(sorted_x, low)) * (at - low)

@@ -323,10 +323,10 @@ c AS (SELECT barcode, count(*) AS files, row_number() OVER (ORDER BY barcode) AS
 q AS MATERIALIZED (SELECT p, barcode, files, {h('left')} % files AS a, {h('step')} % (files - 1) AS s, {h('left')} AS hl, {h('right')} AS hr
       FROM range({n_pairs}) t(p) JOIN c ON class_at = p % (SELECT count(*) FROM c) + 1),
 w AS MATERIALIZED (SELECT p, q.barcode, lf.ccf_file AS lfile, rf.ccf_file AS rfile, hl % lf.reads AS ln, hr % rf.reads AS rn
-  FROM q JOIN f lf ON lf.barcode = q.barcode AND lf.at = a JOIN f rf ON rf.barcode = q.barcode AND rf.at = (a + 1 + s) % files)
-SELECT p AS pair, w.barcode, lfile AS left_file, l.read_id AS left_read, rfile AS right_file, r.read_id AS right_read
-FROM w JOIN n l ON l.barcode = w.barcode AND l.ccf_file = lfile AND l.nth = ln
-JOIN n r ON r.barcode = w.barcode AND r.ccf_file = rfile AND r.nth = rn"""
+  FROM q JOIN f lf ON lf.barcode = q.barcode AND lf.at = a JOIN f rf ON rf.barcode = q.barcode AND rf.at = (a + 1 + s) % files),
+wl AS MATERIALIZED (SELECT w.*, l.read_id AS lread FROM w JOIN n l ON l.barcode = w.barcode AND l.ccf_file = lfile AND l.nth = ln)
+SELECT p AS pair, wl.barcode, lfile AS left_file, lread AS left_read, rfile AS right_file, r.read_id AS right_read
+FROM wl JOIN n r ON r.barcode = wl.barcode AND r.ccf_file = rfile AND r.nth = rn"""
 
 
 @query("cross_file_pairs", sql(["manifest"], _pairs_sql(2000)))
