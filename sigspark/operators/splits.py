@@ -186,7 +186,7 @@ def greedy_order(distances: DataFrame, anchors: tuple[str, str]) -> DataFrame:
         scored = F.transform(
             rest,
             lambda c: F.struct(
-                F.array_min(F.transform(chosen, lambda s: F.element_at(F.col("m"), F.struct(c, s)))).alias("d"),
+                F.array_min(F.transform(chosen, lambda s: F.element_at("m", F.struct(c.alias("src"), s.alias("dst"))))).alias("d"),
                 c.alias("name"),
             ),
         )

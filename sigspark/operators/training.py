@@ -70,10 +70,11 @@ def group_reweight(losses: DataFrame, weights: DataFrame, step: float) -> DataFr
     at 10 000; all weights are renormalised, and ``active_weight`` renormalises once more over the groups with rows.
     """
     means = losses.groupBy("group_id").agg(F.avg("loss").alias("group_loss"))
-    grown = F.least(F.exp(F.lit(step) * F.col("group_loss")), F.lit(1e4))
-    updated = weights.join(means, "group_id", "left").withColumn(
-        "weight", F.col("weight") * F.coalesce(grown, F.lit(1.0))
+    # least() skips NULL, so groups without rows need their own branch
+    growth = F.when(F.col("group_loss").isNull(), 1.0).otherwise(
+        F.least(F.exp(F.lit(step) * F.col("group_loss")), F.lit(1e4))
     )
+    updated = weights.join(means, "group_id", "left").withColumn("weight", F.col("weight") * growth)
     active = F.when(F.col("group_loss").isNotNull(), F.col("weight"))
     # one partial sum per task; no window over all groups
     totals = updated.agg(F.sum("weight").alias("total"), F.sum(active).alias("active_total")).first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigspark.plans import metric_queries, signal_queries, split_queries  # noqa: F401
+from sigspark.plans import bag_queries, metric_queries, run_queries, signal_queries, split_queries  # noqa: F401
 from sigspark.plans.registry import ORACLES, QUERIES, Query
 
 
