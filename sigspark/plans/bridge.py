@@ -119,8 +119,12 @@ def _predicted(correct: str) -> list[str]:
     ]
 
 
+def predictions_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(*_predicted("event_id % 5 <> 0"))
+
+
 def predictions(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
-    rows = table(spark, sf_dir, "events").selectExpr(*_predicted("event_id % 5 <> 0"))
+    rows = predictions_of(table(spark, sf_dir, "events"))
     return rows if split is None else rows.where(F.col("split") == split)
 
 

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from sigspark.plans import bag_queries, metric_queries, run_queries, signal_queries, split_queries  # noqa: F401
+from sigspark.plans import (  # noqa: F401
+    bag_queries,
+    io_queries,
+    metric_queries,
+    run_queries,
+    signal_queries,
+    split_queries,
+)
 from sigspark.plans.registry import ORACLES, QUERIES, Query
 
 
