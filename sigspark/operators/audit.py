@@ -16,8 +16,11 @@ EXAMPLES = 10
 
 @dataclass(frozen=True)
 class AuditResult:
+    """Independent lazy tables: a passing summary never pays for the examples."""
+
     summary: DataFrame
     counts: DataFrame
+    examples: DataFrame
 
 
 def _leaks(split: str) -> Column:
@@ -25,9 +28,9 @@ def _leaks(split: str) -> Column:
     return F.min(split) != F.max(split)
 
 
-def _examples(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    first = rows.select(value.alias("v")).orderBy("v").limit(EXAMPLES)
-    return first.agg(F.array_sort(F.collect_list("v")).alias(name))
+def _examples(rows: DataFrame, value: Column, kind: str) -> DataFrame:
+    first = rows.select(value.alias("example")).orderBy("example").limit(EXAMPLES)
+    return first.select(F.lit(kind).alias("kind"), "example")
 
 
 def audit_manifest(manifest: DataFrame, split: str = "split") -> AuditResult:
@@ -48,9 +51,6 @@ def audit_manifest(manifest: DataFrame, split: str = "split") -> AuditResult:
             flag(F.col("leaks")).alias("read_id_split_leakage"),
         ),
         files.agg(flag(F.col("leaks")).alias("ccf_file_split_leakage")),
-        _examples(reads.where("n > 1"), F.col("read_id"), "duplicate_read_ids"),
-        _examples(reads.where("leaks"), F.col("read_id"), "leaking_read_ids"),
-        _examples(files.where("leaks"), F.concat_ws("/", "barcode", "file"), "leaking_files"),
     ]
     clean = (
         (F.col("duplicate_read_rows") == 0)
@@ -58,7 +58,12 @@ def audit_manifest(manifest: DataFrame, split: str = "split") -> AuditResult:
         & (F.col("ccf_file_split_leakage") == 0)
     )
     summary = merge_rows(parts).withColumn("status", F.when(clean, F.lit("pass")).otherwise(F.lit("fail")))
-    return AuditResult(summary, split_class_counts(manifest, split))
+    examples = (
+        _examples(reads.where("n > 1"), F.col("read_id"), "duplicate_read_ids")
+        .unionByName(_examples(reads.where("leaks"), F.col("read_id"), "read_id_leakage"))
+        .unionByName(_examples(files.where("leaks"), F.concat_ws("/", "barcode", "file"), "ccf_file_leakage"))
+    )
+    return AuditResult(summary, split_class_counts(manifest, split), examples)
 
 
 def split_class_counts(manifest: DataFrame, split: str = "split") -> DataFrame:

@@ -49,21 +49,20 @@ def top_confusions(pred: DataFrame, k: int = 20, keys: Sequence[str] = ()) -> Da
     )
 
 
-def file_diagnostics(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per-file size, accuracy and confidence, next to the range over the files of the key."""
+def file_diagnostics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per-file size, accuracy and confidence, next to the range over the files of the key (a method or a run)."""
     files = pred.groupBy(*keys, "ccf_file").agg(
         F.min("true_label").alias("label"),
         F.count(F.lit(1)).alias("n"),
         F.avg(is_correct().cast("double")).alias("accuracy"),
         F.avg("confidence").alias("mean_confidence"),
     )
-    by_key = Window.partitionBy(*keys)
-    return files.select(
-        "*",
-        F.min("accuracy").over(by_key).alias("min_file_accuracy"),
-        F.max("accuracy").over(by_key).alias("max_file_accuracy"),
-        F.avg("accuracy").over(by_key).alias("mean_file_accuracy"),
+    ranges = files.groupBy(*keys).agg(
+        F.min("accuracy").alias("min_file_accuracy"),
+        F.max("accuracy").alias("max_file_accuracy"),
+        F.avg("accuracy").alias("mean_file_accuracy"),
     )
+    return files.join(ranges, list(keys))
 
 
 def pair_errors(pred: DataFrame, left: int, right: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -78,29 +77,47 @@ def pair_errors(pred: DataFrame, left: int, right: int, keys: Sequence[str] = ()
 def confusable_pairs(pred: DataFrame, classes: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Symmetric errors of every pair of declared classes, also of pairs that were never confused.
 
-    Each cell of the count table tells every pair it belongs to; the table has at most classes^2 rows per key.
+    One pass over the count table: each true class tells its errors to the pairs it erred with and its support to all its
+    pairs, which gives about two rows per pair and key.
     """
     n = len(classes)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("left"), F.lit(j).alias("right"))
-            for i in range(n)
-            for j in range(i + 1, n)
-        ]
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    by_class = confusion_counts(pred, keys).groupBy(*keys, "true_label").agg(
+        F.collect_list(F.struct("predicted_label", "n")).alias("cells"), F.sum("n").alias("support")
+    )
+    found = by_class.groupBy(*keys).agg(F.collect_list(F.struct("true_label", "support", "cells")).alias("found"))
+    absent = F.array_except(every, F.transform("found", lambda r: r["true_label"]))
+    nobody = F.array().cast("array<struct<predicted_label:int,n:bigint>>")
+    zeros = F.transform(
+        absent, lambda i: F.struct(i.alias("true_label"), F.lit(0).cast("long").alias("support"), nobody.alias("cells"))
     )
-    rows = confusion_counts(pred, keys).select(
-        *keys, "true_label", "predicted_label", "n", F.explode(pairs).alias("pair")
+    rows = found.select(*keys, F.explode(F.concat("found", zeros)).alias("r")).select(*keys, "r.*")
+
+    def tell(other: Column, errors: Column, support: Column) -> Column:
+        own = F.col("true_label")
+        return F.struct(
+            F.least(own, other).alias("left"),
+            F.greatest(own, other).alias("right"),
+            errors.alias("errors"),
+            support.alias("support"),
+        )
+
+    nothing = F.lit(0).cast("long")
+    told = F.concat(
+        F.transform("cells", lambda c: tell(c["predicted_label"], c["n"], nothing)),
+        F.transform(every, lambda i: tell(i, nothing, F.col("support"))),
     )
-    in_pair = lambda c: F.col(c).isin(F.col("pair.left"), F.col("pair.right"))
-    wrong = in_pair("true_label") & in_pair("predicted_label") & ~is_correct()
-    counts = rows.groupBy(*keys, "pair").agg(
-        F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("symmetric_errors"),
-        F.sum(F.when(in_pair("true_label"), F.col("n")).otherwise(0)).alias("support"),
+    counts = (
+        rows.select(*keys, F.explode(told).alias("p"))
+        .select(*keys, "p.*")
+        .where(F.col("left") < F.col("right"))
+        .groupBy(*keys, "left", "right")
+        .agg(F.sum("errors").alias("symmetric_errors"), F.sum("support").alias("support"))
     )
     return counts.select(
         *keys,
-        class_name(F.col("pair.left"), classes).alias("left_class"),
-        class_name(F.col("pair.right"), classes).alias("right_class"),
+        class_name(F.col("left"), classes).alias("left_class"),
+        class_name(F.col("right"), classes).alias("right_class"),
         "symmetric_errors",
         ratio(F.col("symmetric_errors"), F.col("support")).alias("symmetric_error_rate"),
     )

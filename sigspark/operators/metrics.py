@@ -6,7 +6,7 @@ The rows are shuffled once, after map-side counting; whatever follows works on a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,53 +42,68 @@ def is_correct() -> Column:
 
 
 def confusion_counts(pred: DataFrame, keys: Sequence[str] = (), accepted: Column | None = None) -> DataFrame:
-    """One row per observed (true, predicted) pair with its count, accepted count and confidence sums."""
+    """One row per observed (true, predicted) pair with its count, accepted count and confidence sum."""
     taken = F.lit(True) if accepted is None else accepted
     return pred.groupBy(*keys, "true_label", "predicted_label").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(taken.cast("long")).alias("n_accepted"),
+        F.sum(taken.cast("long")).alias("accepted"),
         F.sum("confidence").alias("confidence_sum"),
-        F.sum(F.when(taken, F.col("confidence")).otherwise(0.0)).alias("confidence_sum_accepted"),
     )
 
 
-def per_label(counts: DataFrame, n_classes: int | None, keys: Sequence[str] = (), weight: str = "n") -> DataFrame:
-    """Support, predicted and true-positive counts of every label.
+def per_label(
+    counts: DataFrame,
+    n_classes: int | None,
+    keys: Sequence[str] = (),
+    weights: Sequence[str] = ("n",),
+    carry: Mapping[str, Callable[[str], Column]] | None = None,
+) -> DataFrame:
+    """Support, predicted and true-positive counts with precision, recall and F1 of every label.
 
     With ``n_classes`` every declared label appears, also with zero counts, and ``declared`` marks it; without it the
-    domain is what was observed as true or predicted label.
+    domain is what was observed as true or predicted label. Several ``weights`` (all rows, accepted rows) are counted
+    side by side; columns of every further weight end in its name. ``carry`` aggregates more columns of ``counts`` by true
+    label. Everything follows from one pass over ``counts``.
     """
-    hit = is_correct().cast("long") * F.col(weight)
+    carry = dict(carry or {})
+    suffixes = ["" if i == 0 else f"_{w}" for i, w in enumerate(weights)]
     zero = F.lit(0).cast("long")
+    measures = [f"{m}{x}" for x in suffixes for m in ("support", "predicted", "true_positive")]
 
-    def part(label: Column, support: Column, predicted: Column, true_positive: Column) -> Column:
-        return F.struct(
-            label.cast("int").alias("label"),
-            support.alias("support"),
-            predicted.alias("predicted"),
-            true_positive.alias("true_positive"),
-        )
+    def part(label: Column, values: Sequence[Column], carried: Sequence[Column]) -> Column:
+        fields = [v.cast("long").alias(m) for m, v in zip(measures, values)]
+        return F.struct(label.cast("int").alias("label"), *fields, *[c.alias(n) for n, c in zip(carry, carried)])
 
+    hit = is_correct().cast("long")
+    as_true = [v for w in weights for v in (F.col(w), zero, hit * F.col(w))]
+    as_predicted = [v for w in weights for v in (zero, F.col(w), zero)]
+    types = dict(counts.dtypes)
+    nothing = [F.lit(None).cast(types[c]) for c in carry]
     parts = F.array(
-        part(F.col("true_label"), F.col(weight), zero, hit), part(F.col("predicted_label"), zero, F.col(weight), zero)
+        part(F.col("true_label"), as_true, [F.col(c) for c in carry]),
+        part(F.col("predicted_label"), as_predicted, nothing),
     )
-    if n_classes is not None:
-        grid = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda i: part(i, zero, zero, zero))
-        parts = F.concat(parts, grid)
-    declared = F.lit(True) if n_classes is None else F.col("label").between(0, n_classes - 1)
-    return (
+    labels = (
         counts.select(*keys, F.explode(parts).alias("p"))
         .groupBy(*keys, F.col("p.label").alias("label"))
-        .agg(
-            F.sum("p.support").alias("support"),
-            F.sum("p.predicted").alias("predicted"),
-            F.sum("p.true_positive").alias("true_positive"),
-        )
-        .withColumn("declared", declared)
-        .withColumn("precision", ratio(F.col("true_positive"), F.col("predicted")))
-        .withColumn("recall", ratio(F.col("true_positive"), F.col("support")))
-        .withColumn("f1", f1_score(F.col("precision"), F.col("recall")))
+        .agg(*[F.sum(f"p.{m}").alias(m) for m in measures], *[f(f"p.{c}").alias(c) for c, f in carry.items()])
     )
+    declared = F.lit(True)
+    if n_classes is not None:
+        # at most one entry per label and key
+        found = labels.groupBy(*keys).agg(F.collect_list(F.struct("label", *measures, *carry)).alias("found"))
+        absent = F.array_except(
+            F.sequence(F.lit(0), F.lit(n_classes - 1)), F.transform("found", lambda r: r["label"])
+        )
+        zeros = F.transform(absent, lambda i: part(i, [zero] * len(measures), nothing))
+        labels = found.select(*keys, F.explode(F.concat("found", zeros)).alias("p")).select(*keys, "p.*")
+        declared = F.col("label").between(0, n_classes - 1)
+    rates = {}
+    for x in suffixes:
+        rates[f"precision{x}"] = ratio(F.col(f"true_positive{x}"), F.col(f"predicted{x}"))
+        rates[f"recall{x}"] = ratio(F.col(f"true_positive{x}"), F.col(f"support{x}"))
+        rates[f"f1{x}"] = f1_score(rates[f"precision{x}"], rates[f"recall{x}"])
+    return labels.withColumns({"declared": declared, **rates})
 
 
 def class_metrics(pred: DataFrame, classes: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -107,18 +122,17 @@ def class_summary(pred: DataFrame, classes: Sequence[str] | None, keys: Sequence
     Averages run over the declared classes (an absent class counts as 0) or, with ``classes=None``, over the observed
     labels.
     """
-    counts = confusion_counts(pred, keys)
-    labels = per_label(counts, None if classes is None else len(classes), keys).groupBy(*keys).agg(
-        F.avg(F.when(F.col("declared"), F.col("recall"))).alias("balanced_accuracy"),
-        F.avg(F.when(F.col("declared"), F.col("f1"))).alias("macro_f1"),
-    )
-    totals = counts.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.when(is_correct(), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-        (F.sum("confidence_sum") / F.sum("n")).alias("mean_confidence"),
+    labels = per_label(
+        confusion_counts(pred, keys), None if classes is None else len(classes), keys, carry={"confidence_sum": F.sum}
     )
-    return merge_rows([totals, labels], keys).select(
-        *keys, "n", "accuracy", "balanced_accuracy", "macro_f1", "mean_confidence"
+    mean = lambda c: F.avg(F.when(F.col("declared"), F.col(c)))
+    n = F.sum("support")
+    return labels.groupBy(*keys).agg(
+        n.alias("n"),
+        F.try_divide(F.sum("true_positive"), n).alias("accuracy"),
+        mean("recall").alias("balanced_accuracy"),
+        mean("f1").alias("macro_f1"),
+        F.try_divide(F.sum("confidence_sum"), n).alias("mean_confidence"),
     )
 
 
@@ -150,6 +164,21 @@ def confusion_wide(pred: DataFrame, classes: Sequence[str]) -> DataFrame:
     return dense.select("true_label", *[F.col(str(i)).alias(f"pred_{i}") for i in labels])
 
 
+def composition(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """Reads and fraction of every declared class from (label, reads) rows."""
+    zeros = class_table(counts.sparkSession, classes).select("label", F.lit(0).cast("long").alias("reads"))
+    totals = counts.unionByName(zeros).groupBy("label").agg(F.sum("reads").alias("reads"))
+    # one row per label from here on
+    whole = totals.agg(F.collect_list(F.struct("label", "reads")).alias("rows"), F.sum("reads").alias("total"))
+    rows = whole.select(F.explode("rows").alias("r"), "total").where(F.col("r.label").between(0, len(classes) - 1))
+    return rows.select(
+        "r.label",
+        class_name(F.col("r.label"), classes).alias("class_name"),
+        "r.reads",
+        (F.col("r.reads") / F.greatest("total", F.lit(1))).alias("fraction_of_accepted"),
+    )
+
+
 def group_accuracy(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Accuracy of every source file; a file with more than one true label is an error."""
     mixed = F.min("true_label") != F.max("true_label")

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.diagnostics import hard_pairs
-from sigspark.operators.metrics import class_summary, group_accuracy, group_summary, merge_rows
+from sigspark.operators.metrics import (
+    class_summary,
+    confusion_counts,
+    group_accuracy,
+    group_summary,
+    merge_rows,
+    per_label,
+)
 
 RUN = ["run_id", "split"]
 
@@ -33,11 +40,10 @@ def compare_to_baseline(
 
     The best run (the first on ties) carries the decision; a smoke run decides nothing.
     """
-    base = wide.where(F.col("run_id") == baseline).select(F.col("val_macro_f1").alias("baseline_val_macro_f1"))
-    rows = wide.where(F.col("run_id") != baseline)
-    # one row per run from here on
-    value = base.first().baseline_val_macro_f1
-    gain = F.col("val_macro_f1") - F.lit(value)
+    # one row per run
+    base = F.max(F.when(F.col("run_id") == baseline, F.col("val_macro_f1"))).over(Window.partitionBy())
+    rows = wide.withColumn("base", base).where(F.col("run_id") != baseline)
+    gain = F.col("val_macro_f1") - F.col("base")
     scale = (F.col("val_macro_f1") >= min_score) & (gain >= min_gain)
     best = Window.orderBy(F.desc("val_macro_f1"), "run_id")
     decision = F.when(F.lit(smoke), "smoke_only").when(scale, "scale").otherwise("do_not_scale")
@@ -111,13 +117,12 @@ def tagged_union(stages: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def final_summary(candidates: DataFrame, wide: DataFrame, *, threshold: float) -> DataFrame:
-    """The first-ranked candidate with its test score and whether that reaches ``threshold``."""
-    best = candidates.where("rank = 1").select("run_id", F.col("val_macro_f1").alias("selected_val_macro_f1"))
-    joined = wide.join(best, "run_id")
-    return joined.select(
+def final_summary(wide: DataFrame, *, threshold: float) -> DataFrame:
+    """The run with the best validation macro-F1, its test scores and whether they reach ``threshold``."""
+    best = wide.orderBy(F.desc("val_macro_f1"), "run_id").limit(1)
+    return best.select(
         "run_id",
-        "selected_val_macro_f1",
+        F.col("val_macro_f1").alias("selected_val_macro_f1"),
         "test_accuracy",
         "test_macro_f1",
         (F.col("test_macro_f1") >= threshold).alias("update_recommended"),
@@ -134,24 +139,18 @@ def class_count_scaling(pred: DataFrame, ordered: Sequence[str], runs: Mapping[i
         count = F.when(F.col("run_id") == run, F.lit(k)).otherwise(count)
     rows = pred.withColumn("class_count", count).where("class_count IS NOT NULL AND true_label < class_count")
     keys = ["class_count", "split"]
+    counts = confusion_counts(rows, ["class_count", "split"])
     # every subset has its own label domain, so labels at or beyond the class count must not enter the average
-    counts = rows.groupBy(*keys, "true_label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
-    from sigspark.operators.metrics import is_correct, per_label
-
-    labels = (
-        per_label(counts, len(ordered), keys)
-        .where(F.col("label") < F.col("class_count"))
-        .groupBy(*keys)
-        .agg(F.avg("f1").alias("macro_f1"))
-    )
-    accuracy = counts.groupBy(*keys).agg(
-        (F.sum(F.when(is_correct(), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")
+    labels = per_label(counts, len(ordered), ["class_count", "split"])
+    inside = F.col("label") < F.col("class_count")
+    scores = labels.groupBy("class_count", "split").agg(
+        F.avg(F.when(inside, F.col("f1"))).alias("macro_f1"),
+        (F.sum("true_positive") / F.sum("support")).alias("accuracy"),
     )
     part = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}")
     names = F.array(*[F.lit(c) for c in ordered])
     return (
-        merge_rows([labels, accuracy], keys)
-        .groupBy("class_count")
+        scores.groupBy("class_count")
         .agg(*[part(s, c) for s in ("val", "test") for c in ("accuracy", "macro_f1")])
         .withColumn("classes", F.array_join(F.slice(names, F.lit(1), F.col("class_count")), ";"))
     )

@@ -117,8 +117,7 @@ SELECT run_id, round(val_macro_f1, 6) AS selected_val_macro_f1, round(test_accur
        round(test_macro_f1, 6) AS test_macro_f1, test_macro_f1 >= 0.82 AS update_recommended
 FROM wide ORDER BY val_macro_f1 DESC, run_id LIMIT 1"""))
 def _(spark, d):
-    wide = _wide(spark, d)
-    row = runs.final_summary(runs.select_candidate(wide), wide, threshold=0.82)
+    row = runs.final_summary(_wide(spark, d), threshold=0.82)
     return row.withColumns(r6("selected_val_macro_f1", "test_accuracy", "test_macro_f1"))
 
 

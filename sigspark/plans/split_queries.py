@@ -44,18 +44,20 @@ def _(spark, d):
 f AS (SELECT barcode, regexp_extract(ccf_file, '[^/]+$') AS file, count(DISTINCT legacy_split) AS s FROM manifest GROUP BY 1, 2)
 SELECT 'fail' AS status, CAST((SELECT sum(n) FROM r) AS BIGINT) AS rows, (SELECT count(*) FROM r) AS unique_reads,
        (SELECT count(*) FROM r WHERE n > 1) AS duplicate_read_rows, (SELECT count(*) FROM r WHERE s > 1) AS read_id_split_leakage,
-       (SELECT count(*) FROM f WHERE s > 1) AS ccf_file_split_leakage,
-       (SELECT string_agg(read_id, ',' ORDER BY read_id) FROM (SELECT read_id FROM r WHERE n > 1 ORDER BY 1 LIMIT 10))
-         AS duplicate_read_ids,
-       (SELECT string_agg(read_id, ',' ORDER BY read_id) FROM (SELECT read_id FROM r WHERE s > 1 ORDER BY 1 LIMIT 10))
-         AS leaking_read_ids,
-       (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT barcode || '/' || file AS k FROM f WHERE s > 1 ORDER BY 1 LIMIT 10))
-         AS leaking_files"""))
+       (SELECT count(*) FROM f WHERE s > 1) AS ccf_file_split_leakage"""))
 def _(spark, d):
-    lists = ("duplicate_read_ids", "leaking_read_ids", "leaking_files")
-    return audit.audit_manifest(manifest(spark, d), "legacy_split").summary.withColumns(
-        {c: F.array_join(c, ",") for c in lists}
-    )
+    return audit.audit_manifest(manifest(spark, d), "legacy_split").summary
+
+
+@query("audit_examples", sql(["manifest"], """
+, r AS (SELECT read_id, count(*) AS n, count(DISTINCT legacy_split) AS s FROM manifest GROUP BY 1),
+f AS (SELECT barcode, regexp_extract(ccf_file, '[^/]+$') AS file, count(DISTINCT legacy_split) AS s FROM manifest GROUP BY 1, 2),
+k AS (SELECT 'duplicate_read_ids' AS kind, read_id AS example FROM r WHERE n > 1 UNION ALL
+      SELECT 'read_id_leakage', read_id FROM r WHERE s > 1 UNION ALL
+      SELECT 'ccf_file_leakage', barcode || '/' || file FROM f WHERE s > 1)
+SELECT kind, example FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY example) <= 10"""))
+def _(spark, d):
+    return audit.audit_manifest(manifest(spark, d), "legacy_split").examples
 
 
 @query("audit_manifest_strict", sql(["manifest", "reads"], """

@@ -57,12 +57,18 @@ def name_predictions(pred: DataFrame, classes: Sequence[str]) -> DataFrame:
 
 def attach_groups(pred: DataFrame, manifest: DataFrame) -> DataFrame:
     """Add the source file of every read; a read that the manifest lacks is an error at run time."""
-    known = manifest.select("read_id", "ccf_file")
-    message = F.concat(F.lit("read is missing from the manifest: "), F.col("read_id"))
-    joined = pred.join(known, "read_id", "left")
-    return joined.withColumn(
-        "ccf_file", F.when(F.col("ccf_file").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("ccf_file"))
+    # grouped on the join key, so the join needs no further shuffle
+    known = manifest.groupBy("read_id").agg(
+        F.min("ccf_file").alias("ccf_file"), (F.min("ccf_file") != F.max("ccf_file")).alias("ambiguous")
     )
+    absent = F.concat(F.lit("read is missing from the manifest: "), F.col("read_id"))
+    twice = F.concat(F.lit("read has several files in the manifest: "), F.col("read_id"))
+    checked = (
+        F.when(F.col("ccf_file").isNull(), F.raise_error(absent).cast("string"))
+        .when(F.col("ambiguous"), F.raise_error(twice).cast("string"))
+        .otherwise(F.col("ccf_file"))
+    )
+    return pred.join(known, "read_id", "left").withColumn("ccf_file", checked).drop("ambiguous")
 
 
 def wide_probabilities(pred: DataFrame, classes: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sigspark.operators.bags import AttentionParams, LinearHead, encode_chunks, score_bags
 from sigspark.operators.calibration import ThresholdSpec
 from sigspark.operators.chunks import SignalProfile, build_chunks, read_status
-from sigspark.operators.metrics import class_name
+from sigspark.operators.metrics import composition
 from sigspark.sources.files import config_hash
 from sigspark.sources.signals import SIGNAL_SCHEMA
 
@@ -94,13 +94,4 @@ def abundance_so_far(spark: SparkSession, out_dir: str, classes: Sequence[str])
     """Composition over all finished batches, with a row for every declared class."""
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("reads", T.LongType())])
     parts = spark.read.schema(schema).parquet(out_dir).select("label", "reads")
-    zeros = spark.range(len(classes)).select(F.col("id").cast("int").alias("label"), F.lit(0).cast("long").alias("reads"))
-    totals = parts.unionByName(zeros).groupBy("label").agg(F.sum("reads").alias("reads"))
-    # one row per label
-    rows = totals.agg(F.collect_list(F.struct("label", "reads")).alias("rows"), F.sum("reads").alias("total"))
-    return rows.select(F.explode("rows").alias("r"), "total").select(
-        "r.label",
-        class_name(F.col("r.label"), classes).alias("class_name"),
-        "r.reads",
-        (F.col("r.reads") / F.greatest("total", F.lit(1))).alias("fraction_of_accepted"),
-    )
+    return composition(parts, classes)
