@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import argmax, softmax
+from sigspark.functions.arrays import argmax, norm, softmax, sum_of
 from sigspark.operators import bags as bag
 from sigspark.operators import chunks as ch
 from sigspark.operators import kmers, splits, training
 from sigspark.plans.bridge import bags, predictions, sequences, signals
 from sigspark.plans.registry import query, sql
+from sigspark.plans.signal_queries import MAD_SQL, picks_sql
 from sigspark.sources.predictions import wide_probabilities
 
 DIM = 64
@@ -252,28 +253,74 @@ def _(spark, d):
 
 
 PROFILE = ch.SignalProfile("mad", discard_first=5, chunk_size=20, overlap=10, max_chunks=4)
-RAW_HEAD = bag.LinearHead(HEAD.weights[:, :16], HEAD.bias)
+RAW_DIM = 16
+RAW_HEAD = bag.LinearHead(HEAD.weights[:, :RAW_DIM], HEAD.bias)
+
+
+def formula_encoder():
+    """Fixed linear encoder, written the same way in SQL."""
+    weights = np.array([[((j * 7 + k * 3) % 11 - 5) / 10 for k in range(RAW_DIM)] for j in range(PROFILE.chunk_size)])
+    return lambda batch: batch.astype(np.float64) @ weights
+
+
+# samples reach the encoder, and vectors leave it, as 32-bit floats
+ENCODED_SQL = MAD_SQL + picks_sql(4) + f"""
+, encoded AS (SELECT p.read_id, x.source_file, chunk_index, k,
+   CAST(sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * (((pos - 5 - 10 * window_index) * 7 + k * 3) % 11 - 5) / 10) AS FLOAT) AS v
+   FROM picks p JOIN normal x ON x.read_id = p.read_id AND pos BETWEEN 5 + 10 * window_index AND 24 + 10 * window_index
+   CROSS JOIN range({RAW_DIM}) t(k) GROUP BY 1, 2, 3, 4)"""
+RAW_SCORES_SQL = ENCODED_SQL + f"""
+, pooled AS (SELECT read_id, source_file, k, count(*) AS n_chunks, avg(CAST(v AS DOUBLE)) AS v FROM encoded GROUP BY 1, 2, 3),
+logits AS (SELECT read_id, source_file, c, any_value(n_chunks) AS n_chunks, sum(v * ((c * 31 + k * 17) % 13 - 6) / 2) + c / 10 AS z
+  FROM pooled CROSS JOIN range(10) t(c) GROUP BY 1, 2, 3),
+probs AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY read_id) AS p, row_number() OVER (PARTITION BY read_id ORDER BY z DESC, c) AS r FROM logits)
+SELECT read_id, source_file, n_chunks, CAST(c AS INTEGER) AS predicted_label, round(p, 4) AS confidence FROM probs WHERE r = 1"""
+LONG_SQL = ENCODED_SQL + " SELECT read_id, source_file, chunk_index, k AS pos, round(CAST(v AS DOUBLE), 4) AS value FROM encoded"
 
 
 def encoded(spark, d):
     chunks = ch.build_chunks(signals(spark, d), PROFILE)
-    return bag.encode_chunks(chunks, bag.random_projection(PROFILE.chunk_size, 16), chunk_size=PROFILE.chunk_size)
+    return bag.encode_chunks(chunks, formula_encoder, chunk_size=PROFILE.chunk_size)
+
+
+def embedding_values(rows):
+    return rows.select("read_id", "source_file", "chunk_index", F.posexplode("embedding").alias("pos", "value")).select(
+        "read_id", "source_file", "chunk_index", F.col("pos").cast("long").alias("pos"),
+        F.round(F.col("value").cast("double"), 4).alias("value"),
+    )
+
+
+def read_scores(rows):
+    return rows.select(
+        "read_id", "source_file", "n_chunks", "predicted_label", F.round("confidence", 4).alias("confidence")
+    )
 
 
-@query("encode_chunks")
+@query("encode_chunks", sql(["samples", "physical"], LONG_SQL))
 def _(spark, d):
-    return encoded(spark, d)
+    return embedding_values(encoded(spark, d))
 
 
-@query("score_raw")
+@query("score_raw", sql(["samples", "physical"], RAW_SCORES_SQL))
 def _(spark, d):
-    return bag.score_bags(encoded(spark, d), RAW_HEAD, CLASSES, dim=16, keys=["read_id", "source_file"])
+    return read_scores(bag.score_bags(encoded(spark, d), RAW_HEAD, CLASSES, dim=RAW_DIM, keys=["read_id", "source_file"]))
 
 
-@query("mixup_rows")
+@query("mixup_rows", sql(["bags"], """
+, t AS (SELECT read_id || '-' || CAST(chunk_index AS VARCHAR) AS read_id FROM bags WHERE split = 'train'),
+h AS (SELECT read_id, row_number() OVER (ORDER BY sha256('42|1|' || read_id), read_id) AS n FROM t),
+b AS (SELECT read_id, n, (n - 1) // 32 AS batch FROM h)
+SELECT batch, read_id, coalesce(lead(read_id) OVER w, first_value(read_id) OVER w) AS partner_id,
+       CAST(1 AS DOUBLE) AS norm, CAST(1 AS DOUBLE) AS target_sum, true AS lam_in_range
+FROM b WINDOW w AS (PARTITION BY batch ORDER BY n)"""))
 def _(spark, d):
     rows = labelled(spark, d).where("split = 'train'")
-    return training.mixup_rows(rows, seed=42, epoch=1, alpha=0.4, batch_size=32, n_classes=10)
+    mixed = training.mixup_rows(rows, seed=42, epoch=1, alpha=0.4, batch_size=32, n_classes=10)
+    # lam is a random draw, so only its range and what must hold for every draw are compared
+    return mixed.select(
+        "batch", "read_id", "partner_id", F.round(norm(F.col("vector")), 6).alias("norm"),
+        F.round(sum_of(F.col("target")), 6).alias("target_sum"), F.col("lam").between(0.5, 1.0).alias("lam_in_range"),
+    )
 
 
 @query("train_head")

@@ -8,7 +8,16 @@ from sigspark.operators import bags as bag
 from sigspark.operators import chunks as ch
 from sigspark.operators.calibration import ThresholdSpec
 from sigspark.plans.bag_queries import CLASSES as BAG_CLASSES
-from sigspark.plans.bag_queries import PROFILE, RAW_HEAD
+from sigspark.plans.bag_queries import (
+    LONG_SQL,
+    PROFILE,
+    RAW_DIM,
+    RAW_HEAD,
+    RAW_SCORES_SQL,
+    embedding_values,
+    formula_encoder,
+    read_scores,
+)
 from sigspark.plans.bridge import CLASSES, predictions_of, signals, table
 from sigspark.plans.metric_queries import LABELS
 from sigspark.plans.registry import query, sql
@@ -16,9 +25,6 @@ from sigspark.session import scratch_path
 from sigspark.sources import files, sinks
 from sigspark.streaming import classify as stream
 
-ENCODER = bag.random_projection(PROFILE.chunk_size, 16)
-
-
 @query("inventory_files")
 def _(spark, d):
     return files.inventory(spark, d, (".parquet",)).withColumn("extensions", F.array_join("extensions", ","))
@@ -58,26 +64,26 @@ def _(spark, d):
     ).agg(F.count(F.lit(1)).alias("n_reads"), F.sum("n").alias("n_chunks"))
 
 
-@query("embed_store")
+@query("embed_store", sql(["samples", "physical"], LONG_SQL))
 def _(spark, d):
     chunks = ch.build_chunks(signals(spark, d), PROFILE)
     path = scratch_path(spark, "embeddings")
-    sinks.write_store(bag.encode_chunks(chunks, ENCODER, chunk_size=PROFILE.chunk_size), path, by="source_file")
+    sinks.write_store(bag.encode_chunks(chunks, formula_encoder, chunk_size=PROFILE.chunk_size), path, by="source_file")
     stored = spark.read.parquet(path)
     sinks.require_complete(chunks.select("read_id", "chunk_index"), stored, ["read_id", "chunk_index"])
-    return stored
+    return embedding_values(stored)
 
 
-@query("stream_classify")
+@query("stream_classify", sql(["samples", "physical"], RAW_SCORES_SQL))
 def _(spark, d):
     source, out = scratch_path(spark, "signals"), scratch_path(spark, "predictions")
     signals(spark, d).write.parquet(source)
     settings = {"profile": PROFILE, "source": source}
     stream.classify_stream(
-        spark, source, ENCODER, RAW_HEAD, PROFILE, BAG_CLASSES, dim=16, out_dir=out,
+        spark, source, formula_encoder, RAW_HEAD, PROFILE, BAG_CLASSES, dim=RAW_DIM, out_dir=out,
         checkpoint=stream.run_checkpoint(scratch_path(spark, "stream"), settings),
     ).awaitTermination()
-    return spark.read.parquet(out)
+    return read_scores(spark.read.parquet(out))
 
 
 @query("stream_dedup", "SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS read_id FROM events")

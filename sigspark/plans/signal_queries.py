@@ -64,56 +64,69 @@ def _(spark, d):
     return samples_of(restored(spark, d), sig.repair_range(F.col("x")))
 
 
-# mirrored index: ... 1 0 | 0 1 ... n-1 | n-1 n-2 ...; all reads are longer than the window
-_DESPIKED = f""", n AS (SELECT read_id, count(*) AS n FROM physical GROUP BY 1),
-near AS (SELECT p.read_id, p.pos, p.x, o.x AS y, row_number() OVER (PARTITION BY p.read_id, p.pos ORDER BY o.x) - 1 AS k
-  FROM physical p JOIN n USING (read_id) CROSS JOIN range(-{WINDOW // 2}, {WINDOW - WINDOW // 2}) w(j)
-  JOIN physical o ON o.read_id = p.read_id AND o.pos = CASE WHEN p.pos + j < 0 THEN -(p.pos + j) - 1
+def despiked_sql(src: str, p: str) -> str:
+    """CTEs ending in ``{p}despiked``; mirrored index ... 1 0 | 0 1 ... n-1 | n-1 ..., reads are longer than the window."""
+    return f""", {p}n AS (SELECT read_id, count(*) AS n FROM {src} GROUP BY 1),
+{p}near AS (SELECT p.read_id, p.pos, p.x, o.x AS y, row_number() OVER (PARTITION BY p.read_id, p.pos ORDER BY o.x) - 1 AS k
+  FROM {src} p JOIN {p}n USING (read_id) CROSS JOIN range(-{WINDOW // 2}, {WINDOW - WINDOW // 2}) w(j)
+  JOIN {src} o ON o.read_id = p.read_id AND o.pos = CASE WHEN p.pos + j < 0 THEN -(p.pos + j) - 1
     WHEN p.pos + j >= n THEN 2 * n - 1 - (p.pos + j) ELSE p.pos + j END),
-local AS (SELECT read_id, pos, x, y AS m FROM near WHERE k = {WINDOW // 2}),
-sc AS (SELECT read_id, greatest(1.4826 * median(abs(x - m)), 1.0) AS s FROM local GROUP BY 1),
-spiked AS (SELECT read_id, pos, CASE WHEN abs(x - m) <= {THRESHOLD} * s THEN x WHEN pos = 0 THEN m END AS v
-           FROM local JOIN sc USING (read_id)),
-despiked AS (SELECT read_id, pos, last_value(v IGNORE NULLS) OVER (PARTITION BY read_id ORDER BY pos
-             ROWS UNBOUNDED PRECEDING) AS x FROM spiked)"""
+{p}local AS (SELECT read_id, pos, x, y AS m FROM {p}near WHERE k = {WINDOW // 2}),
+{p}sc AS (SELECT read_id, greatest(1.4826 * median(abs(x - m)), 1.0) AS s FROM {p}local GROUP BY 1),
+{p}spiked AS (SELECT read_id, pos, CASE WHEN abs(x - m) <= {THRESHOLD} * s THEN x WHEN pos = 0 THEN m END AS v
+           FROM {p}local JOIN {p}sc USING (read_id)),
+{p}despiked AS (SELECT read_id, pos, last_value(v IGNORE NULLS) OVER (PARTITION BY read_id ORDER BY pos
+             ROWS UNBOUNDED PRECEDING) AS x FROM {p}spiked)"""
 
 
-@query("despike", sql(["samples", "physical"], _DESPIKED + "SELECT read_id, pos, round(x, 4) AS value FROM despiked"))
-def _(spark, d):
-    return samples_of(restored(spark, d), sig.despike(F.col("x"), WINDOW, THRESHOLD))
+def central_sql(src: str, p: str) -> str:
+    """CTEs ending in ``{p}central``."""
+    return f""", {p}m AS (SELECT read_id, median(x) AS med FROM {src} GROUP BY 1),
+{p}r AS (SELECT read_id, pos, x - med AS r FROM {src} JOIN {p}m USING (read_id)),
+{p}q AS (SELECT read_id, quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi FROM {p}r GROUP BY 1),
+{p}s AS (SELECT read_id, greatest(1.4826 * median(abs(r)) FILTER (r BETWEEN lo AND hi), 1.0) AS s FROM {p}r JOIN {p}q USING (read_id) GROUP BY 1),
+{p}central AS (SELECT read_id, pos, r / s AS x FROM {p}r JOIN {p}s USING (read_id))"""
+
+
+def median5_sql(src: str, p: str) -> str:
+    return f""", {p}median5 AS (SELECT read_id, pos, list_sort([coalesce(lag(x, 2) OVER w, 0), coalesce(lag(x) OVER w, 0), x,
+                     coalesce(lead(x) OVER w, 0), coalesce(lead(x, 2) OVER w, 0)])[3] AS x
+FROM {src} WINDOW w AS (PARTITION BY read_id ORDER BY pos))"""
+
+
+CLAMP = "CASE WHEN {x} > 5 THEN 5 + tanh({x} - 5) WHEN {x} < -5 THEN -5 + tanh({x} + 5) ELSE {x} END"
 
 
-_CENTRAL = """, m AS (SELECT read_id, median(x) AS med FROM physical GROUP BY 1),
-r AS (SELECT read_id, pos, x - med AS r FROM physical JOIN m USING (read_id)),
-q AS (SELECT read_id, quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi FROM r GROUP BY 1),
-s AS (SELECT read_id, greatest(1.4826 * median(abs(r)) FILTER (r BETWEEN lo AND hi), 1.0) AS s FROM r JOIN q USING (read_id) GROUP BY 1)"""
+@query("despike", sql(["samples", "physical"], despiked_sql("physical", "a_")
+                      + "SELECT read_id, pos, round(x, 4) AS value FROM a_despiked"))
+def _(spark, d):
+    return samples_of(restored(spark, d), sig.despike(F.col("x"), WINDOW, THRESHOLD))
 
 
-@query("central_mad", sql(["samples", "physical"], _CENTRAL + """
-SELECT read_id, pos, round(r / s, 4) AS value FROM r JOIN s USING (read_id)"""))
+@query("central_mad", sql(["samples", "physical"], central_sql("physical", "a_")
+                          + "SELECT read_id, pos, round(x, 4) AS value FROM a_central"))
 def _(spark, d):
     return samples_of(restored(spark, d), sig.central_mad(F.col("x")))
 
 
-@query("median5", sql(["samples", "physical"], """
-SELECT read_id, pos, round(list_sort([coalesce(lag(x, 2) OVER w, 0), coalesce(lag(x) OVER w, 0), x,
-                     coalesce(lead(x) OVER w, 0), coalesce(lead(x, 2) OVER w, 0)])[3], 4) AS value
-FROM physical WINDOW w AS (PARTITION BY read_id ORDER BY pos)"""))
+@query("median5", sql(["samples", "physical"], median5_sql("physical", "a_")
+                      + "SELECT read_id, pos, round(x, 4) AS value FROM a_median5"))
 def _(spark, d):
     return samples_of(restored(spark, d), sig.median5(F.col("x")))
 
 
-@query("smooth_clamp", sql(["samples", "physical"], """
-SELECT read_id, pos, round(CASE WHEN x / 20 > 5 THEN 5 + tanh(x / 20 - 5) WHEN x / 20 < -5 THEN -5 + tanh(x / 20 + 5)
-                           ELSE x / 20 END, 4) AS value FROM physical"""))
+@query("smooth_clamp", sql(["samples", "physical"], f"""
+SELECT read_id, pos, round({CLAMP.format(x='x / 20')}, 4) AS value FROM physical"""))
 def _(spark, d):
     rows = restored(spark, d).withColumn("x", F.transform("x", lambda v: v / 20))
     return samples_of(rows, sig.smooth_clamp(F.col("x")))
 
 
-@query("profile_sclamp")
+@query("profile_sclamp", sql(["samples", "physical"], _REPAIRED + despiked_sql("repaired", "a_") + central_sql("a_despiked", "b_")
+                             + median5_sql("b_central", "c_") + f"""
+SELECT read_id, pos, round({CLAMP.format(x='x')}, 4) AS value FROM c_median5""").replace(f"<= {THRESHOLD} *", "<= 5.0 *"))
 def _(spark, d):
-    return samples_of(restored(spark, d), sig.sclamp(F.col("x")))
+    return samples_of(restored(spark, d), sig.sclamp(F.col("x"), WINDOW))
 
 
 _WINDOWS = """, n AS (SELECT read_id, count(*) AS n FROM samples GROUP BY 1),
@@ -133,11 +146,18 @@ def _(spark, d):
     )
 
 
-@query("build_chunks", sql(["samples", "physical"], _MAD + """
-, n AS (SELECT read_id, count(*) AS n, (count(*) - 25) // 10 + 1 AS c FROM physical GROUP BY 1 HAVING count(*) >= 25),
+def picks_sql(k: int) -> str:
+    """CTE ``picks``: at most ``k`` windows per read of the test profile."""
+    return f""", n AS (SELECT read_id, count(*) AS n, (count(*) - 25) // 10 + 1 AS c FROM physical GROUP BY 1 HAVING count(*) >= 25),
 picks AS (SELECT read_id, c, CAST(i AS INTEGER) AS chunk_index,
-   CASE WHEN c <= 3 THEN i WHEN i = 2 THEN c - 1 ELSE CAST(floor(i * ((c - 1) / CAST(2 AS DOUBLE))) AS BIGINT) END AS window_index
-   FROM n CROSS JOIN range(3) t(i) WHERE i < least(c, 3))
+   CASE WHEN c <= {k} THEN i WHEN i = {k - 1} THEN c - 1 ELSE CAST(floor(i * ((c - 1) / CAST({k - 1} AS DOUBLE))) AS BIGINT) END AS window_index
+   FROM n CROSS JOIN range({k}) t(i) WHERE i < least(c, {k}))"""
+
+
+MAD_SQL = _MAD
+
+
+@query("build_chunks", sql(["samples", "physical"], _MAD + picks_sql(3) + """
 SELECT p.read_id, chunk_index, CAST(window_index AS INTEGER) AS window_index, CAST(any_value(c) AS INTEGER) AS source_n_chunks,
        round(sum(x), 4) AS total, round(any_value(x) FILTER (pos = 5 + 10 * window_index), 4) AS first_value
 FROM picks p JOIN normal x ON x.read_id = p.read_id AND pos BETWEEN 5 + 10 * window_index AND 24 + 10 * window_index

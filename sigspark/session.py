@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor never replays its sort or sampling."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, for jobs that are not submitted with it."""
+    context = spark.sparkContext
+    if getattr(context, "_sigspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "sigspark"
+    context.addPyFile(shutil.make_archive(str(archive), "zip", root, "sigspark"))
+    context._sigspark_shipped = True
