@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.prefix import with_row_number
@@ -15,12 +15,8 @@ from sigspark.operators.prefix import with_row_number
 ALPHABET = "acgt"
 
 
-def reverse_complement(kmer: Column) -> Column:
-    return F.reverse(F.translate(kmer, "acgt", "tgca"))
-
-
-def canonical_rank(k: int) -> tuple[np.ndarray, int]:
-    """Feature position of every k-mer code (base 4, first letter most significant) and the number of features.
+def canonical_rank(k: int) -> tuple[np.ndarray, list[str]]:
+    """Feature position of every k-mer code (base 4, first letter most significant) and the k-mer of every position.
 
     A k-mer and its reverse complement share the position; positions follow the alphabetical order of the smaller one.
     """
@@ -30,56 +26,83 @@ def canonical_rank(k: int) -> tuple[np.ndarray, int]:
     for _ in range(k):
         complement = complement * 4 + (3 - rest % 4)
         rest //= 4
-    smaller = np.minimum(codes, complement)
-    kept, position = np.unique(smaller, return_inverse=True)
-    return position.astype(np.int64), len(kept)
+    kept, position = np.unique(np.minimum(codes, complement), return_inverse=True)
+    letters = np.array(list(ALPHABET))
+    digits = (kept[:, None] // 4 ** np.arange(k - 1, -1, -1)) % 4
+    return position.astype(np.int64), ["".join(row) for row in letters[digits]]
 
 
-def kmer_vectors(sequences: DataFrame, k: int = 6, *, relative: bool = False) -> DataFrame:
-    """One dense vector of canonical k-mer counts (or frequencies) per read; needs no shuffle, as a read is one row."""
-    position, size = canonical_rank(k)
+def _windows(seqs: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, k-mer code) of every window of a batch of sequences; windows with another letter are left out."""
     digit = np.full(256, -1, dtype=np.int64)
     for value, letter in enumerate(ALPHABET):
         digit[ord(letter)] = value
-    powers = 4 ** np.arange(k - 1, -1, -1, dtype=np.int64)
-
-    def counts(seq: str) -> np.ndarray:
-        letters = digit[np.frombuffer(seq.encode(), dtype=np.uint8)]
-        if len(letters) < k:
-            return np.zeros(size)
-        windows = np.lib.stride_tricks.sliding_window_view(letters, k)
-        clean = windows[(windows >= 0).all(axis=1)]
-        found = np.bincount(position[clean @ powers], minlength=size).astype(np.float64)
-        return found / max(1.0, found.sum()) if relative else found
-
-    @F.pandas_udf("array<double>")
+    encoded = [s.encode() for s in seqs]
+    # one line for the whole batch; the separator is no letter, so no window crosses two sequences
+    line = digit[np.frombuffer(b" ".join(encoded) + b" " * k, dtype=np.uint8)]
+    row = np.repeat(np.arange(len(encoded)), [len(e) + 1 for e in encoded])
+    n = len(line) - k + 1
+    code = np.zeros(n, dtype=np.int64)
+    clean = np.ones(n, dtype=bool)
+    for j in range(k):
+        code = code * 4 + line[j : j + n]
+        clean &= line[j : j + n] >= 0
+    at = np.flatnonzero(clean)
+    return row[at], code[at]
+
+
+def kmer_vectors(sequences: DataFrame, k: int = 6, *, relative: bool = False) -> DataFrame:
+    """One dense vector of canonical k-mer counts (or frequencies) per read; needs no shuffle, as a read is one row."""
+    position, names = canonical_rank(k)
+    size = len(names)
+
+    @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(counts)
+            out = []
+            for start in range(0, len(batch), 512):
+                part = batch.iloc[start : start + 512]
+                row, code = _windows(part, k)
+                flat = np.bincount(row * size + position[code], minlength=len(part) * size)
+                counts = flat.reshape(len(part), size).astype(np.float32)
+                if relative:
+                    counts /= np.maximum(counts.sum(axis=1, keepdims=True), 1)
+                out.extend(counts)
+            yield pd.Series(out, dtype=object)
 
     return sequences.withColumn("kmers", vectors("seq")).drop("seq")
 
 
-def kmer_windows(seq: Column, k: int) -> Column:
-    """All substrings of length k, an empty array for shorter sequences."""
-    starts = F.sequence(F.lit(1), F.length(seq) - (k - 1))
-    return F.when(F.length(seq) >= k, F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))).otherwise(
-        F.array().cast("array<string>")
-    )
+def _batch_counts(sequences: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, kmer, n) counted inside every Arrow batch."""
+    position, names = canonical_rank(k)
+    size = len(names)
+    kmers = np.array(names, dtype=object)
+    types = dict(sequences.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), "kmer string", "n long"])
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            group = batch.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+            first = batch.loc[~pd.Series(group).duplicated().to_numpy(), list(keys)].reset_index(drop=True)
+            row, code = _windows(batch["seq"], k)
+            cell, n = np.unique(group[row] * size + position[code], return_counts=True)
+            out = first.iloc[cell // size].reset_index(drop=True)
+            yield out.assign(kmer=kmers[cell % size], n=n)
 
-def kmer_counts(sequences: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
-    """(keys, kmer, n) for canonical k-mers.
+    return sequences.select(*keys, "seq").mapInPandas(count, schema)
 
-    Windows are counted as they are on the map side; only the distinct ones are folded onto their reverse complement.
-    """
-    raw = (
-        sequences.select(*keys, F.explode(kmer_windows(F.col("seq"), k)).alias("kmer"))
-        .groupBy(*keys, "kmer")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    folded = raw.withColumn("kmer", F.least("kmer", reverse_complement(F.col("kmer"))))
-    return folded.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
+
+def read_kmers(sequences: DataFrame, k: int) -> DataFrame:
+    """(read_id, kmer, n) of canonical k-mers; a read is one row, so there is nothing to shuffle."""
+    return _batch_counts(sequences, k, ["read_id"])
+
+
+def kmer_counts(sequences: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, kmer, n) of canonical k-mers; only the counts of each batch are shuffled."""
+    return _batch_counts(sequences, k, keys).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
 
 
 def kmer_distance(sequences: DataFrame, k: int = 5) -> DataFrame:

@@ -205,10 +205,20 @@ canon AS (SELECT read_id, barcode, least(g, reverse(translate(g, 'acgt', 'tgca')
 @query("kmer_counts", sql(["sequences"], _GRAMS.format(k=KMER) + """
 SELECT read_id, count(*) AS n_kmers, count(DISTINCT kmer) AS n_distinct FROM canon GROUP BY 1"""))
 def _(spark, d):
-    rows = kmers.kmer_vectors(sequences(spark, d).select("read_id", "seq"), KMER)
-    n = F.aggregate("kmers", F.lit(0.0), lambda s, v: s + v).cast("long")
-    distinct = F.size(F.filter("kmers", lambda v: v > 0)).cast("long")
-    return rows.select("read_id", n.alias("n_kmers"), distinct.alias("n_distinct")).where("n_kmers > 0")
+    rows = kmers.read_kmers(sequences(spark, d), KMER)
+    return rows.groupBy("read_id").agg(F.sum("n").alias("n_kmers"), F.count(F.lit(1)).alias("n_distinct"))
+
+
+@query("kmer_vectors", sql(["sequences"], _GRAMS.format(k=3) + """
+SELECT s.read_id, """ + ", ".join(f"count(*) FILTER (kmer = '{m}') AS {m}" for m in ("aaa", "acg", "tca")) + """,
+       count(kmer) AS n_kmers FROM sequences s LEFT JOIN canon USING (read_id) GROUP BY 1"""))
+def _(spark, d):
+    rows = kmers.kmer_vectors(sequences(spark, d), 3)
+    at = {m: kmers.canonical_rank(3)[1].index(m) for m in ("aaa", "acg", "tca")}
+    total = F.aggregate("kmers", F.lit(0.0), lambda s, v: s + v)
+    return rows.select(
+        "read_id", *[F.get("kmers", i).cast("long").alias(m) for m, i in at.items()], total.cast("long").alias("n_kmers")
+    )
 
 
 @query("kmer_spectrum", sql(["sequences"], _GRAMS.format(k=KMER) + "SELECT barcode, kmer, count(*) AS n FROM canon GROUP BY 1, 2"))
@@ -343,7 +353,7 @@ def _(spark, d):
         "split", F.expr("CASE WHEN CAST(substr(read_id, 2) AS BIGINT) % 5 < 3 THEN 'train' WHEN CAST(substr(read_id, 2) AS BIGINT) % 5 = 3 THEN 'val' ELSE 'test' END")
     )
     part = lambda s: rows.where(F.col("split") == s)
-    size = kmers.canonical_rank(4)[1]
+    size = len(kmers.canonical_rank(4)[1])
     estimators = {"mlp": MultilayerPerceptronClassifier(layers=[size, 32, len(langs)], maxIter=20, seed=42)}
     fitted = training.fit_head(part("train"), part("val"), estimators, langs)
     return training.predict(fitted.model, rows).select("split", "read_id", "true_label", "predicted_label", "confidence", "logits")

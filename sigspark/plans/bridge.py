@@ -176,5 +176,5 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('d', doc_id) AS read_id",
         "lang AS barcode",
         "source AS ccf_file",
-        "regexp_replace(lower(text), '[^acgt]', '') AS seq",
+        "regexp_replace(lower(text), '[^acgt]+', '') AS seq",
     )

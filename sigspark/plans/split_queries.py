@@ -252,22 +252,22 @@ def _(spark, d):
 
 
 @query("select_reads", sql(["manifest"], """
-, wanted AS (SELECT DISTINCT ccf_file, read_id FROM manifest WHERE l_quantity > 45 AND legacy_split = 'val')
+, wanted AS (SELECT DISTINCT ccf_file, read_id FROM manifest WHERE l_quantity > 20 AND legacy_split = 'val')
 SELECT m.ccf_file, m.read_id, count(*) AS n FROM manifest m SEMI JOIN wanted w ON w.ccf_file = m.ccf_file AND w.read_id = m.read_id
 WHERE m.l_quantity < 40 GROUP BY 1, 2"""))
 def _(spark, d):
     rows = manifest(spark, d)
-    wanted = rows.where("l_quantity > 45 AND legacy_split = 'val'").select("ccf_file", "read_id")
+    wanted = rows.where("l_quantity > 20 AND legacy_split = 'val'").select("ccf_file", "read_id")
     kept = rows.where("l_quantity < 40").join(wanted, ["ccf_file", "read_id"], "left_semi")
     return kept.groupBy("ccf_file", "read_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("missing_reads", sql(["manifest"], """
-SELECT DISTINCT ccf_file, read_id FROM manifest WHERE l_quantity > 45 AND legacy_split = 'val'
+SELECT DISTINCT ccf_file, read_id FROM manifest WHERE l_quantity > 20 AND legacy_split = 'val'
 EXCEPT SELECT ccf_file, read_id FROM manifest WHERE l_quantity < 40"""))
 def _(spark, d):
     rows = manifest(spark, d)
-    wanted = rows.where("l_quantity > 45 AND legacy_split = 'val'").select("ccf_file", "read_id")
+    wanted = rows.where("l_quantity > 20 AND legacy_split = 'val'").select("ccf_file", "read_id")
     return wanted.join(rows.where("l_quantity < 40"), ["ccf_file", "read_id"], "left_anti").distinct()
 
 
