@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.operators.metrics import class_name, class_summary, confusion_counts, is_correct, merge_rows, ratio
+from sigspark.operators.metrics import class_name, confusion_counts, is_correct, merge_rows, ratio, summarize
+from sigspark.session import cut_lineage
 
 
 def coarse_label(label: Column, merged: Sequence[tuple[str, str]], classes: Sequence[str]) -> Column:
@@ -21,14 +22,18 @@ def coarse_label(label: Column, merged: Sequence[tuple[str, str]], classes: Sequ
 
 def coarse_metrics(pred: DataFrame, merged: Sequence[tuple[str, str]], classes: Sequence[str]) -> DataFrame:
     """Accuracy and macro-F1 before and after merging confusable classes, averaged over the observed labels."""
-    coarse = pred.withColumns(
-        {c: coarse_label(F.col(c), merged, classes) for c in ("true_label", "predicted_label")}
+    fine = confusion_counts(pred)
+    both = {c: coarse_label(F.col(c), merged, classes) for c in ("true_label", "predicted_label")}
+    coarse = (
+        fine.withColumns(both)
+        .groupBy("true_label", "predicted_label")
+        .agg(F.sum("n").alias("n"), F.sum("confidence_sum").alias("confidence_sum"))
     )
     parts = [
-        class_summary(rows, None).select(
+        summarize(counts, None).select(
             "n", F.col("accuracy").alias(f"accuracy_{name}"), F.col("macro_f1").alias(f"macro_f1_{name}")
         )
-        for name, rows in (("fine", pred), ("coarse", coarse))
+        for name, counts in (("fine", fine), ("coarse", coarse))
     ]
     return merge_rows([parts[0], parts[1].drop("n")])
 
@@ -57,6 +62,8 @@ def file_diagnostics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg(is_correct().cast("double")).alias("accuracy"),
         F.avg("confidence").alias("mean_confidence"),
     )
+    # one row per file, used twice
+    files = cut_lineage(files)
     ranges = files.groupBy(*keys).agg(
         F.min("accuracy").alias("min_file_accuracy"),
         F.max("accuracy").alias("max_file_accuracy"),

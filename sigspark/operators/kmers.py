@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.prefix import with_row_number
+from sigspark.session import cut_lineage
 
 ALPHABET = "acgt"
 
@@ -108,9 +109,10 @@ def kmer_counts(sequences: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
 def kmer_distance(sequences: DataFrame, k: int = 5) -> DataFrame:
     """Cosine distance between the k-mer profiles of all class pairs.
 
-    A profile has at most 4^k entries per class, so the join on the k-mer works on a table of classes x 4^k rows.
+    A profile has at most 4^k entries per class, so the join on the k-mer works on a table of classes x 4^k rows, which is
+    built once.
     """
-    profile = kmer_counts(sequences, k, ["barcode"])
+    profile = cut_lineage(kmer_counts(sequences, k, ["barcode"]))
     norms = profile.groupBy("barcode").agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
     left = profile.select(F.col("barcode").alias("src"), "kmer", F.col("n").alias("n_src"))
     right = profile.select(F.col("barcode").alias("dst"), "kmer", F.col("n").alias("n_dst"))

@@ -122,9 +122,12 @@ def class_summary(pred: DataFrame, classes: Sequence[str] | None, keys: Sequence
     Averages run over the declared classes (an absent class counts as 0) or, with ``classes=None``, over the observed
     labels.
     """
-    labels = per_label(
-        confusion_counts(pred, keys), None if classes is None else len(classes), keys, carry={"confidence_sum": F.sum}
-    )
+    return summarize(confusion_counts(pred, keys), classes, keys)
+
+
+def summarize(counts: DataFrame, classes: Sequence[str] | None, keys: Sequence[str] = ()) -> DataFrame:
+    """:func:`class_summary` from a count table."""
+    labels = per_label(counts, None if classes is None else len(classes), keys, carry={"confidence_sum": F.sum})
     mean = lambda c: F.avg(F.when(F.col("declared"), F.col(c)))
     n = F.sum("support")
     return labels.groupBy(*keys).agg(

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.functions.hashing import digest
+from sigspark.functions.hashing import digest, hash_below
 from sigspark.operators.audit import missing_cells
+from sigspark.operators.metrics import merge_rows
 from sigspark.operators.prefix import first_k, with_row_number, with_running_sums
+from sigspark.session import cut_lineage
 from sigspark.sources.manifests import SPLITS
 
 # An assignment names at most one file per selected read; below this many rows it is sent to every task.
@@ -29,12 +31,11 @@ def assign_groups(manifest: DataFrame, *, targets: Mapping[str, int], cap: int,
         .withColumn("usable", F.least("available_reads", F.lit(cap)))
         .withColumn("at", digest(seed, F.col("barcode"), F.col("ccf_file")))
     )
-    rest = (
-        with_running_sums(files, ["barcode"], ["at", "ccf_file"], {"upto": "usable"})
-        .withColumn("before", F.col("upto") - F.col("usable"))
-        .withColumn("start", F.lit(0).cast("long"))
-        .select("barcode", "ccf_file", "available_reads", "usable", "before", "start")
-    )
+    placed = with_running_sums(files, ["barcode"], ["at", "ccf_file"], {"upto": "usable"})
+    before = (F.col("upto") - F.col("usable")).alias("before")
+    # one row per file, read once per split
+    rest = cut_lineage(placed.select("barcode", "ccf_file", "available_reads", "usable", before))
+    rest = rest.withColumn("start", F.lit(0).cast("long"))
     assigned = None
     for split, target in targets.items():
         filled = F.col("before") - F.col("start")
@@ -157,8 +158,6 @@ def subset_audit(manifest: DataFrame, ordered: Sequence[str], k_min: int) -> Dat
         totals = [F.sum(s).alias(f"{s}_rows") for s in SPLITS] if sizes else []
         return per_key.groupBy("class_count").agg(F.sum(F.col("crosses").cast("long")).alias(name), *totals)
 
-    from sigspark.operators.metrics import merge_rows
-
     return merge_rows(
         [
             parts(["read_id"], "read_overlap", False),
@@ -204,17 +203,16 @@ def cross_file_pairs(rows: DataFrame, *, n_pairs: int, seed: int, order: Sequenc
     Pair p takes the classes in turn. Files and reads are drawn by position, so the work is the numbering of rows plus
     ``n_pairs`` equi-joins; no group is ever joined with itself.
     """
-    from sigspark.functions.hashing import hash_below
-
     numbered = with_row_number(rows, ["barcode", "ccf_file"], order, "nth").select(
         "barcode", "ccf_file", "read_id", (F.col("nth") - 1).alias("nth")
     )
     sizes = numbered.groupBy("barcode", "ccf_file").agg(F.count(F.lit(1)).alias("reads"))
     files = with_row_number(sizes, ["barcode"], ["ccf_file"], "file_at").withColumn("file_at", F.col("file_at") - 1)
+    files = cut_lineage(files)
     per_class = files.groupBy("barcode").agg(F.count(F.lit(1)).alias("files"))
     message = F.concat(F.lit("class needs at least two files: "), F.col("barcode"))
     enough = F.when(F.col("files") < 2, F.raise_error(message).cast("long")).otherwise(F.col("files"))
-    classes = with_row_number(per_class.withColumn("files", enough), [], ["barcode"], "class_at")
+    classes = cut_lineage(with_row_number(per_class.withColumn("files", enough), [], ["barcode"], "class_at"))
     n_classes = classes.count()
     draws = (
         rows.sparkSession.range(n_pairs)
