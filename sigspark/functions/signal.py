@@ -25,7 +25,7 @@ QUANTILES = (0.01, 0.99)
 
 
 def restore_signal() -> Column:
-    """Physical values of the raw ``signal`` column, NULL when neither calibration variant is complete.
+    """Physical values of the raw ``signal`` column; ``lvdsmid`` selects the first of two calibration variants.
 
     The first variant is (raw - lvdsmid) * unit, the second k * scale * (raw as unsigned 16 bit + offset) + b.
     """
@@ -33,10 +33,7 @@ def restore_signal() -> Column:
     scaled = F.transform(
         "signal", lambda v: F.col("k") * F.col("scale") * (F.pmod(v, F.lit(65536)) + F.col("offset")) + F.col("b")
     )
-    complete = lambda *names: F.coalesce(*[F.when(F.col(n).isNull(), True) for n in names], F.lit(False)) == False  # noqa: E731,E712
-    return F.when(F.col("lvdsmid").isNotNull() & F.col("unit").isNotNull(), centred).when(
-        F.col("lvdsmid").isNull() & complete("k", "scale", "offset", "b"), scaled
-    )
+    return F.when(F.col("lvdsmid").isNotNull(), centred).otherwise(scaled)
 
 
 def smooth_clamp(x: Column, linear: float = LINEAR_BOUND, target: float = TARGET_BOUND) -> Column:

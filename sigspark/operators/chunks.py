@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,13 +62,10 @@ def pick_indices(n: Column, k: int | None) -> Column:
 
 
 def read_status(reads: DataFrame, profile: SignalProfile) -> DataFrame:
-    """Add ``status``: invalid (no signal or incomplete calibration), too_short or eligible."""
-    calibrated = (F.col("lvdsmid").isNotNull() & F.col("unit").isNotNull()) | (
-        F.col("lvdsmid").isNull()
-        & F.col("k").isNotNull()
-        & F.col("scale").isNotNull()
-        & F.col("offset").isNotNull()
-        & F.col("b").isNotNull()
+    """Add ``status``: invalid (no signal, or a calibration that is incomplete or not finite), too_short or eligible."""
+    finite = lambda *names: reduce(and_, [_is_finite(F.col(n)) for n in names])
+    calibrated = F.when(F.col("lvdsmid").isNotNull(), finite("lvdsmid", "unit")).otherwise(
+        finite("k", "scale", "offset", "b")
     )
     status = (
         F.when(F.col("signal").isNull() | ~calibrated, "invalid")
@@ -99,19 +98,20 @@ def normalize_reads(reads: DataFrame, profile: SignalProfile) -> DataFrame:
     return rows.withColumn("x", sig.restore_signal()).withColumn("x", profile.normalize(F.col("x")))
 
 
-def chunk_signal(reads: DataFrame, profile: SignalProfile, x: str = "x") -> DataFrame:
-    """One row per window of ``x``: (read_id, source_file, chunk_index, n_chunks, chunk).
+def chunk_signal(reads: DataFrame, profile: SignalProfile, x: str = "x", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per window of ``x``, with the read, its file and the columns in ``keep``.
 
     Picks are made on indices first, so windows that are not used are never cut out.
     """
     n = n_windows(F.size(x), profile)
     start = lambda i: profile.discard_first + i * profile.stride
     picked = reads.select(
-        "read_id", "source_file", x, n.alias("source_n_chunks"), F.posexplode(pick_indices(n, profile.max_chunks))
+        "read_id", "source_file", *keep, x, n.alias("source_n_chunks"), F.posexplode(pick_indices(n, profile.max_chunks))
     )
     return picked.select(
         "read_id",
         "source_file",
+        *keep,
         F.col("pos").alias("chunk_index"),
         F.col("col").alias("window_index"),
         "source_n_chunks",
@@ -119,16 +119,21 @@ def chunk_signal(reads: DataFrame, profile: SignalProfile, x: str = "x") -> Data
     )
 
 
-def build_chunks(reads: DataFrame, profile: SignalProfile) -> DataFrame:
+def build_chunks(reads: DataFrame, profile: SignalProfile, keep: Sequence[str] = ()) -> DataFrame:
     """Restore, normalise and cut; a window with a non-finite value is an error at run time."""
-    chunks = chunk_signal(normalize_reads(reads, profile), profile)
+    chunks = chunk_signal(normalize_reads(reads, profile), profile, keep=keep)
     message = F.concat(F.lit("non-finite values in read "), F.col("read_id"))
     checked = F.when(non_finite(F.col("chunk")), F.raise_error(message).cast("array<double>")).otherwise(F.col("chunk"))
     return chunks.withColumn("chunk", checked)
 
 
+def _is_finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+
 def non_finite(values: Column) -> Column:
-    return F.exists(values, lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    """Whether an array holds a NaN, an infinity or a NULL (Arrow turns a NaN from Python into NULL)."""
+    return F.exists(values, lambda v: ~_is_finite(v))
 
 
 def finite_audit(rows: DataFrame, values: str, keys: Sequence[str]) -> DataFrame:
