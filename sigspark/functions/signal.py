@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values of the published preprocessing profiles
+# fixed values of the two preprocessing profiles
 MAD_SCALE = 1.4826
 MINIMUM, MAXIMUM = 1.0, 220.0
 SPIKE_WINDOW, SPIKE_THRESHOLD = 6000, 5.0

@@ -4,26 +4,37 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# signal file formats that users keep (fixed values)
+# fixed values: signal file formats
 SIGNAL_SUFFIXES = (".ccf5", ".blow5", ".slow5")
 
 
 def list_files(spark: SparkSession, root: str, suffixes: Sequence[str] = SIGNAL_SUFFIXES) -> DataFrame:
-    """Path, size and modification time of the matching files below ``root``; contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    )
+    """Path, size and modification time of the matching files below ``root``; contents are not read.
+
+    A scan leaves out files without a byte; :func:`empty_files` names those.
+    """
+    files = _binary(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return files.withColumn("extension", extension(F.col("path"))).where(F.col("extension").isin(*suffixes))
 
 
+def _binary(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of the files of size zero: those in the file index of the scan that its rows lack."""
+    scan = _binary(spark, root)
+    listed = [(re.sub("^file:/+", "file:/", unquote(uri)),) for uri in scan.inputFiles()]
+    return spark.createDataFrame(listed, "path string").join(scan.select("path"), "path", "left_anti")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./]+$", 0))
 
@@ -38,8 +49,12 @@ def inventory(spark: SparkSession, root: str, suffixes: Sequence[str] = SIGNAL_S
     relative = _relative(F.col("path"), root)
     first = F.split_part(relative, F.lit("/"), F.lit(1))
     group = F.when(F.instr(relative, "/") > 0, first).otherwise(F.lit("root"))
+    empty = empty_files(spark, root).select("path", F.lit(0).cast("long").alias("size"))
+    empty = empty.withColumn("extension", extension(F.col("path"))).where(F.col("extension").isin(*suffixes))
     return (
         list_files(spark, root, suffixes)
+        .drop("mtime")
+        .unionByName(empty)
         .groupBy(group.alias("group"))
         .agg(
             F.count(F.lit(1)).alias("files"),
@@ -59,10 +74,13 @@ def discover(spark: SparkSession, path: str, suffixes: Sequence[str] = SIGNAL_SU
 
 def checksums(spark: SparkSession, root: str) -> DataFrame:
     """SHA-256, path below ``root`` and size of every file; one file is one row, of at most 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(
-        F.sha2("content", 256).alias("sha256"), _relative(F.col("path"), root).alias("path"), F.col("length").alias("size")
+    nothing = F.lit(b"")
+    relative = _relative(F.col("path"), root).alias("path")
+    full = _binary(spark, root).select(F.sha2("content", 256).alias("sha256"), relative, F.col("length").alias("size"))
+    empty = empty_files(spark, root).select(
+        F.sha2(nothing, 256).alias("sha256"), relative, F.lit(0).cast("long").alias("size")
     )
+    return full.unionByName(empty)
 
 
 def write_checksums(sums: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 SPLITS = ("train", "val", "test")
 
-# column sets of the manifest kinds (formats that users already have on disk)
+# fixed values: column sets of the manifest files that users already have
 AUDIT_COLUMNS = ("read_id", "split", "barcode", "label")
 BAG_COLUMNS = (
     "split", "split_order", "barcode", "label", "read_id", "part_id", "part_base", "part_read_index", "chunk_start",
