@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sigspark.functions import signal as sig
 from sigspark.functions.arrays import uniform_position
 from sigspark.functions.hashing import digest, hash_below, uniform
-from sigspark.operators.prefix import first_k, with_running_sums
+from sigspark.operators.prefix import MAP_SIDE_LIMIT, first_k, with_running_sums
+from sigspark.session import cut_lineage
 
 NORMALIZERS = ("mad", "sclamp")
 
@@ -87,9 +88,25 @@ def status_counts(reads: DataFrame, profile: SignalProfile) -> DataFrame:
 
 
 def limit_eligible(reads: DataFrame, profile: SignalProfile, max_reads: int) -> DataFrame:
-    """The first ``max_reads`` eligible reads in (file, position) order; ineligible reads do not count."""
+    """The first ``max_reads`` eligible reads in (file, position) order; ineligible reads do not count.
+
+    A large limit is resolved on counts per file: files before the limit pass whole, and only the reads of the one file
+    in which it falls are ranked, so signals are not sorted.
+    """
     rows = read_status(reads, profile).where("status = 'eligible'").drop("status")
-    return rows.orderBy("source_file", "source_read_index", "read_id").limit(max_reads)
+    order = ["source_read_index", "read_id"]
+    if max_reads <= MAP_SIDE_LIMIT:
+        return rows.orderBy("source_file", *order).limit(max_reads)
+    counts = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+    files = cut_lineage(with_running_sums(counts, [], ["source_file"], {"upto": "n"}))
+    whole = rows.join(files.where(F.col("upto") <= max_reads).select("source_file"), "source_file", "left_semi")
+    before = F.col("upto") - F.col("n")
+    edge = files.where((F.col("upto") > max_reads) & (before < max_reads)).select("source_file", before.alias("b")).first()
+    if edge is None:
+        return whole.select(*rows.columns)
+    part = rows.where(F.col("source_file") == edge.source_file)
+    part = first_k(part, ["source_file"], order, max_reads - edge.b, "nth").drop("nth")
+    return whole.select(*rows.columns).unionByName(part)
 
 
 def normalize_reads(reads: DataFrame, profile: SignalProfile) -> DataFrame:

@@ -17,6 +17,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
+DUCK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -52,6 +54,10 @@ def compare(spark_df, connection, text) -> str | None:
     expected_names, right = table([c[0] for c in relation.description], relation.fetchall())
     if names != expected_names:
         return f"columns {names} != {expected_names}"
+    types = {name: DUCK_TYPES.get(t, t) for name, t in spark_df.dtypes}
+    expected_types = {r[0]: r[1] for r in connection.execute(f"DESCRIBE {text}").fetchall()}
+    if types != expected_types:
+        return f"types {types} != {expected_types}"
     if len(left) != len(right):
         return f"rows {len(left)} != {len(right)}"
     for a, b in zip(left, right):

@@ -130,6 +130,16 @@ def test_limit_counts_eligible_reads_only(spark):
     assert [r.read_id for r in got] == ["r1", "r3", "r5", "r7"]
 
 
+@pytest.mark.parametrize("limit", [1200, 2999, 3000, 9000])
+def test_large_limits_take_whole_files_and_part_of_one(spark, limit):
+    profile = ch.SignalProfile("mad", discard_first=0, chunk_size=4, overlap=2)
+    # the first file holds a third of the reads
+    rows = [read(f"r{i}", [1] * (9 if i % 3 else 2), file=f"f{max(0, i % 12 - 3)}", index=i) for i in range(4500)]
+    got = ch.limit_eligible(spark.createDataFrame(rows, SIGNAL_SCHEMA), profile, limit).select("read_id").collect()
+    eligible = sorted((r[1], r[2], r[0]) for r in rows if len(r[3]) == 9)
+    assert sorted(r.read_id for r in got) == sorted(r for _, _, r in eligible[:limit])
+
+
 def test_reads_that_cannot_become_finite_are_invalid(spark):
     profile = ch.SignalProfile("mad", discard_first=0, chunk_size=4, overlap=2)
     rows = [read("inf", range(6), unit=float("inf")), read("nan", range(6), float("nan")), read("ok", range(6))]
