@@ -12,6 +12,7 @@ from sigspark.operators.metrics import merge_rows
 from sigspark.sources.manifests import SPLITS, group_file, run_prefix
 
 EXAMPLES = 10
+KNOWN_SPLITS = (*SPLITS, "atlas")
 
 
 @dataclass(frozen=True)
@@ -23,9 +24,16 @@ class AuditResult:
     examples: DataFrame
 
 
-def _leaks(split: str) -> Column:
-    # two extremes differ exactly when there are two distinct values, and need no distinct set
-    return F.min(split) != F.max(split)
+def crosses_splits(split: str) -> Column:
+    """Whether a group has rows in more than one split.
+
+    Two extremes differ exactly when there are two distinct values. The usual split names become small numbers and any
+    other name its 64-bit hash, because aggregates over numbers stay in hash tables while those over strings are sorted.
+    """
+    code = F.xxhash64(split)
+    for i, name in enumerate(KNOWN_SPLITS):
+        code = F.when(F.col(split) == name, F.lit(i).cast("long")).otherwise(code)
+    return F.min(code) != F.max(code)
 
 
 def _examples(rows: DataFrame, value: Column, kind: str) -> DataFrame:
@@ -35,12 +43,12 @@ def _examples(rows: DataFrame, value: Column, kind: str) -> DataFrame:
 
 def audit_manifest(manifest: DataFrame, split: str = "split") -> AuditResult:
     """Duplicate read ids, and reads and (class, file) groups that appear in more than one split."""
-    reads = manifest.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), _leaks(split).alias("leaks"))
+    reads = manifest.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), crosses_splits(split).alias("leaks"))
     files = (
         manifest.select("barcode", group_file(manifest).alias("file"), split)
         .where("file IS NOT NULL")
         .groupBy("barcode", "file")
-        .agg(_leaks(split).alias("leaks"))
+        .agg(crosses_splits(split).alias("leaks"))
     )
     flag = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     parts = [
@@ -103,7 +111,7 @@ def audit_classes(
 ) -> DataFrame:
     """Per class: files, crossing files and reads by split."""
     in_split = {s: F.sum((F.col(split) == s).cast("long")).alias(f"{s}_reads") for s in splits}
-    per_file = manifest.groupBy("barcode", "ccf_file").agg(_leaks(split).alias("crosses"), *in_split.values())
+    per_file = manifest.groupBy("barcode", "ccf_file").agg(crosses_splits(split).alias("crosses"), *in_split.values())
     per_class = per_file.groupBy("barcode").agg(
         F.count(F.lit(1)).alias("ccf_files"),
         F.sum(F.col("crosses").cast("long")).alias("files_crossing_splits"),
@@ -129,7 +137,7 @@ def audit_protocol(manifest: DataFrame, order: Sequence[str], split: str = "spli
         .groupBy("read_id")
         .agg(F.sum("n").alias("n"), F.min_by("n", "first_at").alias("in_first_split"))
     )
-    files = manifest.groupBy("barcode", "ccf_file").agg(_leaks(split).alias("crosses"))
+    files = manifest.groupBy("barcode", "ccf_file").agg(crosses_splits(split).alias("crosses"))
     parts = [
         reads.agg(
             F.sum("n").alias("total_rows"),

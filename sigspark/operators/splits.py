@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.functions.hashing import digest, hash_below
-from sigspark.operators.audit import missing_cells
+from sigspark.operators.audit import crosses_splits, missing_cells
 from sigspark.operators.metrics import merge_rows
 from sigspark.operators.prefix import first_k, with_row_number, with_running_sums
 from sigspark.session import cut_lineage
@@ -152,9 +152,8 @@ def subset_audit(manifest: DataFrame, ordered: Sequence[str], k_min: int) -> Dat
     rows = nested_subsets(manifest, ordered, k_min)
 
     def parts(keys: Sequence[str], name: str, sizes: bool) -> DataFrame:
-        crosses = F.min("split") != F.max("split")
         n = [F.sum((F.col("split") == s).cast("long")).alias(s) for s in SPLITS] if sizes else []
-        per_key = rows.groupBy("class_count", *keys).agg(crosses.alias("crosses"), *n)
+        per_key = rows.groupBy("class_count", *keys).agg(crosses_splits("split").alias("crosses"), *n)
         totals = [F.sum(s).alias(f"{s}_rows") for s in SPLITS] if sizes else []
         return per_key.groupBy("class_count").agg(F.sum(F.col("crosses").cast("long")).alias(name), *totals)
 
