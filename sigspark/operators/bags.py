@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.functions.arrays import argmax, cosine, l2_normalize, softmax
-from sigspark.operators.metrics import class_name, merge_rows
+from sigspark.functions.arrays import argmax, cosine, dot, l2_normalize, let, softmax, sum_of
+from sigspark.operators.metrics import class_name
 
 
 def encode_chunks(
@@ -200,9 +200,9 @@ def embedding_agreement(
     return details, summary
 
 
-def first_read_per_class(chunks: DataFrame, n_chunks: int) -> DataFrame:
-    """The first ``n_chunks`` chunks of the first read of every class."""
-    first = chunks.groupBy("label").agg(F.min("read_id").alias("read_id"))
+def first_read_per_class(chunks: DataFrame, n_chunks: int, order: Sequence[str]) -> DataFrame:
+    """The first ``n_chunks`` chunks of the first read, in the given order, of every class."""
+    first = chunks.groupBy("label").agg(F.min(F.struct(*order, "read_id"))["read_id"].alias("read_id"))
     return chunks.join(first, ["label", "read_id"], "left_semi").where(F.col("chunk_index") < n_chunks)
 
 
@@ -210,8 +210,6 @@ def distill_terms(
     rows: DataFrame, *, temperature: float, label_smoothing: float, n_classes: int
 ) -> DataFrame:
     """Mean cross entropy, temperature-scaled KL divergence and cosine misalignment of student against teacher."""
-    from sigspark.functions.arrays import dot, let, sum_of
-
     def log_softmax(x: Column) -> Column:
         total = lambda m: F.log(sum_of(F.transform(x, lambda v: F.exp(v - m)))) + m
         return let(let(F.array_max(x), total), lambda z: F.transform(x, lambda v: v - z))

@@ -247,7 +247,11 @@ def aurc(pred: DataFrame, order_col: str) -> DataFrame:
 
 
 def confidence_hist(pred: DataFrame, bins: int = 30) -> DataFrame:
-    """Histogram of confidence on [0, 1] by correctness; the last bin is closed, values outside are left out."""
+    """Histogram of confidence on [0, 1]; the last bin is closed, values outside are left out.
+
+    Rows are split by correctness, or kept together (``correct`` is NULL) when the true label is unknown.
+    """
+    outcome = is_correct() if "true_label" in pred.columns else F.lit(None).cast("boolean")
     step = 1.0 / bins
     c = F.col("confidence")
     guess = F.floor(c * bins)
@@ -258,7 +262,7 @@ def confidence_hist(pred: DataFrame, bins: int = 30) -> DataFrame:
     )
     counts = (
         pred.where(c.between(0, 1))
-        .groupBy(is_correct().alias("correct"), F.least(exact, F.lit(bins - 1)).cast("int").alias("bin"))
+        .groupBy(outcome.alias("correct"), F.least(exact, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("reads"))
     )
     # at most 2 x bins rows from here on

@@ -196,8 +196,10 @@ def greedy_order(distances: DataFrame, anchors: tuple[str, str]) -> DataFrame:
     return matrix.select(F.posexplode(order).alias("position", "barcode"))
 
 
-def cross_file_pairs(rows: DataFrame, *, n_pairs: int, seed: int, order: Sequence[str]) -> DataFrame:
-    """Seeded training pairs: same class, two different files, one read of each.
+def cross_file_pairs(
+    rows: DataFrame, *, seed: int, order: Sequence[str], n_pairs: int | None = None
+) -> DataFrame:
+    """Seeded training pairs: same class, two different files, one read of each; half as many pairs as rows by default.
 
     Pair p takes the classes in turn. Files and reads are drawn by position, so the work is the numbering of rows plus
     ``n_pairs`` equi-joins; no group is ever joined with itself.
@@ -213,6 +215,8 @@ def cross_file_pairs(rows: DataFrame, *, n_pairs: int, seed: int, order: Sequenc
     enough = F.when(F.col("files") < 2, F.raise_error(message).cast("long")).otherwise(F.col("files"))
     classes = cut_lineage(with_row_number(per_class.withColumn("files", enough), [], ["barcode"], "class_at"))
     n_classes = classes.count()
+    if n_pairs is None:
+        n_pairs = max(1, files.agg(F.sum("reads")).first()[0] // 2)
     draws = (
         rows.sparkSession.range(n_pairs)
         .withColumnRenamed("id", "pair")

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.operators import calibration as cal
-from sigspark.operators.audit import AuditResult, audit_manifest, require_unique_reads
+from sigspark.operators import chunks as ch
+from sigspark.operators.audit import AuditResult, audit_manifest, require_unique_reads, tier_summary
 from sigspark.operators.bags import AttentionParams, LinearHead, encode_chunks, score_bags
 from sigspark.operators.chunks import SignalProfile, build_chunks, limit_eligible, status_counts
 from sigspark.operators.metrics import auroc, aurc, confidence_hist, confusion_wide
 from sigspark.sources import files, sinks
-from sigspark.sources.manifests import assert_manifest, read_manifest
+from sigspark.sources.manifests import SPLITS, assert_manifest, read_manifest
 from sigspark.sources.predictions import read_predictions
 
 LEDGER = "path string, size long, mtime timestamp, config_hash string, status string"
@@ -56,6 +57,32 @@ def cache_chunks(
     return status_counts(reads, profile)
 
 
+def export_benchmark(
+    spark: SparkSession, benchmark: DataFrame, raw: DataFrame, chunks: DataFrame, out: str, *, max_chunks: int,
+    profile_id: str,
+) -> DataFrame:
+    """Portable benchmark: manifest with re-based chunk pointers, at most ``max_chunks`` even picks per read, checksums.
+
+    ``benchmark`` has split, split_order, barcode, label, read_id and ccf_file; ``raw`` has read_id and raw_n_chunks;
+    ``chunks`` has read_id, chunk_index and chunk.
+    """
+    manifest = ch.export_benchmark(benchmark, raw, max_chunks=max_chunks, splits=SPLITS, profile_id=profile_id)
+    manifest = manifest.withColumn("chunk_selection", F.lit("uniform_eval"))
+    manifest.write.mode("overwrite").parquet(f"{out}/manifest")
+    manifest = spark.read.parquet(f"{out}/manifest")
+    wanted = manifest.select("barcode", "read_id", "raw_chunk_start", F.col("source_n_chunks").alias("n_chunks"))
+    picked = ch.pick_chunks(chunks.join(wanted, "read_id"), max_chunks)
+    indices = ch.pick_indices(F.col("n_chunks"), max_chunks)
+    at = F.col("raw_chunk_start") + F.array_position(indices, F.col("chunk_index")) - 1
+    sinks.write_store(
+        picked.select("barcode", "read_id", "chunk_index", at.alias("raw_chunk_at"), "chunk"), f"{out}/chunks", by="barcode"
+    )
+    expected = manifest.select("read_id", F.explode(ch.pick_indices(F.col("source_n_chunks"), max_chunks)).alias("chunk_index"))
+    sinks.require_complete(expected, spark.read.parquet(f"{out}/chunks"), ["read_id", "chunk_index"])
+    files.write_checksums(files.checksums(spark, f"{out}/chunks"), f"{out}/checksums")
+    return tier_summary(manifest)
+
+
 def predict(
     spark: SparkSession, chunks_path: str, out: str, head: LinearHead, classes: Sequence[str], *, dim: int,
     make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None, chunk_size: int | None = None,
@@ -102,8 +129,7 @@ def report(
     sinks.write_csv(cal.abundance(pred, classes, spec).orderBy("label"), f"{out}/abundance")
     labelled = "true_label" in pred.columns and pred.where("true_label IS NULL").isEmpty()
     if not labelled:
-        counts = confidence_hist(pred.withColumn("true_label", F.col("predicted_label")))
-        sinks.write_csv(counts.select("bin", "reads"), f"{out}/confidence")
+        sinks.write_csv(confidence_hist(pred.drop("true_label")).drop("correct"), f"{out}/confidence")
         return
     sinks.write_csv(cal.selective_report(pred, classes, spec), f"{out}/summary")
     sinks.write_csv(cal.per_class_selective(pred, classes, spec).orderBy("label"), f"{out}/per_class")

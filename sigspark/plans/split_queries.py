@@ -315,7 +315,7 @@ def _(spark, d):
     return splits.subset_audit(manifest(spark, d), ["R", "A", "N"], 2)
 
 
-def _pairs_sql(n_pairs: int) -> str:
+def _pairs_sql() -> str:
     h = lambda text: f"CAST('0x' || substr(sha256('{SEED}|{text}|' || CAST(p AS VARCHAR)), 1, 8) AS BIGINT)"
     return f""", n AS MATERIALIZED (SELECT barcode, ccf_file, read_id,
     row_number() OVER (PARTITION BY barcode, ccf_file ORDER BY {ORDER}) - 1 AS nth FROM manifest WHERE split = 'train'),
@@ -323,7 +323,7 @@ f AS (SELECT barcode, ccf_file, count(*) AS reads, row_number() OVER (PARTITION
       FROM n GROUP BY 1, 2),
 c AS (SELECT barcode, count(*) AS files, row_number() OVER (ORDER BY barcode) AS class_at FROM f GROUP BY 1),
 q AS MATERIALIZED (SELECT p, barcode, files, {h('left')} % files AS a, {h('step')} % (files - 1) AS s, {h('left')} AS hl, {h('right')} AS hr
-      FROM range({n_pairs}) t(p) JOIN c ON class_at = p % (SELECT count(*) FROM c) + 1),
+      FROM (SELECT unnest(range((SELECT count(*) // 2 FROM n))) AS p) JOIN c ON class_at = p % (SELECT count(*) FROM c) + 1),
 w AS MATERIALIZED (SELECT p, q.barcode, lf.ccf_file AS lfile, rf.ccf_file AS rfile, hl % lf.reads AS ln, hr % rf.reads AS rn
   FROM q JOIN f lf ON lf.barcode = q.barcode AND lf.at = a JOIN f rf ON rf.barcode = q.barcode AND rf.at = (a + 1 + s) % files),
 wl AS MATERIALIZED (SELECT w.*, l.read_id AS lread FROM w JOIN n l ON l.barcode = w.barcode AND l.ccf_file = lfile AND l.nth = ln)
@@ -331,10 +331,10 @@ SELECT p AS pair, wl.barcode, lfile AS left_file, lread AS left_read, rfile AS r
 FROM wl JOIN n r ON r.barcode = wl.barcode AND r.ccf_file = rfile AND r.nth = rn"""
 
 
-@query("cross_file_pairs", sql(["manifest"], _pairs_sql(2000)))
+@query("cross_file_pairs", sql(["manifest"], _pairs_sql()))
 def _(spark, d):
     train = manifest(spark, d).where("split = 'train'")
-    return splits.cross_file_pairs(train, n_pairs=2000, seed=SEED, order=ROW_ORDER)
+    return splits.cross_file_pairs(train, seed=SEED, order=ROW_ORDER)
 
 
 @query("kmer_match", sql(["sequences"], """

@@ -128,6 +128,31 @@ def test_prediction_from_stored_chunks(spark, tmp_path):
     assert rows.count() == 12 and all(len(r.probabilities) == 3 for r in rows.collect())
 
 
+def test_benchmark_export(spark, tmp_path):
+    """54 reads of 4 chunks each, 3 of them exported."""
+    from test_splits import MANIFEST, packaged
+
+    from sigspark.operators import splits
+
+    source = spark.createDataFrame(packaged(), MANIFEST)
+    tier = splits.round_robin(source, targets={"train": 2, "val": 2, "test": 2}, seed=42, order=["split_order"])
+    raw = source.select("read_id", F.lit(4).alias("raw_n_chunks"))
+    chunks = source.select("read_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk_index")).withColumn(
+        "chunk", F.array_repeat(F.col("chunk_index").cast("float"), 8)
+    )
+    out = str(tmp_path / "bench")
+    jobs.export_benchmark(spark, tier, raw, chunks, out, max_chunks=3, profile_id="mad")
+    manifest = spark.read.parquet(f"{out}/manifest")
+    assert {r.split: r["count"] for r in manifest.groupBy("split").count().collect()} == {"train": 18, "val": 18, "test": 18}
+    stored = spark.read.parquet(f"{out}/chunks")
+    assert stored.count() == 162 and {r.chunk_index for r in stored.select("chunk_index").distinct().collect()} == {0, 1, 3}
+    for rows in stored.groupBy("barcode").agg(F.array_sort(F.collect_list("raw_chunk_at")).alias("at")).collect():
+        assert rows["at"] == list(range(18))
+    assert spark.read.text(f"{out}/checksums").count() >= 9
+    with pytest.raises(ValueError, match="incomplete"):
+        jobs.export_benchmark(spark, tier, raw, chunks.where("chunk_index < 3"), out, max_chunks=3, profile_id="mad")
+
+
 def prediction_csv(path, truth=True):
     lines = ["read_id,true_label,pred_label,confidence" if truth else "read_id,pred_label,confidence"]
     for i in range(90):
