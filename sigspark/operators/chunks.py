@@ -40,8 +40,10 @@ class SignalProfile:
     def stride(self) -> int:
         return self.chunk_size - self.overlap
 
-    def normalize(self, x: Column) -> Column:
-        return sig.mad_normalize(x) if self.profile_id == "mad" else sig.sclamp(x, self.spike_window)
+    def normalized(self) -> Column:
+        """Restored and normalised samples of the raw ``signal`` column."""
+        window = self.spike_window
+        return sig.per_restored_read(sig.np_mad if self.profile_id == "mad" else lambda x: sig.np_sclamp(x, window))
 
 
 def n_windows(size: Column, profile: SignalProfile) -> Column:
@@ -112,7 +114,7 @@ def limit_eligible(reads: DataFrame, profile: SignalProfile, max_reads: int) ->
 def normalize_reads(reads: DataFrame, profile: SignalProfile) -> DataFrame:
     """Eligible reads with their normalised signal in ``x``."""
     rows = read_status(reads, profile).where("status = 'eligible'").drop("status")
-    return rows.withColumn("x", sig.restore_signal()).withColumn("x", profile.normalize(F.col("x")))
+    return rows.withColumn("x", profile.normalized())
 
 
 def chunk_signal(reads: DataFrame, profile: SignalProfile, x: str = "x", keep: Sequence[str] = ()) -> DataFrame:

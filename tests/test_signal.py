@@ -98,6 +98,8 @@ def test_restoration_variants(spark):
     df = spark.createDataFrame(rows, SIGNAL_SCHEMA).withColumn("x", sig.restore_signal())
     got = {r.read_id: r.x for r in df.collect()}
     assert got == {"a": [0.0, 5.0], "b": [65536.25, 4.25], "c": [None]}
+    both = df.withColumn("y", sig.per_restored_read(lambda x: x)).where("read_id <> 'c'").collect()
+    assert all(r.x == r.y for r in both)
 
 
 def test_long_read_gives_three_windows(spark):
