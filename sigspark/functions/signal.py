@@ -152,17 +152,24 @@ def per_read(function: Callable[[np.ndarray], np.ndarray], x: Column) -> Column:
 
 
 def per_restored_read(function: Callable[[np.ndarray], np.ndarray]) -> Column:
-    """Restore the raw ``signal`` and apply a NumPy function in the same Arrow batch.
+    """Restore the raw ``signal`` and apply a NumPy function in the same Arrow batch; a non-finite result is an error.
 
     Raw integers travel to Python instead of restored doubles, and the samples are touched by one step instead of two.
     """
 
+    def one(raw: np.ndarray | None, *calibration: float) -> np.ndarray | None:
+        if raw is None:
+            return None
+        out = function(np_restore(np.asarray(raw), *calibration))
+        if not np.isfinite(out).all():
+            raise ValueError("normalised signal contains non-finite values")
+        return out
+
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for raw, *calibration in batches:
             rows = zip(raw, *[c.astype(float) for c in calibration])
-            out = [None if r is None else function(np_restore(np.asarray(r), *values)) for r, *values in rows]
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([one(*row) for row in rows], dtype=object)
 
     return run("signal", *CALIBRATION)
 

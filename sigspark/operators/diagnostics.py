@@ -89,7 +89,8 @@ def confusable_pairs(pred: DataFrame, classes: Sequence[str], keys: Sequence[str
     """
     n = len(classes)
     every = F.sequence(F.lit(0), F.lit(n - 1))
-    by_class = confusion_counts(pred, keys).groupBy(*keys, "true_label").agg(
+    declared = [F.col(c).between(0, n - 1) for c in ("true_label", "predicted_label")]
+    by_class = confusion_counts(pred, keys).where(declared[0] & declared[1]).groupBy(*keys, "true_label").agg(
         F.collect_list(F.struct("predicted_label", "n")).alias("cells"), F.sum("n").alias("support")
     )
     found = by_class.groupBy(*keys).agg(F.collect_list(F.struct("true_label", "support", "cells")).alias("found"))

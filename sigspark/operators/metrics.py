@@ -41,6 +41,11 @@ def is_correct() -> Column:
     return F.col("true_label") == F.col("predicted_label")
 
 
+def declared_or_other(label: Column, n_classes: int) -> Column:
+    """The label if it is declared, else -1, so that stray labels cannot make a small table large."""
+    return F.when(label.between(0, n_classes - 1), label).otherwise(F.lit(-1))
+
+
 def confusion_counts(pred: DataFrame, keys: Sequence[str] = (), accepted: Column | None = None) -> DataFrame:
     """One row per observed (true, predicted) pair with its count, accepted count and confidence sum."""
     taken = F.lit(True) if accepted is None else accepted
@@ -60,8 +65,8 @@ def per_label(
 ) -> DataFrame:
     """Support, predicted and true-positive counts with precision, recall and F1 of every label.
 
-    With ``n_classes`` every declared label appears, also with zero counts, and ``declared`` marks it; without it the
-    domain is what was observed as true or predicted label. Several ``weights`` (all rows, accepted rows) are counted
+    With ``n_classes`` every declared label appears, also with zero counts, and ``declared`` marks it; all other labels share
+    the label -1. Without it the domain is what was observed as true or predicted label. Several ``weights`` (all rows, accepted rows) are counted
     side by side; columns of every further weight end in its name. ``carry`` aggregates more columns of ``counts`` by true
     label. Everything follows from one pass over ``counts``.
     """
@@ -72,6 +77,8 @@ def per_label(
 
     def part(label: Column, values: Sequence[Column], carried: Sequence[Column]) -> Column:
         fields = [v.cast("long").alias(m) for m, v in zip(measures, values)]
+        if n_classes is not None:
+            label = declared_or_other(label, n_classes)
         return F.struct(label.cast("int").alias("label"), *fields, *[c.alias(n) for n, c in zip(carry, carried)])
 
     hit = is_correct().cast("long")
@@ -90,7 +97,7 @@ def per_label(
     )
     declared = F.lit(True)
     if n_classes is not None:
-        # at most one entry per label and key
+        # at most n_classes + 1 entries per key
         found = labels.groupBy(*keys).agg(F.collect_list(F.struct("label", *measures, *carry)).alias("found"))
         absent = F.array_except(
             F.sequence(F.lit(0), F.lit(n_classes - 1)), F.transform("found", lambda r: r["label"])
@@ -170,8 +177,9 @@ def confusion_wide(pred: DataFrame, classes: Sequence[str]) -> DataFrame:
 def composition(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Reads and fraction of every declared class from (label, reads) rows."""
     zeros = class_table(counts.sparkSession, classes).select("label", F.lit(0).cast("long").alias("reads"))
-    totals = counts.unionByName(zeros).groupBy("label").agg(F.sum("reads").alias("reads"))
-    # one row per label from here on
+    label = declared_or_other(F.col("label"), len(classes)).alias("label")
+    totals = counts.unionByName(zeros).groupBy(label).agg(F.sum("reads").alias("reads"))
+    # one row per class from here on
     whole = totals.agg(F.collect_list(F.struct("label", "reads")).alias("rows"), F.sum("reads").alias("total"))
     rows = whole.select(F.explode("rows").alias("r"), "total").where(F.col("r.label").between(0, len(classes) - 1))
     return rows.select(

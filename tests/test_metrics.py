@@ -59,6 +59,19 @@ def test_metrics_of_an_empty_table(spark):
     assert sum(r.n for r in met.confusion_matrix(empty, CLASSES).collect()) == 0
 
 
+def test_undeclared_labels_count_in_totals_only(spark):
+    rows = random_rows(200, 11, classes=4) + [(77, 5000 + i, 0.5) for i in range(40)] + [(9, 9, 0.5)]
+    pred = predictions(spark, rows)
+    r = met.class_summary(pred, CLASSES[:4]).first()
+    assert r.n == 241 and r.accuracy == pytest.approx(np.mean([t == p for t, p, _ in rows]))
+    assert r.macro_f1 == pytest.approx(np.mean([f1_of(rows, c) for c in range(4)]))
+    assert met.class_metrics(pred, CLASSES[:4]).count() == 4
+    shares = cal.abundance(pred, CLASSES[:4], cal.ThresholdSpec(0.0, False)).collect()
+    assert len(shares) == 4 and sum(x.reads for x in shares) == 200
+    assert sum(x.fraction_of_accepted for x in shares) == pytest.approx(200 / 241)
+    assert diag.confusable_pairs(pred, CLASSES[:4]).count() == 6
+
+
 def test_auroc_against_all_pairs(spark):
     rows = random_rows(300, 2)
     hit = [c for t, p, c in rows if t == p]

@@ -151,6 +151,13 @@ def test_reads_that_cannot_become_finite_are_invalid(spark):
     assert {r.read_id for r in ch.build_chunks(df, profile).collect()} == {"ok"}
 
 
+def test_overflow_to_infinity_is_an_error(spark):
+    profile = ch.SignalProfile("mad", discard_first=0, chunk_size=4, overlap=2)
+    df = spark.createDataFrame([read("r", [2**30] * 3 + [-(2**30)] * 3, unit=1e300)], SIGNAL_SCHEMA)
+    with pytest.raises(Exception, match="non-finite"):
+        ch.build_chunks(df, profile).collect()
+
+
 def test_finite_audit_sees_nan_infinity_and_null(spark):
     rows = [("a", [1.0, float("nan")]), ("b", [float("-inf")]), ("c", [None, 2.0]), ("d", [0.0])]
     df = spark.createDataFrame(rows, "k string, v array<double>")
