@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,20 +54,89 @@ def random_projection(chunk_size: int, dim: int, seed: int = 0) -> Callable[[],
     return make
 
 
-def _sum_vector(value: Callable[[int], Column], dim: int) -> list[Column]:
-    return [F.sum(value(i)).alias(f"_s{i}") for i in range(dim)]
+def _sum_by_key(
+    batches: Iterator[pa.RecordBatch],
+    keys: Sequence[str],
+    load: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]],
+) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]]:
+    """Per batch and key the sums of (count, weight, vector).
 
+    The key of the last row is held back and joined with the next batch, so a run of equal keys gives one row however many
+    batches it spans; sorted input therefore gives every key once.
+    """
+    held = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        columns = [batch.column(k) for k in keys]
+        n, weight, vectors = load(batch)
+        if held is not None:
+            columns = [pa.concat_arrays([h, c]) for h, c in zip(held[0], columns)]
+            n, weight, vectors = (np.concatenate([h, v]) for h, v in zip(held[1:], (n, weight, vectors)))
+        ids = pa.RecordBatch.from_arrays(columns, names=list(keys)).to_pandas()
+        group = ids.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+        # the held key comes last
+        group = np.where(group == group[-1], len(group), group)
+        order = np.argsort(group, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+        first = pa.array(order[start])
+        columns = [c.take(first) for c in columns]
+        n, weight, vectors = (np.add.reduceat(v[order], start, axis=0) for v in (n, weight, vectors))
+        held = ([c[-1:] for c in columns], n[-1:], weight[-1:], vectors[-1:])
+        if len(start) > 1:
+            yield [c[:-1] for c in columns], n[:-1], weight[:-1], vectors[:-1]
+    if held is not None:
+        yield held
+
+
+def _matrix(column: pa.ListArray, rows: int, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, dim).astype(np.float64)
+
+
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    ends = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+
+
+def _pool(
+    rows: DataFrame, keys: Sequence[str], dim: int, value: str, weigh: Callable[[np.ndarray], np.ndarray] | None
+) -> DataFrame:
+    """(keys, n_chunks, vector) with the weighted mean vector of every key.
 
-def pool_mean(rows: DataFrame, keys: Sequence[str], dim: int, value: str = "embedding") -> DataFrame:
-    """Mean vector and row count per key.
-
-    One sum per component keeps the aggregation partial on the map side, so a hot key costs no more than any other and
-    rows are not multiplied by the dimension.
+    Batches are summed as matrices before the shuffle and the partial sums after it, so a hot key costs no more than any
+    other and no row is multiplied by the dimension.
     """
-    sums = _sum_vector(lambda i: F.get(value, i).cast("double"), dim)
-    pooled = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_chunks"), *sums)
-    vector = F.array(*[F.col(f"_s{i}") / F.col("n_chunks") for i in range(dim)])
-    return pooled.select(*keys, "n_chunks", vector.alias("vector"))
+    keys = list(keys)
+    types = dict(rows.dtypes)
+    key_schema = "".join(f"`{k}` {types[k]}, " for k in keys)
+
+    def chunks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        vectors = _matrix(batch.column(value), batch.num_rows, dim)
+        weight = np.ones(batch.num_rows) if weigh is None else weigh(vectors)
+        return np.ones(batch.num_rows, dtype=np.int64), weight, vectors * weight[:, None]
+
+    def sums(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, weight = (batch.column(c).to_numpy() for c in ("n", "weight"))
+        return n, weight, _matrix(batch.column("sums"), batch.num_rows, dim)
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "n", "weight", "sums"]
+        for columns, n, weight, vectors in _sum_by_key(batches, keys, chunks):
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(weight), _lists(vectors)], names=names)
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "n_chunks", "vector"]
+        for columns, n, weight, vectors in _sum_by_key(batches, keys, sums):
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), _lists(vectors / weight[:, None])], names=names)
+
+    partial = rows.select(*keys, value).mapInArrow(before, f"{key_schema}n long, weight double, sums array<double>")
+    sorted_ = partial.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    return sorted_.mapInArrow(after, f"{key_schema}n_chunks long, vector array<double>")
+
+
+def pool_mean(rows: DataFrame, keys: Sequence[str], dim: int, value: str = "embedding") -> DataFrame:
+    """Mean vector and row count per key."""
+    return _pool(rows, keys, dim, value, None)
 
 
 @dataclass(frozen=True)
@@ -96,23 +166,11 @@ def pool_attention(rows: DataFrame, params: AttentionParams, keys: Sequence[str]
         raise ValueError("attention weights are too large for a softmax without a per-bag maximum")
     dim = params.v.shape[1]
 
-    @F.pandas_udf("array<double>")
-    def weighted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            if batch.empty:
-                yield pd.Series([], dtype=object)
-                continue
-            h = np.stack(batch.to_numpy()).astype(np.float64)
-            gate = np.tanh(h @ params.v.T + params.v0) / (1 + np.exp(-(h @ params.u.T + params.u0)))
-            weight = np.exp(gate @ params.w + params.w0 - params.bound)
-            yield pd.Series(list(np.column_stack([weight, h * weight[:, None]])))
-
-    terms = rows.withColumn("_t", weighted(value))
-    sums = _sum_vector(lambda i: F.get("_t", i), dim + 1)
-    vector = F.array(*[F.col(f"_s{i + 1}") / F.col("_s0") for i in range(dim)])
-    pooled = terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_chunks"), *sums).select(
-        *keys, "n_chunks", vector.alias("vector")
-    )
+    def weigh(h: np.ndarray) -> np.ndarray:
+        gate = np.tanh(h @ params.v.T + params.v0) / (1 + np.exp(-(h @ params.u.T + params.u0)))
+        return np.exp(gate @ params.w + params.w0 - params.bound)
+
+    pooled = _pool(rows, keys, dim, value, weigh)
     return pooled.withColumn("vector", l2_normalize(F.col("vector")))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -55,11 +56,33 @@ def test_attention_pooling_equals_a_softmax_per_bag(spark):
         bag.pool_attention(df, bag.AttentionParams(p.v, p.u, p.w * 1e4), ["read_id"])
 
 
-def test_pooling_combines_before_the_shuffle(spark):
-    df, _ = chunks(spark)
-    for pooled in (bag.pool_mean(df, ["read_id"], DIM), bag.pool_attention(df, params(), ["read_id"])):
-        plan = pooled._jdf.queryExecution().executedPlan().toString()
-        assert "partial_sum" in plan and "collect_list" not in plan
+@pytest.mark.parametrize("layout", ["sorted", "mixed", "one"])
+def test_pooling_of_small_batches_and_hot_keys(spark, layout):
+    """A run of one key over many batches becomes one partial row, and partitioning does not matter."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    reads = np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 40, n)) if layout != "one" else np.zeros(n, dtype=int)
+    reads = np.sort(reads) if layout == "sorted" else reads
+    values = rng.normal(size=(n, DIM))
+    rows = [(None if r == 5 else f"r{r}", int(r) % 2, v.tolist()) for r, v in zip(reads, values)]
+    df = spark.createDataFrame(rows, "read_id string, part int, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {r.read_id: r for r in bag.pool_mean(df, ["read_id", "part"], DIM).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(reads))
+    for r in set(reads):
+        row = got[None if r == 5 else f"r{r}"]
+        assert row.n_chunks == (reads == r).sum() and row.part == r % 2
+        np.testing.assert_allclose(row.vector, values[reads == r].mean(axis=0), atol=1e-12)
+
+
+def test_runs_are_summed_across_batches():
+    batches = [pa.RecordBatch.from_pydict({"k": ["a"] * 5}), pa.RecordBatch.from_pydict({"k": ["a", "a", "b", "a"]})]
+    ones = lambda b: (np.ones(b.num_rows), np.ones(b.num_rows), np.ones((b.num_rows, 2)))
+    out = [(c[0].to_pylist(), n.tolist()) for c, n, _, _ in bag._sum_by_key(iter(batches), ["k"], ones)]
+    assert out == [(["b"], [1.0]), (["a"], [8.0])]
 
 
 def test_scoring_equals_numpy(spark):
