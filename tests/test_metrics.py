@@ -127,12 +127,20 @@ def test_curve_against_brute_force(spark, grid):
     assert min(points[-1].coverage_by_class.values()) == 1.0
 
 
-@pytest.mark.parametrize("n", [65, 100, 154, 1000])
-def test_grid_buckets_follow_linspace(spark, n):
-    for grid in (2, 3, 8, 16, 64):
-        picks = np.linspace(0, n - 1, grid, dtype=np.int64)
-        rows = spark.range(n).select("id", cal._bucket(F.col("id"), n, grid).alias("b")).collect()
-        assert {r.id: r.b for r in rows} == {i: int(np.searchsorted(picks, i)) for i in range(n)}
+@pytest.mark.parametrize("n", [1, 2, 65, 154, 1000])
+def test_grid_follows_linspace(spark, n):
+    pred = spark.range(n).select((F.col("id") / 1000).alias("confidence")).repartition(5)
+    levels = [i / 1000 for i in range(n)][::-1]
+    for grid in (2, 3, 16, 64):
+        expected = levels if n <= grid else [levels[i] for i in np.linspace(0, n - 1, grid, dtype=np.int64)]
+        assert cal.operating_thresholds(pred, grid) == expected
+        located = pred.select("confidence", cal._bucket(F.col("confidence"), expected).alias("b")).collect()
+        assert all(r.b == min(i for i, t in enumerate(expected) if r.confidence >= t) for r in located)
+
+
+def test_empty_predictions_cannot_be_calibrated(spark):
+    with pytest.raises(ValueError, match="empty"):
+        cal.risk_coverage(predictions(spark, [(0, 0, 0.5)]).where("false"), CLASSES)
 
 
 def ninety(confidence=None):
