@@ -169,6 +169,14 @@ def split_overlap(manifest: DataFrame, split: str = "split") -> DataFrame:
     return shared(["read_id"], "reads").unionByName(shared(["barcode", "ccf_file"], "files"))
 
 
+def require_isolated(rows: DataFrame, what: str) -> DataFrame:
+    """Raise when a read or a (class, file) group is in two splits."""
+    shared = {r.kind: r.train_val + r.train_test + r.val_test for r in split_overlap(rows).collect()}
+    if any(shared.values()):
+        raise ValueError(f"{what} leaks between splits: {shared}")
+    return rows
+
+
 def duplicate_reads(rows: DataFrame) -> DataFrame:
     """Read ids that occur more than once."""
     return rows.groupBy("read_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

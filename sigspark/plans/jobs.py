@@ -1,4 +1,4 @@
-"""End-to-end jobs: validate, cache chunks, calibrate and report."""
+"""End-to-end jobs: validate, split, cache chunks, export, predict, calibrate and report."""
 
 from __future__ import annotations
 
@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 
 from sigspark.operators import calibration as cal
 from sigspark.operators import chunks as ch
-from sigspark.operators.audit import AuditResult, audit_manifest, require_unique_reads, tier_summary
+from sigspark.operators import splits
+from sigspark.operators.audit import (
+    AuditResult,
+    audit_manifest,
+    require_isolated,
+    require_unique_reads,
+    tier_summary,
+)
 from sigspark.operators.bags import AttentionParams, LinearHead, encode_chunks, score_bags
 from sigspark.operators.chunks import SignalProfile, build_chunks, limit_eligible, status_counts
 from sigspark.operators.metrics import auroc, aurc, confidence_hist, confusion_wide
@@ -29,6 +36,51 @@ def validate_manifest(spark: SparkSession, path: str) -> AuditResult:
     return audit_manifest(manifest)
 
 
+def _store_split(selected: DataFrame, path: str, classes: Sequence[str], targets: Mapping[str, int]) -> DataFrame:
+    """Write selected rows and check what was written: targets met, no duplicate read, no file in two splits."""
+    selected.write.mode("overwrite").parquet(path)
+    stored = selected.sparkSession.read.parquet(path)
+    splits.require_targets(stored, classes, targets)
+    require_isolated(require_unique_reads(stored, path), path)
+    return tier_summary(stored)
+
+
+def build_group_split(
+    manifest: DataFrame, out: str, classes: Sequence[str], *, targets: Mapping[str, int], cap: int, seed: int,
+    order: Sequence[str], features: DataFrame | None = None,
+) -> DataFrame:
+    """File-held-out split of a manifest; with ``features`` only reads that have a feature row take part."""
+    if features is not None:
+        manifest = manifest.join(features.select("read_id"), "read_id", "left_semi")
+    assigned = splits.assign_groups(manifest, targets=targets, cap=cap, seed=seed)
+    assigned.write.mode("overwrite").parquet(f"{out}/assignments")
+    assigned = manifest.sparkSession.read.parquet(f"{out}/assignments")
+    selected = splits.group_split(
+        manifest, assigned, targets=targets, cap=cap, order=order, n_classes=len(classes)
+    )
+    return _store_split(selected, f"{out}/manifest", classes, targets)
+
+
+def build_tier(
+    manifest: DataFrame, out: str, classes: Sequence[str], *, targets: Mapping[str, int], seed: int, order: Sequence[str]
+) -> DataFrame:
+    """Balanced tier of a split manifest, reads taken from all files in turn; the old position is kept."""
+    known = manifest.where(F.col("barcode").isin(*classes)).withColumn("source_split_order", F.col("split_order"))
+    selected = splits.round_robin(known, targets=targets, seed=seed, order=order)
+    return _store_split(selected, f"{out}/manifest", classes, targets)
+
+
+def build_subsets(manifest: DataFrame, out: str, ordered: Sequence[str], *, k_min: int) -> DataFrame:
+    """Nested class subsets, stored by class count, with their audit; a shared read or file or an empty cell is an error."""
+    audit = splits.subset_audit(manifest, ordered, k_min)
+    for row in audit.orderBy("class_count").collect():
+        if row.read_overlap or row.file_overlap:
+            raise ValueError(f"subset of {row.class_count} classes leaks between splits")
+    splits.require_targets(manifest, ordered, {s: 1 for s in SPLITS})
+    sinks.write_store(splits.nested_subsets(manifest, ordered, k_min), out, by="class_count")
+    return audit
+
+
 def cache_chunks(
     spark: SparkSession, input_dir: str, store: str, profile: SignalProfile, *, max_reads: int = 0,
     suffixes: Sequence[str] = (".parquet",),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigspark.operators import audit, kmers, splits
+from sigspark.plans import jobs
 
 CLASSES = [f"k{i}" for i in range(9)]
 MANIFEST = "split string, split_order long, barcode string, label int, read_id string, ccf_file string"
@@ -83,6 +84,40 @@ def test_row_selection_equals_one_by_one_selection(spark):
     splits.require_targets(spark.createDataFrame(got), ["a", "b"], targets)
 
 
+def test_split_tier_and_subset_jobs(spark, tmp_path):
+    rows = [(f"k{i % 3}", i % 3, f"k{i % 3}/f{i // 3 % 12}", f"r{i}", i) for i in range(1800)]
+    df = spark.createDataFrame(rows, "barcode string, label int, ccf_file string, read_id string, at long")
+    classes, targets = ["k0", "k1", "k2"], {"train": 150, "val": 40, "test": 40}
+    featured = df.where("at % 10 <> 0").select("read_id")
+    out = str(tmp_path / "split")
+    summary = jobs.build_group_split(df, out, classes, targets=targets, cap=30, seed=3, order=["at"], features=featured)
+    assert {(r.barcode, r.split): r.n_reads for r in summary.collect()} == {(c, s): n for c in classes for s, n in targets.items()}
+    manifest = spark.read.parquet(f"{out}/manifest")
+    assert manifest.join(featured, "read_id", "left_anti").isEmpty()
+    assert manifest.groupBy("barcode", "ccf_file").count().where("count > 30").isEmpty()
+
+    small = {"train": 20, "val": 5, "test": 5}
+    tier = jobs.build_tier(manifest, str(tmp_path / "tier"), classes, targets=small, seed=3, order=["at"])
+    assert {r.n_reads for r in tier.where("split = 'train'").collect()} == {20}
+    stored = spark.read.parquet(str(tmp_path / "tier" / "manifest"))
+    old = manifest.select("read_id", F.col("split_order").alias("old"))
+    assert stored.join(old, "read_id").where("old <> source_split_order").isEmpty()
+
+    audits = jobs.build_subsets(manifest, str(tmp_path / "sub"), ["k2", "k0", "k1"], k_min=2).collect()
+    assert sorted((r.class_count, r.train_rows) for r in audits) == [(2, 300), (3, 450)]
+    pairs = spark.read.parquet(str(tmp_path / "sub")).select("class_count", "barcode", "label").distinct().collect()
+    assert {(2, "k2", 0), (2, "k0", 1), (3, "k1", 2)} <= {tuple(p) for p in pairs} and len(pairs) == 5
+
+    leaking = manifest.withColumn("split", F.expr("CASE (at div 3) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END"))
+    leaking = leaking.withColumn("ccf_file", F.concat("barcode", F.lit("/one")))
+    with pytest.raises(ValueError, match="leaks between splits"):
+        jobs.build_tier(leaking, str(tmp_path / "bad"), classes, targets=small, seed=3, order=["at"])
+    with pytest.raises(ValueError, match="leaks between splits"):
+        jobs.build_subsets(leaking, str(tmp_path / "bad"), classes, k_min=2)
+    with pytest.raises(ValueError, match="not enough reads"):
+        jobs.build_tier(manifest, str(tmp_path / "bad"), classes, targets={"train": 151}, seed=3, order=["at"])
+
+
 def test_missing_files_are_reported(spark):
     df = spark.createDataFrame(random_manifest(100, 0), "barcode string, ccf_file string, read_id string, at long")
     assigned = splits.assign_groups(df, targets={"train": 80, "val": 80}, cap=5, seed=0)
