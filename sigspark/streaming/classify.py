@@ -77,6 +77,12 @@ def unique_reads(stream: DataFrame, *, delay: str = "1 hour") -> DataFrame:
     return timed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["read_id"])
 
 
+def dropped_duplicates(query: StreamingQuery) -> int:
+    """Rows that :func:`unique_reads` has dropped in the recorded batches; a run that allows no duplicates checks for zero."""
+    operators = [op for progress in query.recentProgress for op in progress["stateOperators"]]
+    return sum(int(op["customMetrics"].get("numDroppedDuplicateRows", 0)) for op in operators)
+
+
 def abundance_stream(pred: DataFrame, spec: ThresholdSpec, out_dir: str, checkpoint: str) -> StreamingQuery:
     """Per-batch counts of accepted labels; their sum is the composition so far."""
 

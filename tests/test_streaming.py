@@ -59,6 +59,7 @@ def test_unique_reads_over_files(spark, tmp_path):
     query.awaitTermination()
     rows = [r.read_id for r in spark.read.parquet(str(tmp_path / "u")).collect()]
     assert sorted(rows) == sorted({r[0] for r in signal_rows(15)})
+    assert stream.dropped_duplicates(query) == 5
 
 
 def test_running_composition_equals_batch(spark, tmp_path):
