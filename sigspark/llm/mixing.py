@@ -151,7 +151,8 @@ def mix(
             "chunk", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("chunks"))
         )
         flown = cut_lineage(
-            dealt.groupBy("number", "chunk")
+            # by both keys: the join before would leave all chunks of a source in one task
+            dealt.repartition("number", "chunk").groupBy("number", "chunk")
             .applyInArrow(_flyer(seed, level, landing), dealt.schema)
             .drop("chunks", "chunk")
         )
