@@ -4,7 +4,7 @@ Two lines are linked if at most ``edits`` insertions, deletions or substitutions
 line is cut into ``edits`` + 1 segments; a line within the threshold contains at least one segment of the other unchanged,
 at a place that the difference of lengths narrows down. So every line is indexed by (length, segment number, segment)
 and probes the index, for every shorter length within the threshold, with the substrings that can be that segment. Lines
-that meet and whose letter parities are near enough are verified by a banded bit-parallel edit distance.
+that meet are verified by a banded bit-parallel edit distance.
 
 Only 64-bit hashes of segments and lines are shuffled. Copies of a line are one entry: frequent lines are
 counted first, and a bounded list of the most frequent ones keeps their copies out of the join before the shuffle; others
@@ -25,7 +25,6 @@ from sigspark.session import cut_lineage
 SHORTEST = 24
 #: The list of frequent lines and a broadcast of candidate lines are at most this long; other lines take the way without.
 LISTED = 50_000
-LETTERS = "etaoinshrdlucmpgwfybvkq"
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -33,63 +32,78 @@ def _lines(documents: DataFrame) -> DataFrame:
     return (
         documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-        .where(F.length("line") >= SHORTEST)
+        .withColumn("n", F.length("line"))
+        .where(F.col("n") >= SHORTEST)
     )
 
 
 def _ids(lines: DataFrame) -> DataFrame:
     """With a 128-bit identity of the line in two columns."""
-    return lines.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(7), "line"))
+    return lines.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(7), "line")})
 
 
-def _bounds(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each of the ``edits`` + 1 segments of a line of ``length``; the last ones are the longer."""
-    parts = edits + 1
+def _segment(length: Column, number: Column, parts: int) -> tuple[Column, Column]:
+    """(start from 1, length) of a segment of a line of ``length``; the last ones are the longer."""
     short = F.floor(length / parts).cast("int")
-    long_ones = length - short * parts
-    out = []
-    for i in range(parts):
-        longer_before = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - long_ones))
-        size = short + F.when(F.lit(i) >= F.lit(parts) - long_ones, 1).otherwise(0)
-        out.append((short * i + longer_before + 1, size))
-    return out
-
-
-def index_keys(line: Column, edits: int) -> list[Column]:
-    length = F.length(line)
-    return [
-        F.xxhash64(F.substring(line, start, size), length, F.lit(i))
-        for i, (start, size) in enumerate(_bounds(length, edits))
-    ]
+    shorter_ones = parts - (length - short * parts)
+    start = short * number + F.greatest(F.lit(0), number - shorter_ones) + 1
+    return start.cast("int"), (short + (number >= shorter_ones).cast("int")).cast("int")
+
+
+def _part(line: str, length: str, start: Column, size: Column) -> Column:
+    """Hash of a substring in code points. A line of one byte each is cut as bytes, without counting through it."""
+    return F.when(
+        F.octet_length(line) == F.col(length), F.xxhash64(F.substring(F.col(line).cast("binary"), start, size))
+    ).otherwise(F.xxhash64(F.substring(line, start, size)))
+
+
+def _keys(line: str, length: str, looks: list[tuple[int, int, int]], edits: int) -> Column:
+    """(key, rest) for every (segment number, shift, shorter): the key hashes number, indexed length and substring.
+
+    ``rest`` serves a threshold of one edit: beside a segment that is unchanged the other part has the edit, so of its two
+    halves one is unchanged as well, the first counted from its left or the second from its right end. It holds 32 bits of
+    either. A function over a constant array keeps the generated code small; written out, it would be too large to be
+    compiled.
+    """
+    array = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(at).alias("at"), F.lit(d).alias("d")) for i, at, d in looks])
 
+    def key(x: Column) -> Column:
+        whole = F.col(length) - x["d"]
+        start, size = _segment(whole, x["i"], edits + 1)
+        start = start + x["at"]
+        inside = (start >= 1) & (start + size - 1 <= F.col(length))
+        found = F.when(inside, F.xxhash64(_part(line, length, start, size), whole, x["i"]))
+        if edits != 1:
+            return F.struct(found.alias("key"), F.lit(0).cast("long").alias("rest"))
+        first = x["i"] == 0
+        half = F.floor((whole - size) / 2).cast("int")
+        other = (whole - size - half).cast("int")
+        begin = F.when(first, start + size).otherwise(1)
+        end = F.when(first, F.col(length)).otherwise(start - 1)
+        left, right = _part(line, length, begin, half), _part(line, length, end - other + 1, other)
+        rest = left.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(right, 32))
+        return F.struct(found.alias("key"), rest.alias("rest"))
 
-def probe_keys(line: Column, edits: int) -> list[Column]:
+    return F.transform(array, key)
+
+
+def index_keys(line: str, length: str, edits: int) -> Column:
+    return _keys(line, length, [(i, 0, 0) for i in range(edits + 1)], edits)
+
+
+def probe_keys(line: str, length: str, edits: int) -> Column:
     """Keys of all substrings that a segment of a line up to ``edits`` shorter can be.
 
     With i segments before the one that is looked for, at most i edits precede it or at most ``edits`` - i follow it, which
     bounds the shift from the left by i and from the right by ``edits`` - i (the multi-match-aware windows).
     """
-    length = F.length(line)
-    keys = []
-    for shorter in range(edits + 1):
-        for i, (start, size) in enumerate(_bounds(length - shorter, edits)):
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= length)
-                keys.append(F.when(inside, F.xxhash64(F.substring(line, at, size), length - shorter, F.lit(i))))
-    return keys
-
-
-def parities(line: Column) -> Column:
-    """One bit per letter: whether it occurs an odd number of times. An edit changes at most two of them."""
-    length = F.length(line)
-    bits = F.lit(0)
-    for k, letter in enumerate(LETTERS):
-        odd = (length - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(1)
-        bits = bits.bitwiseOR(F.shiftleft(odd, k))
-    return bits
+    looks = [
+        (i, shift, shorter)
+        for shorter in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
+    ]
+    return _keys(line, length, looks, edits)
 
 
 def within(chars: Column, others: Column, edits: int) -> Column:
@@ -137,7 +151,7 @@ def within(chars: Column, others: Column, edits: int) -> Column:
     )
 
 
-def line_classes(documents: DataFrame, edits: int = 2) -> DataFrame:
+def line_classes(documents: DataFrame, edits: int = 1) -> DataFrame:
     """One row per distinct line of at least SHORTEST code points: a, b (identity), copies, first, leader.
 
     ``first`` is the line's first place (doc_id, line_no), ``leader`` that of the first line of its component.
@@ -149,14 +163,15 @@ def line_classes(documents: DataFrame, edits: int = 2) -> DataFrame:
     listed = F.broadcast(frequent.select("a", "b", F.col("first").alias("listed_first")))
     once = lines.join(listed, ["a", "b"], "left").where(F.col("listed_first").isNull() | (F.col("listed_first") == place))
 
-    def keyed(keys: list[Column]) -> DataFrame:
-        rows = once.select("a", parities(F.col("line")).alias("p"), F.explode(F.array(*keys)).alias("key"))
-        rows = rows.where(F.col("key").isNotNull())
-        return rows.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").distinct()
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(keys: Column, number: int) -> DataFrame:
+        rows = once.select(F.col("a").alias(f"a{number}"), F.inline(keys).alias("key", f"rest{number}"))
+        return rows.where(F.col("key").isNotNull()).repartition(parts, "key").distinct()
 
-    held = keyed(index_keys(F.col("line"), edits)).withColumnsRenamed({"a": "a1", "p": "p1"})
-    asked = keyed(probe_keys(F.col("line"), edits)).withColumnsRenamed({"a": "a2", "p": "p2"})
-    near = F.bit_count(F.col("p1").bitwiseXOR(F.col("p2"))) <= 2 * edits
+    held, asked = keyed(index_keys("line", "n", edits), 1), keyed(probe_keys("line", "n", edits), 2)
+    apart = F.col("rest1").bitwiseXOR(F.col("rest2"))
+    near = (apart.bitwiseAND(0xFFFFFFFF) == 0) | (F.shiftrightunsigned(apart, 32) == 0)
     met = held.join(asked, (held["key"] == asked["key"]) & (F.col("a1") != F.col("a2")) & near)
     pairs = cut_lineage(met.select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct())
 
@@ -175,7 +190,7 @@ def line_classes(documents: DataFrame, edits: int = 2) -> DataFrame:
     return counts.join(linked, "first", "left").withColumn("leader", F.coalesce("leader", "first"))
 
 
-def removed_lines(documents: DataFrame, edits: int = 2) -> DataFrame:
+def removed_lines(documents: DataFrame, edits: int = 1) -> DataFrame:
     """doc_id, removed (ascending line numbers) of the documents that lose lines."""
     classes = line_classes(documents, edits).where("copies > 1 or first <> leader").select("a", "b", "leader")
     lines = _ids(_lines(documents)).select("a", "b", "doc_id", "line_no")
@@ -183,7 +198,7 @@ def removed_lines(documents: DataFrame, edits: int = 2) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def without_duplicates(documents: DataFrame, edits: int = 2) -> DataFrame:
+def without_duplicates(documents: DataFrame, edits: int = 1) -> DataFrame:
     """``documents`` with the removed lines cut out of their texts; all other columns and texts as they were.
 
     A null or empty text has no lines to lose. Rows that repeat an id are the same document and lose the same lines. Rows
