@@ -57,53 +57,47 @@ def _part(line: str, length: str, start: Column, size: Column) -> Column:
     ).otherwise(F.xxhash64(F.substring(line, start, size)))
 
 
-def _keys(line: str, length: str, looks: list[tuple[int, int, int]], edits: int) -> Column:
-    """(key, rest) for every (segment number, shift, shorter): the key hashes number, indexed length and substring.
+def _keyed(lines: DataFrame, looks: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """a, key, rest of every line for every (segment number, shift, shorter).
 
-    ``rest`` serves a threshold of one edit: beside a segment that is unchanged the other part has the edit, so of its two
-    halves one is unchanged as well, the first counted from its left or the second from its right end. It holds 32 bits of
-    either. A function over a constant array keeps the generated code small; written out, it would be too large to be
-    compiled.
+    The key hashes segment number, indexed length and substring. ``rest`` serves a threshold of one edit: beside a segment
+    that is unchanged the other part has the edit, so of its two halves one is unchanged as well, the first counted from its
+    left or the second from its right end. It holds 32 bits of either. One key a row keeps the generated code small enough
+    to be compiled; all keys of a line in one expression took ten times as long.
     """
     array = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(at).alias("at"), F.lit(d).alias("d")) for i, at, d in looks])
+    rows = lines.select("a", "line", "n", F.inline(array).alias("i", "at", "d")).withColumn("whole", F.col("n") - F.col("d"))
+    start, size = _segment(F.col("whole"), F.col("i"), edits + 1)
+    rows = rows.withColumns({"start": start + F.col("at"), "size": size})
+    rows = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+    start, size, whole = F.col("start"), F.col("size"), F.col("whole")
+    key = F.xxhash64(_part("line", "n", start, size), whole, F.col("i"))
+    if edits != 1:
+        return rows.select("a", key.alias("key"), F.lit(0).cast("long").alias("rest"))
+    half = F.floor((whole - size) / 2).cast("int")
+    other = (whole - size - half).cast("int")
+    begin = F.when(F.col("i") == 0, start + size).otherwise(1)
+    end = F.when(F.col("i") == 0, F.col("n")).otherwise(start - 1)
+    left, right = _part("line", "n", begin, half), _part("line", "n", end - other + 1, other)
+    return rows.select("a", key.alias("key"), left.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(right, 32)).alias("rest"))
 
-    def key(x: Column) -> Column:
-        whole = F.col(length) - x["d"]
-        start, size = _segment(whole, x["i"], edits + 1)
-        start = start + x["at"]
-        inside = (start >= 1) & (start + size - 1 <= F.col(length))
-        found = F.when(inside, F.xxhash64(_part(line, length, start, size), whole, x["i"]))
-        if edits != 1:
-            return F.struct(found.alias("key"), F.lit(0).cast("long").alias("rest"))
-        first = x["i"] == 0
-        half = F.floor((whole - size) / 2).cast("int")
-        other = (whole - size - half).cast("int")
-        begin = F.when(first, start + size).otherwise(1)
-        end = F.when(first, F.col(length)).otherwise(start - 1)
-        left, right = _part(line, length, begin, half), _part(line, length, end - other + 1, other)
-        rest = left.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(right, 32))
-        return F.struct(found.alias("key"), rest.alias("rest"))
 
-    return F.transform(array, key)
+def index_looks(edits: int) -> list[tuple[int, int, int]]:
+    return [(i, 0, 0) for i in range(edits + 1)]
 
 
-def index_keys(line: str, length: str, edits: int) -> Column:
-    return _keys(line, length, [(i, 0, 0) for i in range(edits + 1)], edits)
-
-
-def probe_keys(line: str, length: str, edits: int) -> Column:
-    """Keys of all substrings that a segment of a line up to ``edits`` shorter can be.
+def probe_looks(edits: int) -> list[tuple[int, int, int]]:
+    """All substrings that a segment of a line up to ``edits`` shorter can be.
 
     With i segments before the one that is looked for, at most i edits precede it or at most ``edits`` - i follow it, which
     bounds the shift from the left by i and from the right by ``edits`` - i (the multi-match-aware windows).
     """
-    looks = [
+    return [
         (i, shift, shorter)
         for shorter in range(edits + 1)
         for i in range(edits + 1)
         for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
     ]
-    return _keys(line, length, looks, edits)
 
 
 def within(chars: Column, others: Column, edits: int) -> Column:
@@ -165,11 +159,11 @@ def line_classes(documents: DataFrame, edits: int = 1) -> DataFrame:
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def keyed(keys: Column, number: int) -> DataFrame:
-        rows = once.select(F.col("a").alias(f"a{number}"), F.inline(keys).alias("key", f"rest{number}"))
-        return rows.where(F.col("key").isNotNull()).repartition(parts, "key").distinct()
+    def keyed(looks: list[tuple[int, int, int]], number: int) -> DataFrame:
+        rows = _keyed(once, looks, edits).withColumnsRenamed({"a": f"a{number}", "rest": f"rest{number}"})
+        return rows.repartition(parts, "key").distinct()
 
-    held, asked = keyed(index_keys("line", "n", edits), 1), keyed(probe_keys("line", "n", edits), 2)
+    held, asked = keyed(index_looks(edits), 1), keyed(probe_looks(edits), 2)
     apart = F.col("rest1").bitwiseXOR(F.col("rest2"))
     near = (apart.bitwiseAND(0xFFFFFFFF) == 0) | (F.shiftrightunsigned(apart, 32) == 0)
     met = held.join(asked, (held["key"] == asked["key"]) & (F.col("a1") != F.col("a2")) & near)
