@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,13 @@ def _sum_by_key(
 
 
 def _matrix(column: pa.ListArray, rows: int, dim: int) -> np.ndarray:
+    """The vectors as rows; one that is null, of another length or with a null component is an error, never a shift."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    wrong = np.flatnonzero(lengths != dim)
+    if len(wrong):
+        raise ValueError(f"{len(wrong)} of {rows} vectors do not have {dim} components, the first at row {wrong[0]} of its batch")
+    if column.flatten().null_count:
+        raise ValueError(f"vectors of {dim} components hold nulls")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, dim).astype(np.float64)
 
 

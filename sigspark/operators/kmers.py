@@ -123,8 +123,12 @@ def kmer_distance(sequences: DataFrame, k: int = 5) -> DataFrame:
     )
     a = norms.select(F.col("barcode").alias("src"), F.col("norm").alias("norm_src"))
     b = norms.select(F.col("barcode").alias("dst"), F.col("norm").alias("norm_dst"))
-    return dots.join(a, "src").join(b, "dst").select(
-        "src", "dst", (1 - F.col("dot") / (F.col("norm_src") * F.col("norm_dst"))).alias("distance")
+    # classes without a common k-mer have distance 1; the grid of all class pairs is as large as the result, and
+    # one constant key makes it an equi-join
+    grid = a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    dot = F.coalesce("dot", F.lit(0.0))
+    return grid.join(dots, ["src", "dst"], "left").select(
+        "src", "dst", (1 - dot / (F.col("norm_src") * F.col("norm_dst"))).alias("distance")
     )
 
 

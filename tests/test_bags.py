@@ -214,3 +214,22 @@ def test_teacher_must_know_every_read(spark):
     assert bag.teacher_join(rows.where("read_id = 'a'"), teacher).count() == 1
     with pytest.raises(Exception, match="teacher has no output for read b"):
         bag.teacher_join(rows, teacher).collect()
+
+
+def test_ragged_vectors_are_an_error():
+    import pyarrow as pa
+
+    from sigspark.operators.bags import _matrix
+
+    with pytest.raises(ValueError, match="2 of 3 vectors"):
+        _matrix(pa.array([[1.0, 2.0, 3.0], [4.0], [5.0, 6.0]]), 3, 2)
+    with pytest.raises(ValueError):
+        _matrix(pa.array([[1.0, 2.0], None]), 2, 2)
+
+
+def test_classes_without_a_common_kmer_have_distance_one(spark):
+    from sigspark.operators.kmers import kmer_distance
+
+    rows = spark.createDataFrame([("a", "r1", "aaaaaaaa"), ("b", "r2", "cccccccc")], "barcode string, read_id string, seq string")
+    found = {(r.src, r.dst): round(r.distance, 9) for r in kmer_distance(rows).collect()}
+    assert found == {("a", "a"): 0.0, ("b", "b"): 0.0, ("a", "b"): 1.0, ("b", "a"): 1.0}
