@@ -4,7 +4,7 @@ Two lines are linked if at most ``edits`` insertions, deletions or substitutions
 line is cut into ``edits`` + 1 segments; a line within the threshold contains at least one segment of the other unchanged,
 at a place that the difference of lengths narrows down. So every line is indexed by (length, segment number, segment)
 and probes the index, for every shorter length within the threshold, with the substrings that can be that segment. Lines
-that meet are verified by a banded bit-parallel edit distance.
+that meet are verified by a banded bit-parallel edit distance over what lies between their common ends.
 
 Only 64-bit hashes of segments and lines are shuffled. Copies of a line are one entry: frequent lines are
 counted first, and a bounded list of the most frequent ones keeps their copies out of the join before the shuffle; others
@@ -15,9 +15,12 @@ The first occurrence, by (doc_id, line number), of every connected component of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigspark.functions.arrays import let
 from sigspark.llm.components import components
 from sigspark.session import cut_lineage
 
@@ -135,8 +138,8 @@ def within(chars: Column, others: Column, edits: int) -> Column:
         for d in range(2 * edits + 1):
             same = F.coalesce(F.get(chars, j + (d - edits)) == char, F.lit(False))
             match = match.bitwiseOR(F.when(same, 1 << d).otherwise(0))
-        # the array of one element names the mask, which is then computed once a step
-        return F.get(F.transform(F.array(match), lambda m: advance(state, m)), 0)
+        # once no diagonal is within reach none will be, and the rest of the characters is passed over
+        return F.when(state[f"e{edits}"] == 0, state).otherwise(let(match, lambda m: advance(state, m)))
 
     last = F.aggregate(F.sequence(F.lit(0), F.size(others) - 1), pack(start), step)
     off = F.size(chars) - F.size(others)
@@ -145,6 +148,48 @@ def within(chars: Column, others: Column, edits: int) -> Column:
     )
 
 
+def _agreeing(room: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The largest number up to ``room`` for which the lines agree, found by halving steps.
+
+    ``same`` says of a length that is known to agree and a step whether the next ``step`` characters agree as well.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+
+    def grow(known: Column, step: Column) -> Column:
+        return F.when((step <= room - known) & same(known, step), known + step).otherwise(known)
+
+    return F.aggregate(steps, F.lit(0), grow)
+
+
+def near_lines(one: Column, other: Column, edits: int) -> Column:
+    """:func:`within` for two lines. What they share at both ends, which no edit need touch, is taken off first.
+
+    The ends are compared as substrings, so the character loop runs over the part between the outermost edits only.
+    """
+
+    def between(head: Column) -> Column:
+        n1, n2 = F.length(one) - head, F.length(other) - head
+
+        def tail(known: Column, step: Column) -> Column:
+            ends = [F.substring(line, F.length(line) - known - step + 1, step) for line in (one, other)]
+            return ends[0] == ends[1]
+
+        def middle(shared: Column) -> Column:
+            chars = [F.split(F.substring(line, head + 1, n - shared), "") for line, n in ((one, n1), (other, n2))]
+            shortest, longest = F.least(n1, n2) - shared, F.greatest(n1, n2) - shared
+            full = let(chars[0], lambda a: let(chars[1], lambda b: within(a, b, edits)))
+            # nothing is left of one line, so all that is left of the other is inserted
+            return F.when(shortest == 0, longest <= edits).otherwise(full)
+
+        return let(_agreeing(F.least(n1, n2), tail), middle)
+
+    def start(known: Column, step: Column) -> Column:
+        return F.substring(one, known + 1, step) == F.substring(other, known + 1, step)
+
+    head = _agreeing(F.least(F.length(one), F.length(other)), start)
+    return (F.abs(F.length(one) - F.length(other)) <= edits) & let(head, between)
+
+
 def line_classes(documents: DataFrame, edits: int = 1) -> DataFrame:
     """One row per distinct line of at least SHORTEST code points: a, b (identity), copies, first, leader.
 
@@ -176,10 +221,8 @@ def line_classes(documents: DataFrame, edits: int = 1) -> DataFrame:
     texts = cut_lineage(lines.join(needed, ["doc_id", "line_no", "a", "b"]).select("a", place.alias("node"), "line").distinct())
     left = texts.withColumnsRenamed({"a": "a1", "node": "u", "line": "line1"})
     right = texts.withColumnsRenamed({"a": "a2", "node": "v", "line": "line2"})
-    links = pairs.join(left, "a1").join(right, "a2").select(
-        "u", "v", F.split("line1", "").alias("chars1"), F.split("line2", "").alias("chars2")
-    )
-    links = links.where(within(F.col("chars1"), F.col("chars2"), edits)).select("u", "v")
+    links = pairs.join(left, "a1").join(right, "a2")
+    links = links.where(near_lines(F.col("line1"), F.col("line2"), edits)).select("u", "v")
     linked = components(links, "u", "v").withColumnsRenamed({"node": "first", "component": "leader"})
     return counts.join(linked, "first", "left").withColumn("leader", F.coalesce("leader", "first"))
 
