@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from sigspark.operators import bags as bag
 from sigspark.operators import chunks as ch
 from sigspark.operators.calibration import ThresholdSpec
+from sigspark.plans import cache
 from sigspark.plans.bag_queries import CLASSES as BAG_CLASSES
 from sigspark.plans.bag_queries import (
     LONG_SQL,
@@ -64,6 +67,29 @@ def _(spark, d):
     ).agg(F.count(F.lit(1)).alias("n_reads"), F.sum("n").alias("n_chunks"))
 
 
+@query("cache_rebuild", sql(["samples"], """
+, n AS (SELECT read_id, source_file, (count(*) - 25) // 10 + 1 AS c FROM samples GROUP BY read_id, source_file, source_read_index
+        HAVING count(*) >= 25 AND NOT (source_read_index % 2 = 0 AND source_read_index % 3 = 0))
+SELECT source_file, count(*) AS n_reads, CAST(sum(least(c, 3)) AS BIGINT) AS n_chunks FROM n GROUP BY 1"""))
+def _(spark, d):
+    """Three calls: two files, both again with other settings, then one replaced by shorter reads and one added."""
+    source, store = scratch_path(spark, "signals"), scratch_path(spark, "store")
+    reads = signals(spark, d)
+    even, added = F.col("source_read_index") % 2 == 0, F.col("source_read_index") % 5 == 0
+    reads.where(even).write.parquet(f"{source}/a")
+    reads.where(~even & ~added).write.parquet(f"{source}/b")
+    fewer = replace(PROFILE, max_chunks=3)
+    for profile in (PROFILE, fewer):
+        cache.cache_chunks(spark, source, store, profile)
+    cut = F.when(F.col("source_read_index") % 3 == 0, F.slice("signal", 1, 24)).otherwise(F.col("signal"))
+    reads.where(even).withColumn("signal", cut).write.mode("overwrite").parquet(f"{source}/a")
+    reads.where(~even & added).write.parquet(f"{source}/c")
+    cache.cache_chunks(spark, source, store, fewer)
+    return cache.stored_reads(spark, store).groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n_reads"), F.sum("raw_n_chunks").alias("n_chunks")
+    )
+
+
 @query("embed_store", sql(["samples", "physical"], LONG_SQL))
 def _(spark, d):
     chunks = ch.build_chunks(signals(spark, d), PROFILE)
@@ -88,14 +114,14 @@ def _(spark, d):
 
 @query("stream_dedup", "SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS read_id FROM events")
 def _(spark, d):
-    out = scratch_path(spark, "unique")
-    events = table(spark, d, "events")
-    arriving = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet")
-    rows = arriving.select("_metadata", F.concat(F.lit("u"), "user_id").alias("read_id"))
-    unique = stream.unique_reads(rows).select("read_id")
+    """The ids of the events arrive in six files, one a batch, so most of them arrive again in later batches."""
+    source, out = scratch_path(spark, "arriving"), scratch_path(spark, "unique")
+    ids = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("read_id"), "event_id")
+    ids.repartition(6, "event_id").write.parquet(source)
+    arriving = spark.readStream.schema("read_id string").option("maxFilesPerTrigger", 1).parquet(source)
     (
-        unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "dedup"))
-        .trigger(availableNow=True).start().awaitTermination()
+        stream.unique_reads(arriving).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "dedup")).trigger(availableNow=True).start().awaitTermination()
     )
     return spark.read.parquet(out)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import asdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +19,12 @@ from sigspark.operators.audit import (
     tier_summary,
 )
 from sigspark.operators.bags import AttentionParams, LinearHead, encode_chunks, score_bags
-from sigspark.operators.chunks import SignalProfile, build_chunks, limit_eligible, status_counts
 from sigspark.operators.metrics import auroc, aurc, confidence_hist, confusion_wide
+from sigspark.plans.cache import cache_chunks, require_profile, stored_chunks  # noqa: F401
 from sigspark.sources import files, sinks
 from sigspark.sources.manifests import SPLITS, assert_manifest, read_manifest
 from sigspark.sources.predictions import read_predictions
 
-LEDGER = "path string, size long, mtime timestamp, config_hash string, status string"
-
 
 def validate_manifest(spark: SparkSession, path: str) -> AuditResult:
     manifest = read_manifest(spark, path)
@@ -81,34 +78,6 @@ def build_subsets(manifest: DataFrame, out: str, ordered: Sequence[str], *, k_mi
     return audit
 
 
-def cache_chunks(
-    spark: SparkSession, input_dir: str, store: str, profile: SignalProfile, *, max_reads: int = 0,
-    suffixes: Sequence[str] = (".parquet",),
-) -> DataFrame:
-    """Build the chunk store of a folder of signal files and return the counters of the files done in this call.
-
-    Files whose path, size, modification time and settings are in the ledger are skipped. The chunks of an input file live
-    in their own partition, which is replaced as a whole, so a job that was cut off can simply be run again.
-    """
-    signature = files.config_hash({**asdict(profile), "max_reads": max_reads})
-    found = files.discover(spark, input_dir, suffixes)
-    ledger_path = f"{store.rstrip('/')}/ledger"
-    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(ledger_path)
-    todo = files.plan_incremental(found, spark.read.schema(LEDGER).parquet(ledger_path), signature)
-    # file metadata only, which the listing already holds on the driver
-    entries = files.ledger_entries(todo, signature).orderBy("path").collect()
-    if not entries:
-        return spark.createDataFrame([], "source_file string, scanned long, eligible long, too_short long, invalid long")
-    reads = spark.read.parquet(*[e.path for e in entries])
-    reads = reads.withColumn("file_id", F.substring(F.sha2("_metadata.file_path", 256), 1, 16))
-    if max_reads:
-        reads = limit_eligible(reads, profile, max_reads)
-    require_unique_reads(reads, input_dir)
-    sinks.write_store(build_chunks(reads, profile, keep=["file_id"]), f"{store.rstrip('/')}/chunks", by="file_id")
-    spark.createDataFrame(entries, LEDGER).write.mode("append").parquet(ledger_path)
-    return status_counts(reads, profile)
-
-
 def export_benchmark(
     spark: SparkSession, benchmark: DataFrame, raw: DataFrame, chunks: DataFrame, out: str, *, max_chunks: int,
     profile_id: str,
@@ -138,10 +107,18 @@ def export_benchmark(
 def predict(
     spark: SparkSession, chunks_path: str, out: str, head: LinearHead, classes: Sequence[str], *, dim: int,
     make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None, chunk_size: int | None = None,
-    attention: AttentionParams | None = None,
+    attention: AttentionParams | None = None, profile_id: str | None = None,
 ) -> DataFrame:
-    """Score stored chunk embeddings, or stored raw chunks when an encoder is given."""
-    chunks = spark.read.parquet(chunks_path)
+    """Score stored chunk embeddings, or stored raw chunks when an encoder is given.
+
+    With ``profile_id`` the path is a store of :func:`cache_chunks`: its current chunks are scored, and a store of another
+    normalisation than the model's is an error.
+    """
+    if profile_id is not None:
+        require_profile(spark, chunks_path, profile_id)
+        chunks = stored_chunks(spark, chunks_path)
+    else:
+        chunks = spark.read.parquet(chunks_path)
     if make_encoder is not None:
         chunks = encode_chunks(chunks, make_encoder, chunk_size=chunk_size)
     scored = score_bags(chunks, head, classes, dim=dim, keys=["read_id", "source_file"], attention=attention)

@@ -45,6 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if there is one, through the file system that its path belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, for jobs that are not submitted with it."""
     context = spark.sparkContext

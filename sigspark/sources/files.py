@@ -103,7 +103,3 @@ def plan_incremental(files: DataFrame, ledger: DataFrame, signature: str) -> Dat
     """Files without a complete ledger entry of the same settings, size and modification time."""
     done = ledger.where((F.col("status") == "complete") & (F.col("config_hash") == signature))
     return files.join(done.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
-
-
-def ledger_entries(files: DataFrame, signature: str) -> DataFrame:
-    return files.select("path", "size", "mtime", F.lit(signature).alias("config_hash"), F.lit("complete").alias("status"))

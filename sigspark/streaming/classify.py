@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from sigspark.operators.audit import require_unique_reads
 from sigspark.operators.bags import AttentionParams, LinearHead, encode_chunks, score_bags
 from sigspark.operators.calibration import ThresholdSpec
 from sigspark.operators.chunks import SignalProfile, build_chunks, read_status
@@ -32,6 +33,16 @@ def run_checkpoint(base: str, settings: Mapping[str, object]) -> str:
     return f"{base.rstrip('/')}/{config_hash(settings)[:16]}"
 
 
+def run_output(out_dir: str, checkpoint: str) -> str:
+    """Folder of the predictions that belong to a checkpoint."""
+    return f"{out_dir.rstrip('/')}/run=r{config_hash({'checkpoint': checkpoint.rstrip('/')})[:16]}"
+
+
+def classified(spark: SparkSession, out_dir: str, checkpoint: str) -> DataFrame:
+    """All predictions of one run of :func:`classify_stream`."""
+    return spark.read.parquet(run_output(out_dir, checkpoint))
+
+
 def _status_count(status: str) -> Column:
     return F.sum((F.col("status") == status).cast("long")).alias(status)
 
@@ -44,9 +55,12 @@ def classify_stream(
     """Classify files as they arrive.
 
     A read is one row, so its windows never span two micro-batches. Each batch replaces its own folder
-    ``batch_id=<n>``, so a batch that is run again after a failure leaves no duplicates. ``counters`` are reported with the
-    progress of the query.
+    ``run=<checkpoint>/batch_id=<n>``, so a batch that is run again after a failure leaves no duplicates, and runs with
+    other settings, which have another checkpoint, stay apart; :func:`classified` reads one run. An eligible read id that
+    the batch holds twice, or that an earlier batch has scored, is an error that stops the query; for this only the ids of
+    the stored predictions are read. ``counters`` are reported with the progress of the query.
     """
+    target = run_output(out_dir, checkpoint)
     arriving = (
         spark.readStream.schema(SIGNAL_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(input_dir)
     )
@@ -57,8 +71,13 @@ def classify_stream(
     )
 
     def score(batch: DataFrame, batch_id: int) -> None:
+        ids = batch.where("status = 'eligible'").select("read_id")
+        if batch_id:
+            earlier = batch.sparkSession.read.schema("read_id string, batch_id long").parquet(target)
+            ids = ids.unionByName(earlier.where(F.col("batch_id") < batch_id).select("read_id"))
+        require_unique_reads(ids, input_dir)
         scored = classify_reads(batch.drop("status"), make_encoder, head, profile, classes, dim=dim, attention=attention)
-        scored.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        scored.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
         counted.writeStream.foreachBatch(score)
@@ -68,19 +87,33 @@ def classify_stream(
     )
 
 
-def unique_reads(stream: DataFrame, *, delay: str = "1 hour") -> DataFrame:
-    """First arrival of every read id.
+def unique_reads(stream: DataFrame) -> DataFrame:
+    """First arrival of every read id over the whole run, however old its file is.
 
-    Signals carry no event time, so the modification time of their file bounds the state.
+    There is no watermark, because one would drop every read of a file that is older than the newest by more than its delay.
+    The state therefore holds every id once; it is dealt over the shuffle partitions, and
+    ``spark.sql.streaming.stateStore.providerClass`` may keep it in RocksDB, on disk rather than in memory.
     """
-    timed = stream.withColumn("arrived", F.col("_metadata.file_modification_time"))
-    return timed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["read_id"])
+    return stream.dropDuplicates(["read_id"])
+
+
+def arrivals(stream: DataFrame, out_dir: str, checkpoint: str) -> StreamingQuery:
+    """Keep, per batch, how often each id that arrived in it has arrived so far."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    counts = stream.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
 
 
-def dropped_duplicates(query: StreamingQuery) -> int:
-    """Rows that :func:`unique_reads` has dropped in the recorded batches; a run that allows no duplicates checks for zero."""
-    operators = [op for progress in query.recentProgress for op in progress["stateOperators"]]
-    return sum(int(op["customMetrics"].get("numDroppedDuplicateRows", 0)) for op in operators)
+def repeated_reads(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(read_id, n) of the ids that have arrived more than once in all batches of :func:`arrivals`."""
+    stored = spark.read.schema("read_id string, n long").parquet(out_dir)
+    return stored.groupBy("read_id").agg(F.max("n").alias("n")).where("n > 1")
 
 
 def abundance_stream(pred: DataFrame, spec: ThresholdSpec, out_dir: str, checkpoint: str) -> StreamingQuery:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigspark.operators import calibration as cal
 from sigspark.operators.bags import LinearHead, random_projection
 from sigspark.operators.chunks import SignalProfile, build_chunks
-from sigspark.plans import jobs
+from sigspark.plans import cache, jobs
 from sigspark.sources import files, manifests, predictions, signals, sinks, tables
 
 import numpy as np
@@ -117,6 +117,65 @@ def test_chunk_cache_rejects_a_read_in_two_files(spark, tmp_path):
         jobs.cache_chunks(spark, str(tmp_path / "in"), str(tmp_path / "store"), PROFILE)
 
 
+def put(spark, path, rows):
+    spark.createDataFrame(rows, signals.SIGNAL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(str(path))
+
+
+def in_store(spark, store):
+    return {r.read_id: r.raw_n_chunks for r in cache.stored_reads(spark, str(store)).collect()}
+
+
+def test_chunk_cache_forgets_what_shrank_or_went(spark, tmp_path):
+    source, store = tmp_path / "in", tmp_path / "store"
+    rows = signal_rows(6)
+    put(spark, source / "a", rows[:3])
+    put(spark, source / "b", rows[3:])
+    jobs.cache_chunks(spark, str(source), str(store), PROFILE)
+    assert set(in_store(spark, store)) == {f"r{i}" for i in range(6)}
+    put(spark, source / "a", [(*r[:3], r[3][:5], *r[4:]) for r in rows[:3]])
+    done = jobs.cache_chunks(spark, str(source), str(store), PROFILE).collect()
+    assert [(r.scanned, r.eligible, r.too_short, r.invalid) for r in done] == [(3, 0, 3, 0)]
+    assert set(in_store(spark, store)) == {"r3", "r4", "r5"}
+    for p in (source / "a").iterdir():
+        p.unlink()
+    assert jobs.cache_chunks(spark, str(source), str(store), PROFILE).count() == 0
+    assert cache.stored_files(spark, str(store)).count() == 1
+
+
+def test_chunk_cache_redoes_settings_that_come_back(spark, tmp_path):
+    put(spark, tmp_path / "in" / "a", signal_rows(4))
+    store = str(tmp_path / "store")
+    longer = SignalProfile("mad", discard_first=2, chunk_size=12, overlap=4)
+    for profile in (PROFILE, longer, PROFILE):
+        assert jobs.cache_chunks(spark, str(tmp_path / "in"), store, profile).first().eligible == 4
+    sizes = cache.stored_chunks(spark, store).select(F.size("chunk").alias("n")).distinct().collect()
+    assert [r.n for r in sizes] == [8]
+    with pytest.raises(ValueError, match="profile mad, not sclamp"):
+        jobs.predict(spark, store, str(tmp_path / "p"), None, CLASSES, dim=4, profile_id="sclamp")
+
+
+def test_chunk_cache_rejects_a_read_of_an_earlier_call(spark, tmp_path):
+    source, store = tmp_path / "in", tmp_path / "store"
+    put(spark, source / "a", signal_rows(3))
+    jobs.cache_chunks(spark, str(source), str(store), PROFILE)
+    put(spark, source / "b", signal_rows(3, start=2))
+    with pytest.raises(ValueError, match="duplicate read_id"):
+        jobs.cache_chunks(spark, str(source), str(store), PROFILE)
+    assert set(in_store(spark, store)) == {"r0", "r1", "r2"}
+
+
+def test_chunk_cache_keeps_its_limit_over_calls(spark, tmp_path):
+    source, store = tmp_path / "in", tmp_path / "store"
+    rows = [(*r[:1], "f", *r[2:]) for r in signal_rows(6)]
+    put(spark, source / "a", [(*rows[0][:3], rows[0][3][:5], *rows[0][4:]), *rows[1:3]])
+    limited = lambda: jobs.cache_chunks(spark, str(source), str(store), PROFILE, max_reads=3).collect()
+    assert [(r.scanned, r.eligible, r.too_short) for r in limited()] == [(3, 2, 1)]
+    put(spark, source / "b", rows[3:])
+    assert [(r.scanned, r.eligible) for r in limited()] == [(1, 1)]
+    put(spark, source / "c", signal_rows(2, start=9))
+    assert limited() == [] and set(in_store(spark, store)) == {"r1", "r2", "r3"}
+
+
 def test_prediction_from_stored_chunks(spark, tmp_path):
     write_signals(spark, tmp_path / "in", 12)
     jobs.cache_chunks(spark, str(tmp_path / "in"), str(tmp_path / "store"), PROFILE)

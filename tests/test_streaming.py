@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import os
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_io import PROFILE, signal_rows, write_signals
 
@@ -48,18 +52,36 @@ def test_checkpoint_changes_with_the_settings():
     assert a == stream.run_checkpoint("/x/", {"profile": PROFILE}) != stream.run_checkpoint("/x", {"profile": None})
 
 
-def test_unique_reads_over_files(spark, tmp_path):
-    write_signals(spark, tmp_path / "in", 10)
-    write_signals(spark, tmp_path / "in", 10, start=5)
+def test_a_read_that_was_scored_before_stops_the_stream(spark, tmp_path):
+    write_signals(spark, tmp_path / "in", 6)
+    checkpoint = str(tmp_path / "cp")
+    start(spark, tmp_path, checkpoint)
+    write_signals(spark, tmp_path / "in", 3, start=4)
+    with pytest.raises(Exception, match="duplicate read_id"):
+        start(spark, tmp_path, checkpoint)
+
+
+def test_runs_with_other_settings_stay_apart(spark, tmp_path):
+    write_signals(spark, tmp_path / "in", 4)
+    for name in ("one", "two"):
+        start(spark, tmp_path, str(tmp_path / name))
+        assert stream.classified(spark, str(tmp_path / "out"), str(tmp_path / name)).count() == 4
+
+
+def test_unique_reads_over_files_of_any_age(spark, tmp_path):
+    for start_at in (0, 5, 12):
+        write_signals(spark, tmp_path / "in", 10, start=start_at)
+    for age, path in enumerate(sorted((tmp_path / "in").glob("*.parquet"))):
+        os.utime(path, (time.time() - 14400 * age,) * 2)
     arriving = spark.readStream.schema(SIGNAL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = (
-        stream.unique_reads(arriving.select("_metadata", "read_id")).select("read_id").writeStream.format("parquet")
-        .option("path", str(tmp_path / "u")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    ids = arriving.select("read_id")
+    stream.unique_reads(ids).writeStream.format("parquet").option("path", str(tmp_path / "u")).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     rows = [r.read_id for r in spark.read.parquet(str(tmp_path / "u")).collect()]
-    assert sorted(rows) == sorted({r[0] for r in signal_rows(15)})
-    assert stream.dropped_duplicates(query) == 5
+    assert sorted(rows) == sorted({r[0] for r in signal_rows(22)})
+    stream.arrivals(ids, str(tmp_path / "a"), str(tmp_path / "ca")).awaitTermination()
+    twice = {r.read_id: r.n for r in stream.repeated_reads(spark, str(tmp_path / "a")).collect()}
+    assert twice == {f"r{i}": 2 for i in (5, 6, 7, 8, 9, 12, 13, 14)}
 
 
 def test_running_composition_equals_batch(spark, tmp_path):
