@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,13 +72,19 @@ def classify_stream(
     )
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.where("status = 'eligible'").select("read_id")
-        if batch_id:
-            earlier = batch.sparkSession.read.schema("read_id string, batch_id long").parquet(target)
-            ids = ids.unionByName(earlier.where(F.col("batch_id") < batch_id).select("read_id"))
-        require_unique_reads(ids, input_dir)
-        scored = classify_reads(batch.drop("status"), make_encoder, head, profile, classes, dim=dim, attention=attention)
-        scored.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        # kept on disk, so that the check and the scoring read the files, and count their reads, once
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            ids = batch.where("status = 'eligible'").select("read_id")
+            if batch_id:
+                earlier = batch.sparkSession.read.schema("read_id string, batch_id long").parquet(target)
+                ids = ids.unionByName(earlier.where(F.col("batch_id") < batch_id).select("read_id"))
+            require_unique_reads(ids, input_dir)
+            reads = batch.drop("status")
+            scored = classify_reads(reads, make_encoder, head, profile, classes, dim=dim, attention=attention)
+            scored.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         counted.writeStream.foreachBatch(score)
