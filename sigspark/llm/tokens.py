@@ -4,17 +4,28 @@ Both kinds of vocabulary used here never join characters across a blank that fol
 pre-tokenizers start a new piece there. So a text is cut at such blanks, every distinct word is encoded once by the
 library and looked up afterwards. A text in which a blank follows other white space, or that contains the start of a special
 token, is encoded whole.
+
+The vocabulary with word ends drops all white space, so its texts are cut at any of it. It also lower-cases, and splits at
+places that a pattern fixes: a word of ASCII and Western European letters, which normalisation leaves alone, is cut there and
+its pieces, far fewer than words, are cached in turn. New pieces are encoded many at a time; a piece ends with the one id whose token carries the word end.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import batched, chain
 
 import numpy as np
 
-#: Words kept per worker process; the cache starts anew beyond that. Some 250 MB.
+#: Words kept per worker process, and pieces as well; a cache starts anew beyond that. Some 350 MB.
 WORDS = 600_000
+#: Characters of the texts that are looked up together.
+SLICE = 1 << 20
+#: Where the vocabulary with word ends splits lower-cased words of these characters, and its mark of a word end.
+PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+WORD_END = "</w>"
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -29,9 +40,14 @@ class Encoder:
         self.blanks = blanks
         self.cache: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        names = self.library.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        risky = specials + ([r"\s "] if blanks else [])
-        self.whole = re.compile("|".join(risky)) if risky else None
+        # the last four separators are blanks to Python only
+        risky = specials + [r"\s " if blanks else r"[\x1c-\x1f]"]
+        self.whole = re.compile("|".join(risky))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -40,42 +56,69 @@ class Encoder:
             out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are one word of the vocabulary's pre-tokenizer each."""
+        rows = [" ".join(some) for some in batched(pieces, 64)]
+        out: list[bytes] = []
+        for i in range(0, len(rows), 1000):
+            found = self.library.encode_batch_fast(rows[i : i + 1000], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype="<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+        if len(out) != len(pieces):
+            raise ValueError(f"{len(pieces)} pieces gave {len(out)} words of the vocabulary")
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Enter words that the cache lacks."""
+        if self.blanks:
+            self.cache.update(zip(words, self._encode([" " + w for w in words])))
+            return
+        plain, other = [], []
+        for w in words:
+            (plain if w.isascii() or PLAIN.fullmatch(w) else other).append(w)
+        self.cache.update(zip(other, self._encode(other)))
+        if len(self.pieces) > WORDS:
+            self.pieces.clear()
+        cut = [PIECES.findall(w.lower()) for w in plain]
+        unseen = list(set().union(*cut).difference(self.pieces))
+        self.pieces.update(zip(unseen, self._encode_pieces(unseen)))
+        get = self.pieces.__getitem__
+        self.cache.update(zip(plain, [b"".join(map(get, c)) for c in cut]))
+
+    def _look_up(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) + len(self.first) > WORDS:
             self.cache.clear()
             self.first.clear()
-        first = self.first if self.blanks else self.cache
+        rows = [t.split(" ") for t in texts] if self.blanks else [t.split() for t in texts]
+        heads = [r.pop(0) for r in rows] if self.blanks else []
+        self._learn(list(set().union(*rows).difference(self.cache)))
+        get = self.cache.__getitem__
+        if not self.blanks:
+            return [b"".join(map(get, r)) for r in rows]
+        unseen = list(set(heads).difference(self.first))
+        self.first.update(zip(unseen, self._encode(unseen)))
+        return [self.first[h] + b"".join(map(get, r)) for h, r in zip(heads, rows)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text."""
         done: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.whole and self.whole.search(t)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            done[i] = ids
-        get = self.cache.get
-        todo = []
-        new: set[str] = set()
-        new_first: set[str] = set()
+        whole, part, chars = [], [], 0
         for i, text in enumerate(texts):
-            if done[i] is not None:
+            if self.whole.search(text):
+                whole.append(i)
                 continue
-            head, *rest = text.split(" ")
-            found = list(map(get, rest))
-            known = first.get(head)
-            if known is None or None in found:
-                if known is None:
-                    new_first.add(head)
-                new.update(w for w, f in zip(rest, found) if f is None)
-                todo.append(i)
-            else:
-                done[i] = known + b"".join(found)
-        if todo:
-            words = sorted(new)
-            blank = " " if self.blanks else ""
-            self.cache.update(zip(words, self._encode([blank + w for w in words])))
-            words = sorted(new_first - first.keys())
-            first.update(zip(words, self._encode(words)))
-            for i in todo:
-                head, *rest = texts[i].split(" ")
-                done[i] = first[head] + b"".join(map(get, rest))
+            part.append(i)
+            chars += len(text)
+            if chars > SLICE:
+                for j, ids in zip(part, self._look_up([texts[j] for j in part])):
+                    done[j] = ids
+                part, chars = [], 0
+        for j, ids in zip(part, self._look_up([texts[j] for j in part])):
+            done[j] = ids
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+            done[i] = ids
         return done
 
 

@@ -271,3 +271,17 @@ def test_line_dedup_on_awkward_rows(awkward, empty):
     assert texts[5] == "one two three four five six" and texts[6] == "" and texts[0] is None and texts[1] == ""
     assert line_dedup.line_query(awkward).count() == awkward.count()
     assert line_dedup.line_query(empty).count() == 0
+
+
+@pytest.mark.parametrize("name, blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_word_cache_gives_the_library_ids(name, blanks):
+    encoder = tokens.Encoder(tokens.vocabulary(name), blanks)
+    texts = [
+        "", " ", "  a", "a ", "\t\n", "abc\n\n def\n", "It's we'RE 'red '' ''s 'S' x'll", "don't'sx 's's", "a\x1cb c\x1fd",
+        "\x00 \x01 \x7f", "12345 x1y2_z-9", "x" * 3000, "ÀÖØÞ Éa1ÿ ß× ÷Ü'S è'Ré", "e\u0301É É\u0301x \u0301 a\u0301b",
+        "µm ªº Ÿ ½ ² Ⅳ", "İstanbul ΑΣ Σ", "ﬁ ſ K Ａ１", "a\u00a0b\u2003c\u3000d\x85e\u200bf \ufeff", "日本語 テキスト 한국어",
+        "🙂👍🏽 a", "<|endoftext|> a <|ENDOFTEXT|> <|startoftext|>",
+    ]
+    expected = [np.array(encoder.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == expected
+    assert encoder.encode(texts[::-1]) == expected[::-1]  # from the cache
