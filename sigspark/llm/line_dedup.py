@@ -53,36 +53,101 @@ def _segment(length: Column, number: Column, parts: int) -> tuple[Column, Column
     return start.cast("int"), (short + (number >= shorter_ones).cast("int")).cast("int")
 
 
-def _part(line: str, length: str, start: Column, size: Column) -> Column:
-    """Hash of a substring in code points. A line of one byte each is cut as bytes, without counting through it."""
-    return F.when(
-        F.octet_length(line) == F.col(length), F.xxhash64(F.substring(F.col(line).cast("binary"), start, size))
-    ).otherwise(F.xxhash64(F.substring(line, start, size)))
+def _wide(line: str, length: str) -> Column:
+    """Two bytes a code point, so that a place in the line is a place in the bytes. Those beyond 16 bits become one sign.
+
+    Equal substrings have equal bytes, which is what keys and rests need; lines that meet are compared as they are.
+    """
+    fitting = F.when(F.octet_length(line) == F.col(length), F.col(line))
+    return F.encode(fitting.otherwise(F.regexp_replace(line, "[^\\x{0}-\\x{FFFF}]", "\ufffd")), "UTF-16BE")
+
+
+def _part(start: Column, size: Column) -> Column:
+    """Hash of a substring in code points."""
+    return F.xxhash64(F.substring(F.col("wide"), F.shiftleft(start, 1) - 1, F.shiftleft(size, 1)))
+
+
+def _pieces_of_one(i: Column, start: Column, size: Column, whole: Column, n: Column) -> list[tuple[Column, Column]]:
+    """(start, length) of the two halves of what a threshold of one edit leaves beside segment ``i``."""
+    half = F.floor((whole - size) / 2).cast("int")
+    other = (whole - size - half).cast("int")
+    begin = F.when(i == 0, start + size).otherwise(1)
+    end = F.when(i == 0, n).otherwise(start - 1)
+    return [(begin, half), (end - other + 1, other)]
 
 
-def _keyed(lines: DataFrame, looks: list[tuple[int, int, int]], edits: int) -> DataFrame:
+def _pieces_of_two(rows: DataFrame, probe: bool) -> DataFrame:
+    """With from0, long0 to from4, long4: the five pieces that a threshold of two edits compares beside segment ``i``.
+
+    Beside the middle segment each side has at most one edit: two halves of the left, two of the right. Beside an outer
+    segment the other two thirds have both edits and are cut in three: the first piece counted from the left, the last
+    from the right, or the middle one, moved by -1, 0 or 1, is unchanged. The indexed line's middle piece is not moved.
+    Every value is a column of its own, else the code repeats them and grows too large to be compiled.
+    """
+    i, at, start, size, whole, n = (F.col(name) for name in ("i", "at", "start", "size", "whole", "n"))
+    rows = rows.withColumns({
+        "before": start - at - 1, "beside": whole - size, "middle": i == 1,
+        "begin": F.when(i == 0, start + size).otherwise(1), "end": F.when(i == 0, n).otherwise(start - 1),
+    })
+    rows = rows.withColumn("after", F.col("beside") - F.col("before"))
+    rows = rows.withColumns({
+        "half": F.shiftright("before", 1), "last": F.shiftright("after", 1), "third": F.floor(F.col("beside") / 3).cast("int"),
+    })
+    before, beside, begin, end, after, half, last, third, middle = (
+        F.col(name) for name in ("before", "beside", "begin", "end", "after", "half", "last", "third", "middle")
+    )
+    sides = [(begin, half), (start - before + half, before - half), (start + size, last), (n - after + last + 1, after - last)]
+    outer = [(begin, third), *[(begin + third + (move if probe else 0), third) for move in (-1, 0, 1)]]
+    pieces = {}
+    for j, (a, b) in enumerate(zip(sides, outer)):
+        pieces |= {f"from{j}": F.when(middle, a[0]).otherwise(b[0]), f"long{j}": F.when(middle, a[1]).otherwise(b[1])}
+    return rows.withColumns(pieces | {"from4": end - beside + third + third + 1, "long4": beside - third - third})
+
+
+def _keyed(lines: DataFrame, looks: list[tuple[int, int, int]], edits: int, probe: bool) -> DataFrame:
     """a, key, rest of every line for every (segment number, shift, shorter).
 
-    The key hashes segment number, indexed length and substring. ``rest`` serves a threshold of one edit: beside a segment
-    that is unchanged the other part has the edit, so of its two halves one is unchanged as well, the first counted from its
-    left or the second from its right end. It holds 32 bits of either. One key a row keeps the generated code small enough
-    to be compiled; all keys of a line in one expression took ten times as long.
+    The key hashes segment number, indexed length and substring. ``rest`` serves thresholds of one and two edits: it has some
+    bits of the hash of each piece of the line beside the segment, one or two of which are unchanged as well (see
+    :func:`_may_match`). One key a row keeps the generated code small enough to be compiled; all keys of a line in one
+    expression took ten times as long.
     """
     array = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(at).alias("at"), F.lit(d).alias("d")) for i, at, d in looks])
-    rows = lines.select("a", "line", "n", F.inline(array).alias("i", "at", "d")).withColumn("whole", F.col("n") - F.col("d"))
+    wide = lines.select("a", "n", _wide("line", "n").alias("wide"))
+    rows = wide.select("a", "wide", "n", F.inline(array).alias("i", "at", "d")).withColumn("whole", F.col("n") - F.col("d"))
     start, size = _segment(F.col("whole"), F.col("i"), edits + 1)
     rows = rows.withColumns({"start": start + F.col("at"), "size": size})
     rows = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
-    start, size, whole = F.col("start"), F.col("size"), F.col("whole")
-    key = F.xxhash64(_part("line", "n", start, size), whole, F.col("i"))
-    if edits != 1:
-        return rows.select("a", key.alias("key"), F.lit(0).cast("long").alias("rest"))
-    half = F.floor((whole - size) / 2).cast("int")
-    other = (whole - size - half).cast("int")
-    begin = F.when(F.col("i") == 0, start + size).otherwise(1)
-    end = F.when(F.col("i") == 0, F.col("n")).otherwise(start - 1)
-    left, right = _part("line", "n", begin, half), _part("line", "n", end - other + 1, other)
-    return rows.select("a", key.alias("key"), left.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(right, 32)).alias("rest"))
+    i, start, size, whole, n = (F.col(name) for name in ("i", "start", "size", "whole", "n"))
+    key = F.xxhash64(_part(start, size), whole, i)
+    if edits == 1:
+        left, right = [_part(*piece) for piece in _pieces_of_one(i, start, size, whole, n)]
+        rest = left.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(right, 32))
+    elif edits == 2:
+        rows = _pieces_of_two(rows, probe)
+        rest = F.shiftleft((i == 1).cast("long"), 60)
+        for j in range(5):
+            piece = _part(F.col(f"from{j}"), F.col(f"long{j}"))
+            rest = rest.bitwiseOR(F.shiftleft(piece.bitwiseAND(0xFFF), 12 * j))
+    else:
+        rest = F.lit(0).cast("long")
+    return rows.select("a", key.alias("key"), rest.alias("rest"))
+
+
+def _may_match(one: Column, other: Column, edits: int) -> Column:
+    """Whether ``rest`` of two lines with the same key leaves it open that they are within the threshold; never wrong if they are.
+
+    One edit: either half is unchanged. Two edits: beside the middle segment (bit 60) a half on each side is unchanged,
+    beside an outer one any of the pieces.
+    """
+    apart = one.bitwiseXOR(other)
+    if edits == 1:
+        return (apart.bitwiseAND(0xFFFFFFFF) == 0) | (F.shiftrightunsigned(apart, 32) == 0)
+    if edits != 2:
+        return F.lit(True)
+    same = [apart.bitwiseAND(0xFFF << 12 * j) == 0 for j in range(5)]
+    middle = F.shiftrightunsigned(one, 60) == 1
+    return F.when(middle, (same[0] | same[1]) & (same[2] | same[3])).otherwise(same[0] | same[1] | same[2] | same[3] | same[4])
 
 
 def index_looks(edits: int) -> list[tuple[int, int, int]]:
@@ -190,7 +255,7 @@ def near_lines(one: Column, other: Column, edits: int) -> Column:
     return (F.abs(F.length(one) - F.length(other)) <= edits) & let(head, between)
 
 
-def line_classes(documents: DataFrame, edits: int = 1) -> DataFrame:
+def line_classes(documents: DataFrame, edits: int = 2) -> DataFrame:
     """One row per distinct line of at least SHORTEST code points: a, b (identity), copies, first, leader.
 
     ``first`` is the line's first place (doc_id, line_no), ``leader`` that of the first line of its component.
@@ -205,12 +270,11 @@ def line_classes(documents: DataFrame, edits: int = 1) -> DataFrame:
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(looks: list[tuple[int, int, int]], number: int) -> DataFrame:
-        rows = _keyed(once, looks, edits).withColumnsRenamed({"a": f"a{number}", "rest": f"rest{number}"})
+        rows = _keyed(once, looks, edits, number == 2).withColumnsRenamed({"a": f"a{number}", "rest": f"rest{number}"})
         return rows.repartition(parts, "key").distinct()
 
     held, asked = keyed(index_looks(edits), 1), keyed(probe_looks(edits), 2)
-    apart = F.col("rest1").bitwiseXOR(F.col("rest2"))
-    near = (apart.bitwiseAND(0xFFFFFFFF) == 0) | (F.shiftrightunsigned(apart, 32) == 0)
+    near = _may_match(F.col("rest1"), F.col("rest2"), edits)
     met = held.join(asked, (held["key"] == asked["key"]) & (F.col("a1") != F.col("a2")) & near)
     pairs = cut_lineage(met.select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct())
 
@@ -227,7 +291,7 @@ def line_classes(documents: DataFrame, edits: int = 1) -> DataFrame:
     return counts.join(linked, "first", "left").withColumn("leader", F.coalesce("leader", "first"))
 
 
-def removed_lines(documents: DataFrame, edits: int = 1) -> DataFrame:
+def removed_lines(documents: DataFrame, edits: int = 2) -> DataFrame:
     """doc_id, removed (ascending line numbers) of the documents that lose lines."""
     classes = line_classes(documents, edits).where("copies > 1 or first <> leader").select("a", "b", "leader")
     lines = _ids(_lines(documents)).select("a", "b", "doc_id", "line_no")
@@ -235,7 +299,7 @@ def removed_lines(documents: DataFrame, edits: int = 1) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def without_duplicates(documents: DataFrame, edits: int = 1) -> DataFrame:
+def without_duplicates(documents: DataFrame, edits: int = 2) -> DataFrame:
     """``documents`` with the removed lines cut out of their texts; all other columns and texts as they were.
 
     A null or empty text has no lines to lose. Rows that repeat an id are the same document and lose the same lines. Rows

@@ -264,6 +264,23 @@ def test_line_dedup_equals_brute_force(spark, edits):
     assert {(r.doc_id, j) for r in line_dedup.removed_lines(frame, edits).collect() for j in r.removed} == want
 
 
+def test_line_dedup_links_two_edits_by_default(spark):
+    rng = random.Random(5)
+    pairs = [("x" * 11 + "a long line of the corpus" + "y" * 264, "x" * 11 + "a lnog line of the corpus" + "y" * 264)]
+    for k in range(300):
+        base = f"{k:03d}" + "".join(rng.choice("abcdefgh é" if k % 3 else "abcdefgh ") for _ in range(rng.randint(24, 120)))
+        text = list(base)
+        for place in sorted(rng.sample(range(len(text)), 2) if k % 4 else [0, len(text) - 1], reverse=True):
+            text[place : place + rng.randint(0, 1)] = rng.choice(["", "z", "zy"])[:1]
+        pairs.append((base, "".join(text)))
+    rows = [(i, "\n".join(p)) for i, p in enumerate(pairs)]
+    rows = [(i, text) for i, text in rows if min(map(len, text.split("\n"))) >= line_dedup.SHORTEST]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, tuple(r.removed)) for r in line_dedup.removed_lines(frame).collect()} == {(i, (1,)) for i, _ in rows}
+    assert {r.removed for r in line_dedup.line_query(frame).collect()} == {"1"}
+    assert {r.text for r in line_dedup.without_duplicates(frame).collect()} == {text.split("\n")[0] for _, text in rows}
+
+
 def test_line_dedup_on_awkward_rows(awkward, empty):
     cut = line_dedup.without_duplicates(awkward)
     assert cut.columns == awkward.columns
