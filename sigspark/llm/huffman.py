@@ -116,8 +116,11 @@ def decode_ids(stream: bytes, checkpoints: np.ndarray, count: int, table: tuple[
 
 
 def _squeeze(ids: bytes) -> bytes:
-    """Low bytes, then high bytes, compressed; for the stage and the shuffle only."""
-    planes = np.frombuffer(ids, dtype="<u4").astype("<u2").view(np.uint8).reshape(-1, 2).T
+    """Low bytes, then high bytes, compressed; for the stage and the shuffle only. An id of more than 16 bits is an error."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"token id {wide.max()} does not fit the 16 bits in which ids are staged")
+    planes = wide.astype("<u2").view(np.uint8).reshape(-1, 2).T
     return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(np.ascontiguousarray(planes).tobytes())
 
 

@@ -207,6 +207,14 @@ def test_best_fit_keeps_every_capacity():
             assert (total <= bins.capacity).all() or (chosen == bin_).sum() == 1
 
 
+def test_huffman_refuses_ids_beyond_16_bits():
+    ids = np.array([0, 7, 0xFFFF], dtype="<u4")
+    assert (huffman._unsqueeze(huffman._squeeze(ids.tobytes())) == ids).all()
+    assert len(huffman._unsqueeze(huffman._squeeze(b""))) == 0
+    with pytest.raises(ValueError, match="65536"):
+        huffman._squeeze(np.array([3, 0x10000], dtype="<u4").tobytes())
+
+
 def test_huffman_round_trip(spark, awkward, empty, tmp_path):
     rng = np.random.default_rng(0)
     for n in (1, 511, 512, 513, 20_000):
