@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,31 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+#: Bytes of text that a mapper works on at a time; a longer text is a slice by itself.
+SLICE = 1 << 21
+
+
+def sliced(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with at most about ``most`` bytes in its column ``text``; without such a column, the batch."""
+    if "text" not in batch.schema.names:
+        yield batch
+        return
+    stops = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = stops[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(stops, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """An Arrow mapper that applies ``function`` to every batch that has rows."""
+    """An Arrow mapper that applies ``function`` to every batch that has rows, a slice of bounded text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield function(batch)
+                yield from map(function, sliced(batch))
 
     return run
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sigspark.llm.ann_tree import ann_query
 from sigspark.llm.common import table
 from sigspark.llm.cosine_lsh import cosine_query
+from sigspark.llm.filter_audit import AUDIT_SQL, audit_query
 from sigspark.llm.huffman import huffman_query
 from sigspark.llm.line_dedup import line_query
 from sigspark.llm.mixing import mixing_query
@@ -39,7 +40,8 @@ QUERIES = {
     "op8_packing": _of(packing_query, "documents"),
     "op9_huffman": _of(huffman_query, "documents"),
     "op10_line_dedup": _of(line_query, "documents"),
+    "op13_filter_audit": _of(audit_query, "documents", "labels"),
 }
 
-#: None of the ten can be stated in SQL over whole tables; tests/llm holds them against brute force and round trips.
-ORACLES: dict[str, str] = {}
+#: The others cannot be stated in SQL over whole tables; tests/llm holds them against brute force and round trips.
+ORACLES: dict[str, str] = {"op13_filter_audit": AUDIT_SQL}

@@ -1,34 +1,88 @@
-"""Token ids of whole texts by a vocabulary file of the tokenizers library, with a bounded cache of words.
+"""Token ids of whole texts by a vocabulary file of the tokenizers library, one look-up per distinct word.
 
 Both kinds of vocabulary used here never join characters across a blank that follows a non-blank character: their
-pre-tokenizers start a new piece there. So a text is cut at such blanks, every distinct word is encoded once by the
-library and looked up afterwards. A text in which a blank follows other white space, or that contains the start of a special
-token, is encoded whole.
+pre-tokenizers start a new piece there. So texts are cut at such blanks by Arrow, the words of about two million characters are
+dictionary-encoded, and only words that the worker's store lacks go to the library, many of them in one call. The ids of the
+texts are then gathered from the store with NumPy offsets.
+
+A text in which a blank follows other white space, or that contains the start of a special token, is not looked up: it goes
+to the library in sections that end before a single blank between two other characters. A long text is cut into sections as
+well, so memory is bounded by a section and the store.
 
 The vocabulary with word ends drops all white space, so its texts are cut at any of it. It also lower-cases, and splits at
 places that a pattern fixes: a word of ASCII and Western European letters, which normalisation leaves alone, is cut there and
-its pieces, far fewer than words, are cached in turn. New pieces are encoded many at a time; a piece ends with the one id whose token carries the word end.
+its pieces, fewer than words, are looked up in a store of their own; a piece ends with the one id whose token has the word end.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import batched, chain
+from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
-
-#: Words kept per worker process, and pieces as well; a cache starts anew beyond that. Some 350 MB.
-WORDS = 600_000
-#: Characters of the texts that are looked up together.
-SLICE = 1 << 20
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words, characters of words and ids kept per worker process and vocabulary; the store starts anew beyond them. Some 150 MB.
+WORDS, CHARS, IDS = 500_000, 16_000_000, 4_000_000
+#: Characters of the texts that are looked up together, and of a section that the library encodes whole.
+SLICE, SECTION = 1 << 21, 1 << 16
+#: Words that one call of the library encodes as one text.
+ROW = 256
 #: Where the vocabulary with word ends splits lower-cased words of these characters, and its mark of a word end.
 PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+| ")
 WORD_END = "</w>"
+LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
+class Store:
+    """Ids of words, appended to one array."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.chars = self.used = 0
+        self.flat = np.empty(1 << 16, dtype="<u4")
+        self.start = np.empty(1 << 12, dtype=np.int64)
+        self.length = np.empty(1 << 12, dtype=np.int64)
+
+    def full(self) -> bool:
+        return len(self.index) > WORDS or self.chars > CHARS or self.used > IDS
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, total = len(self.index), self.used + len(ids)
+        last = first + len(words)
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(total, dtype="<u4")])
+        if last > len(self.start):
+            more = np.empty(last, dtype=np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        self.flat[self.used : total] = ids
+        self.start[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.length[first:last] = sizes
+        self.index.update(zip(words, range(first, last)))
+        self.chars += sum(map(len, words))
+        self.used = total
+
+    def places(self, words: np.ndarray, learn: Callable[[list[str]], None]) -> np.ndarray:
+        """Where distinct ``words`` are; ``learn`` has to add those that are missing."""
+        found = np.array(list(map(self.index.get, words, repeat(-1))), dtype=np.int64)
+        new = words[found < 0].tolist()
+        if new:
+            learn(new)
+            found[found < 0] = list(map(self.index.__getitem__, new))
+        return found
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places and where each word's ids stop, with a 0 before."""
+        sizes = self.length[at]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.start[at] - stops[:-1], sizes) + np.arange(stops[-1])], stops
+
+
 class Encoder:
     """``blanks`` says whether the vocabulary encodes a blank together with the word after it."""
 
@@ -38,88 +92,125 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.blanks = blanks
-        self.cache: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         names = self.library.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.starts, self.ends = (np.zeros(max(names.values()) + 1, dtype=bool) for _ in range(2))
+        if blanks:
+            blank = self.library.id_to_token(int(self._alone(" ")[0]))
+            self.starts[[i for name, i in names.items() if name.startswith(blank)]] = True
         self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         # the last four separators are blanks to Python only
         risky = specials + [r"\s " if blanks else r"[\x1c-\x1f]"]
         self.whole = re.compile("|".join(risky))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 10_000):
-            found = self.library.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-        return out
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are one word of the vocabulary's pre-tokenizer each."""
-        rows = [" ".join(some) for some in batched(pieces, 64)]
-        out: list[bytes] = []
-        for i in range(0, len(rows), 1000):
-            found = self.library.encode_batch_fast(rows[i : i + 1000], add_special_tokens=False)
-            ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype="<u4")
-            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *stops], stops)]
-        if len(out) != len(pieces):
-            raise ValueError(f"{len(pieces)} pieces gave {len(out)} words of the vocabulary")
-        return out
+        self.words, self.pieces = Store(), Store()
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, text: str) -> np.ndarray:
+        return self._batch([text])[0]
+
+    def _rows(self, store: Store, words: list[str], before: str, marks: np.ndarray, first: bool) -> None:
+        """Add words; ``marks`` are the ids that are the first or the last of exactly one word of a row."""
+        for at in range(0, len(words), ROW):
+            row = words[at : at + ROW]
+            ids = self._alone(before + " ".join(row))
+            ends = np.append(np.flatnonzero(marks[ids]), len(ids)) if first else np.append(-1, np.flatnonzero(marks[ids])) + 1
+            sizes = np.diff(ends)
+            if len(sizes) != len(row) or sizes.sum() != len(ids):
+                found = self._batch([before + w for w in row])
+                ids, sizes = np.concatenate(found), np.array([len(x) for x in found])
+            store.add(row, ids, sizes)
 
     def _learn(self, words: list[str]) -> None:
-        """Enter words that the cache lacks."""
         if self.blanks:
-            self.cache.update(zip(words, self._encode([" " + w for w in words])))
+            # an empty word, a blank at the end of a text, would join the next one
+            for some in ([""] if "" in words else []), [w for w in words if w]:
+                self._rows(self.words, some, " ", self.starts, True)
             return
         plain, other = [], []
         for w in words:
             (plain if w.isascii() or PLAIN.fullmatch(w) else other).append(w)
-        self.cache.update(zip(other, self._encode(other)))
-        if len(self.pieces) > WORDS:
-            self.pieces.clear()
-        cut = [PIECES.findall(w.lower()) for w in plain]
-        unseen = list(set().union(*cut).difference(self.pieces))
-        self.pieces.update(zip(unseen, self._encode_pieces(unseen)))
-        get = self.pieces.__getitem__
-        self.cache.update(zip(plain, [b"".join(map(get, c)) for c in cut]))
-
-    def _look_up(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) + len(self.first) > WORDS:
-            self.cache.clear()
-            self.first.clear()
-        rows = [t.split(" ") for t in texts] if self.blanks else [t.split() for t in texts]
-        heads = [r.pop(0) for r in rows] if self.blanks else []
-        self._learn(list(set().union(*rows).difference(self.cache)))
-        get = self.cache.__getitem__
+        for at in range(0, len(other), ROW):
+            found = self._batch(other[at : at + ROW])
+            self.words.add(other[at : at + ROW], np.concatenate(found), np.array([len(x) for x in found]))
+        if not plain:
+            return
+        if self.pieces.full():
+            self.pieces = Store()
+        coded = pa.array(PIECES.findall(" ".join(plain).lower())).dictionary_encode()
+        distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        blank = distinct == " "
+        real = np.zeros(len(distinct), dtype=np.int64)
+        real[~blank] = self.pieces.places(distinct[~blank], lambda new: self._rows(self.pieces, new, "", self.ends, False))
+        between = blank[codes]
+        ids, stops = self.pieces.gather(real[codes[~between]])
+        ends = np.append(np.flatnonzero(between), len(codes)) - np.arange(len(plain))
+        self.words.add(plain, ids, np.diff(stops[ends], prepend=0))
+
+    def _look_up(self, sections: list[str]) -> list[np.ndarray]:
+        """Ids of sections; with ``blanks`` every word of a section counts with a blank before it."""
+        if self.words.full():
+            self.words = Store()
+        column = pa.array(sections, pa.string())
+        lists = pc.split_pattern(column, " ") if self.blanks else pc.utf8_split_whitespace(column)
+        words, ends = lists.flatten(), lists.offsets.to_numpy()
         if not self.blanks:
-            return [b"".join(map(get, r)) for r in rows]
-        unseen = list(set(heads).difference(self.first))
-        self.first.update(zip(unseen, self._encode(unseen)))
-        return [self.first[h] + b"".join(map(get, r)) for h, r in zip(heads, rows)]
+            kept = pc.greater(pc.binary_length(words), 0)
+            ends = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])[ends]
+            words = words.filter(kept)
+        coded = words.dictionary_encode()
+        place = self.words.places(coded.dictionary.to_numpy(zero_copy_only=False), self._learn)
+        ids, stops = self.words.gather(place[coded.indices.to_numpy()])
+        cuts = stops[ends]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _sections(self, text: str) -> list[str]:
+        """Parts of a text that the library encodes whole, each beginning with the blank that it was cut at."""
+        out, at = [], 0
+        while len(text) - at > SECTION:
+            cut = LONE_BLANK.search(text, at + SECTION)
+            if cut is None:
+                break
+            out.append(text[at : cut.start()])
+            at = cut.start()
+        return [*out, text[at:]]
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (unsigned 32 bits) of every text."""
+        done: list[list[np.ndarray]] = [[] for _ in texts]
+        part: list[tuple[int, str]] = []
+        chars = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(part, self._look_up([s for _, s in part])):
+                done[i].append(ids)
+            part.clear()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
-        done: list[bytes | None] = [None] * len(texts)
-        whole, part, chars = [], [], 0
         for i, text in enumerate(texts):
             if self.whole.search(text):
-                whole.append(i)
+                done[i] = [self._alone(s) for s in self._sections(text)]
                 continue
-            part.append(i)
-            chars += len(text)
-            if chars > SLICE:
-                for j, ids in zip(part, self._look_up([texts[j] for j in part])):
-                    done[j] = ids
-                part, chars = [], 0
-        for j, ids in zip(part, self._look_up([texts[j] for j in part])):
-            done[j] = ids
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            done[i] = ids
-        return done
+            at = 0
+            if self.blanks:  # the first word has no blank before it
+                at = text.find(" ") + 1 or len(text) + 1
+                done[i].append(self._alone(text[: at - 1]))
+            while at <= len(text):
+                cut = text.find(" ", at + SLICE)
+                cut = len(text) if cut < 0 else cut
+                part.append((i, text[at:cut]))
+                chars += cut - at
+                at = cut + 1
+                if chars > SLICE:
+                    flush()
+                    chars = 0
+        if part:
+            flush()
+        return [ids[0] if len(ids) == 1 else np.concatenate(ids) for ids in done]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text."""
+        return [ids.tobytes() for ids in self.arrays(texts)]
 
 
 def encoder(path: str, blanks: bool) -> Encoder:
