@@ -10,6 +10,7 @@ from sigspark.llm.ann_tree import ann_query
 from sigspark.llm.common import table
 from sigspark.llm.cosine_lsh import cosine_query
 from sigspark.llm.filter_audit import AUDIT_SQL, audit_query
+from sigspark.llm.hard_negatives import NEGATIVES_SQL, negatives_query
 from sigspark.llm.huffman import huffman_query
 from sigspark.llm.line_dedup import line_query
 from sigspark.llm.mixing import mixing_query
@@ -18,6 +19,7 @@ from sigspark.llm.quality_crf import quality_query
 from sigspark.llm.secret_dfa import secrets_query
 from sigspark.llm.simhash import simhash_query
 from sigspark.llm.toxicity import toxicity_query
+from sigspark.llm.window_packing import windows_query
 from sigspark.session import ship_package
 
 
@@ -40,8 +42,10 @@ QUERIES = {
     "op8_packing": _of(packing_query, "documents"),
     "op9_huffman": _of(huffman_query, "documents"),
     "op10_line_dedup": _of(line_query, "documents"),
+    "op11_hard_negatives": _of(negatives_query, "embeddings"),
+    "op12_window_packing": _of(windows_query, "documents"),
     "op13_filter_audit": _of(audit_query, "documents", "labels"),
 }
 
 #: The others cannot be stated in SQL over whole tables; tests/llm holds them against brute force and round trips.
-ORACLES: dict[str, str] = {"op13_filter_audit": AUDIT_SQL}
+ORACLES: dict[str, str] = {"op11_hard_negatives": NEGATIVES_SQL, "op13_filter_audit": AUDIT_SQL}
