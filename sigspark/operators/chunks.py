@@ -80,8 +80,13 @@ def read_status(reads: DataFrame, profile: SignalProfile) -> DataFrame:
 
 def status_counts(reads: DataFrame, profile: SignalProfile) -> DataFrame:
     """Scanned, eligible, too short and invalid reads per source file."""
+    return count_by_status(read_status(reads, profile))
+
+
+def count_by_status(rows: DataFrame) -> DataFrame:
+    """:func:`status_counts` of rows that have their status."""
     is_ = lambda s: F.sum((F.col("status") == s).cast("long"))
-    return read_status(reads, profile).groupBy("source_file").agg(
+    return rows.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("scanned"),
         is_("eligible").alias("eligible"),
         is_("too_short").alias("too_short"),

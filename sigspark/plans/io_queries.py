@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sigspark.operators import bags as bag
@@ -24,9 +25,12 @@ from sigspark.plans.bag_queries import (
 from sigspark.plans.bridge import CLASSES, predictions_of, signals, table
 from sigspark.plans.metric_queries import LABELS
 from sigspark.plans.registry import query, sql
-from sigspark.session import scratch_path
+from sigspark.session import cut_lineage, scratch_path
 from sigspark.sources import files, sinks
+from sigspark.sources.signals import SIGNAL_SCHEMA
 from sigspark.streaming import classify as stream
+from sigspark.streaming.seen import SeenIds
+
 
 @query("inventory_files")
 def _(spark, d):
@@ -102,14 +106,72 @@ def _(spark, d):
 
 @query("stream_classify", sql(["samples", "physical"], RAW_SCORES_SQL))
 def _(spark, d):
+    """Three batches, then a file that repeats a read of the first one, which has to stop the resumed run."""
+    source, out = scratch_path(spark, "signals"), scratch_path(spark, "predictions")
+    reads = signals(spark, d)
+    reads.repartition(3, "source_read_index").write.parquet(source)
+    checkpoint = stream.run_checkpoint(scratch_path(spark, "stream"), {"profile": PROFILE, "source": source})
+
+    def run():
+        stream.classify_stream(
+            spark, source, formula_encoder, RAW_HEAD, PROFILE, BAG_CLASSES, dim=RAW_DIM, out_dir=out, checkpoint=checkpoint,
+            files_per_trigger=1,
+        ).awaitTermination()
+
+    run()
+    scored = cut_lineage(stream.classified(spark, out, checkpoint))
+    late = scored.select(F.min("read_id").alias("read_id"))
+    spark.read.schema(SIGNAL_SCHEMA).parquet(source).join(late, "read_id", "left_semi").write.mode("append").parquet(source)
+    try:
+        run()
+    except StreamingQueryException as error:
+        if "duplicate read_id" not in str(error):
+            raise
+        return read_scores(scored)
+    raise RuntimeError("a read that came twice was scored twice")
+
+
+COUNTERS_SQL = """
+, lengths AS (SELECT source_file, source_read_index, read_id, count(*) AS n FROM samples GROUP BY ALL),
+ordered AS (SELECT *, coalesce(sum(CAST(n >= 25 AS INTEGER)) OVER (ORDER BY source_file, source_read_index, read_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM lengths)
+SELECT source_file, count(*) AS scanned, CAST(sum(CAST(n >= 25 AS INTEGER)) AS BIGINT) AS eligible,
+       CAST(sum(CAST(n < 25 AS INTEGER)) AS BIGINT) AS too_short, CAST(0 AS BIGINT) AS invalid
+FROM ordered WHERE taken < (SELECT count(*) // 2 FROM lengths WHERE n >= 25) GROUP BY source_file"""
+
+
+@query("stream_counters", sql(["samples"], COUNTERS_SQL))
+def _(spark, d):
+    """Counters per file of a run over two folders, limited to half of the eligible reads; a batch holds half of the files."""
     source, out = scratch_path(spark, "signals"), scratch_path(spark, "predictions")
-    signals(spark, d).write.parquet(source)
-    settings = {"profile": PROFILE, "source": source}
+    reads = cut_lineage(signals(spark, d))
+    first = F.substring("source_file", 2, 1).cast("int") < 5
+    for part in (first, ~first):
+        reads.where(part).coalesce(1).write.mode("append").parquet(source)
+    checkpoint = scratch_path(spark, "stream")
+    limit = ch.read_status(reads, PROFILE).where("status = 'eligible'").count() // 2
     stream.classify_stream(
-        spark, source, formula_encoder, RAW_HEAD, PROFILE, BAG_CLASSES, dim=RAW_DIM, out_dir=out,
-        checkpoint=stream.run_checkpoint(scratch_path(spark, "stream"), settings),
+        spark, source, formula_encoder, RAW_HEAD, PROFILE, BAG_CLASSES, dim=RAW_DIM, out_dir=out, checkpoint=checkpoint,
+        files_per_trigger=1, max_reads=limit,
     ).awaitTermination()
-    return read_scores(spark.read.parquet(out))
+    return stream.file_counters(spark, out, checkpoint)
+
+
+@query("seen_ids", """
+WITH e AS (SELECT 'u' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 977 AS VARCHAR) AS read_id, event_id % 5 AS batch FROM events),
+n AS (SELECT batch, read_id, count(*) AS n FROM e GROUP BY batch, read_id)
+SELECT CAST(batch AS INTEGER) AS batch, read_id FROM n
+WHERE n > 1 OR EXISTS (SELECT 1 FROM n o WHERE o.read_id = n.read_id AND o.batch < n.batch)""")
+def _(spark, d):
+    """Ids of the events in five batches: those that each batch repeats."""
+    ids = table(spark, d, "events").selectExpr("concat('u', user_id, '-', event_id % 977) AS read_id", "event_id % 5 AS batch")
+    seen = SeenIds(spark, scratch_path(spark, "seen"), capacity=1 << 18)
+    found = None
+    for k in range(5):
+        repeated = cut_lineage(seen.add(ids.where(F.col("batch") == k).select("read_id"), k))
+        repeated = repeated.select(F.lit(k).alias("batch"), "read_id")
+        found = repeated if found is None else found.unionByName(repeated)
+    return found
 
 
 @query("stream_dedup", "SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS read_id FROM events")
