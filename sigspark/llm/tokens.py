@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, characters of words and ids kept per worker process and vocabulary; the store starts anew beyond them. Some 150 MB.
-WORDS, CHARS, IDS = 500_000, 16_000_000, 4_000_000
+#: Words, characters of words and ids of a store; a full one is kept until the next one is full. Some 150 MB a worker process.
+WORDS, CHARS, IDS = 250_000, 8_000_000, 2_000_000
 #: Characters of the texts that are looked up together, and of a section that the library encodes whole.
 SLICE, SECTION = 1 << 21, 1 << 16
 #: Words that one call of the library encodes as one text.
@@ -40,9 +40,12 @@ _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Store:
-    """Ids of words, appended to one array."""
+    """Ids of words, appended to one array; ``old`` is the full store before it, from which words that are used again come."""
 
-    def __init__(self) -> None:
+    def __init__(self, old: Store | None = None) -> None:
+        self.old = old
+        if old is not None:
+            old.old = None
         self.index: dict[str, int] = {}
         self.chars = self.used = 0
         self.flat = np.empty(1 << 16, dtype="<u4")
@@ -70,10 +73,18 @@ class Store:
     def places(self, words: np.ndarray, learn: Callable[[list[str]], None]) -> np.ndarray:
         """Where distinct ``words`` are; ``learn`` has to add those that are missing."""
         found = np.array(list(map(self.index.get, words, repeat(-1))), dtype=np.int64)
-        new = words[found < 0].tolist()
-        if new:
-            learn(new)
-            found[found < 0] = list(map(self.index.__getitem__, new))
+        missing = words[found < 0]
+        if not len(missing):
+            return found
+        new = missing
+        if self.old is not None:
+            there = np.array(list(map(self.old.index.get, missing, repeat(-1))), dtype=np.int64)
+            known, new = missing[there >= 0], missing[there < 0]
+            ids, stops = self.old.gather(there[there >= 0])
+            self.add(known.tolist(), ids, np.diff(stops))
+        if len(new):
+            learn(new.tolist())
+        found[found < 0] = list(map(self.index.__getitem__, missing))
         return found
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +102,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # for pieces that normalisation leaves alone
+        self.normal = Tokenizer.from_file(path)
+        if self.normal.normalizer is not None:
+            self.normal.normalizer = None
         self.blanks = blanks
         names = self.library.get_vocab()
         self.starts, self.ends = (np.zeros(max(names.values()) + 1, dtype=bool) for _ in range(2))
@@ -104,21 +119,22 @@ class Encoder:
         self.whole = re.compile("|".join(risky))
         self.words, self.pieces = Store(), Store()
 
-    def _batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str], normal: bool = False) -> list[np.ndarray]:
+        library = self.normal if normal else self.library
+        return [np.array(e.ids, dtype="<u4") for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _alone(self, text: str) -> np.ndarray:
         return self._batch([text])[0]
 
     def _rows(self, store: Store, words: list[str], before: str, marks: np.ndarray, first: bool) -> None:
-        """Add words; ``marks`` are the ids that are the first or the last of exactly one word of a row."""
+        """Add words that are normal; ``marks`` are the ids that are the first or the last of exactly one word of a row."""
         for at in range(0, len(words), ROW):
             row = words[at : at + ROW]
-            ids = self._alone(before + " ".join(row))
+            ids = self._batch([before + " ".join(row)], True)[0]
             ends = np.append(np.flatnonzero(marks[ids]), len(ids)) if first else np.append(-1, np.flatnonzero(marks[ids])) + 1
             sizes = np.diff(ends)
             if len(sizes) != len(row) or sizes.sum() != len(ids):
-                found = self._batch([before + w for w in row])
+                found = self._batch([before + w for w in row], True)
                 ids, sizes = np.concatenate(found), np.array([len(x) for x in found])
             store.add(row, ids, sizes)
 
@@ -137,7 +153,7 @@ class Encoder:
         if not plain:
             return
         if self.pieces.full():
-            self.pieces = Store()
+            self.pieces = Store(self.pieces)
         coded = pa.array(PIECES.findall(" ".join(plain).lower())).dictionary_encode()
         distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
         blank = distinct == " "
@@ -151,7 +167,7 @@ class Encoder:
     def _look_up(self, sections: list[str]) -> list[np.ndarray]:
         """Ids of sections; with ``blanks`` every word of a section counts with a blank before it."""
         if self.words.full():
-            self.words = Store()
+            self.words = Store(self.words)
         column = pa.array(sections, pa.string())
         lists = pc.split_pattern(column, " ") if self.blanks else pc.utf8_split_whitespace(column)
         words, ends = lists.flatten(), lists.offsets.to_numpy()

@@ -31,6 +31,8 @@ from sigspark.session import cut_lineage
 WINDOW = 2048
 #: Items that one block packs.
 BLOCK = 16_384
+#: Cut items up to this size are sent to the ids; more are joined by a shuffle.
+BROADCAST_BYTES = 1 << 24
 PIECES = ("at", "length", "sequence", "place")
 
 
@@ -225,9 +227,15 @@ def pack_windows(
         *own[:-1], F.col("pieces")[0]["sequence"].alias("sequence_id"), F.col("pieces")[0]["place"].alias("offset")
     )
     kind = documents.schema["doc_id"].dataType.simpleString()
+    # counted first; every piece of an item has a token, and all cut items together few more pieces than windows
+    several = placed.where(F.size("pieces") > 1)
+    size = several.agg(F.count("*").alias("items"), F.sum(F.size("pieces")).alias("pieces")).first()
+    if 100 * size["items"] + 40 * (size["pieces"] or 0) <= BROADCAST_BYTES:
+        several = F.broadcast(several)
     cut = (
-        placed.where(F.size("pieces") > 1)
-        .join(staged.where(F.col("ids").isNotNull()).select("item", "ids"), "item")
+        staged.where(F.col("ids").isNotNull())
+        .select("item", "ids")
+        .join(several, "item")
         .select("doc_id", "start", "length", "doc_tokens", "ids", "pieces")
         .mapInArrow(_cut, f"doc_id {kind}, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )
