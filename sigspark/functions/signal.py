@@ -7,7 +7,6 @@ forward fill can only be written quadratically with array functions.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,17 +73,35 @@ def np_repair(x: np.ndarray, low: float = MINIMUM, high: float = MAXIMUM) -> np.
 
 
 def running_median(x: np.ndarray, size: int) -> np.ndarray:
-    """Middle (upper of the two for an even size) of a window kept sorted; the signal is mirrored at both ends."""
+    """Middle (upper of the two for an even size) of every window; the signal is mirrored at both ends, again and again if
+    it is shorter than the window.
+
+    All windows descend together through the bits of the samples' ranks, from the highest: at each bit the samples are parted into
+    those without and those with it, in order, so a window stays one range; a prefix count says how many of its samples have
+    no such bit, hence on which side its middle lies.
+    """
+    if not x.size:
+        return np.empty(0)
     left = size // 2
-    padded = np.pad(x, (left, size - 1 - left), mode="symmetric").tolist()
-    window = sorted(padded[:size])
-    out = np.empty(x.size)
-    out[0] = window[left]
-    for i in range(1, x.size):
-        del window[bisect_left(window, padded[i - 1])]
-        insort(window, padded[i + size - 1])
-        out[i] = window[left]
-    return out
+    values, rank = np.unique(np.pad(x, (left, size - 1 - left), mode="symmetric"), return_inverse=True)
+    rank = rank.astype(np.int32)
+    low = np.arange(x.size, dtype=np.int32)
+    high = low + np.int32(size)
+    below = np.full(x.size, left, dtype=np.int32)
+    middle = np.zeros(x.size, dtype=np.int32)
+    for bit in reversed(range(int(len(values) - 1).bit_length())):
+        with_bit = (rank >> bit & 1).astype(bool)
+        without = np.zeros(len(rank) + 1, dtype=np.int32)
+        np.cumsum(~with_bit, out=without[1:])
+        low_0, high_0 = without[low], without[high]
+        inside = high_0 - low_0
+        up = below >= inside
+        below -= inside * up
+        low = np.where(up, without[-1] + low - low_0, low_0)
+        high = np.where(up, without[-1] + high - high_0, high_0)
+        middle |= up.astype(np.int32) << bit
+        rank = np.concatenate([rank[~with_bit], rank[with_bit]])
+    return values[middle]
 
 
 def np_despike(x: np.ndarray, window: int = SPIKE_WINDOW, threshold: float = SPIKE_THRESHOLD) -> np.ndarray:

@@ -132,17 +132,21 @@ def check_manifest(spark: SparkSession, path: str, classes: Sequence[str], profi
 
 
 def calibrate(
-    spark: SparkSession, predictions: str, out: str, classes: Sequence[str], settings: Mapping[str, float] | None = None
+    spark: SparkSession, predictions: str, out: str, classes: Sequence[str], settings: Mapping[str, float] | None = None,
+    order_col: str = "read_id",
 ) -> cal.ThresholdSpec:
-    """Choose a threshold on validation predictions; writes the curve, the choice and the frozen threshold."""
+    """Choose a threshold on validation predictions.
+
+    Writes the curve, the choice, the frozen threshold and how well confidence ranks correct reads above errors.
+    """
     pred = read_predictions(spark, predictions)
     options = dict(settings or {})
-    curve = cal.risk_coverage(pred, classes, options.get("grid_size", 1001))
-    curve.write.mode("overwrite").parquet(f"{out}/curve")
-    chosen = cal.select_operating_point(
-        spark.read.parquet(f"{out}/curve"),
-        **cal.constraints(**{k: v for k, v in options.items() if k != "grid_size"}),
-    )
+    grid_size = options.pop("grid_size", 1001)
+    limits = cal.Limits(**options)
+    cal.risk_coverage(pred, classes, grid_size).write.mode("overwrite").parquet(f"{out}/curve")
+    sinks.write_csv(auroc(pred), f"{out}/auroc")
+    sinks.write_csv(aurc(pred, order_col), f"{out}/aurc")
+    chosen = cal.select_operating_point(spark.read.parquet(f"{out}/curve"), limits)
     chosen.write.mode("overwrite").parquet(f"{out}/selected")
     spec = cal.threshold_spec(spark.read.parquet(f"{out}/selected"))
     spec.frame(spark).coalesce(1).write.mode("overwrite").json(f"{out}/threshold")

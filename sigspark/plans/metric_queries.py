@@ -153,18 +153,20 @@ cells AS (
          count(*) FILTER (v.true_label = l.label AND v.predicted_label = l.label) AS tp
   FROM kept k JOIN v ON v.confidence >= k.confidence CROSS JOIN {LABELS} l GROUP BY 1, 2),
 tot AS (SELECT true_label AS label, count(*) AS t FROM v GROUP BY 1),
-curve AS (
+points AS (
   SELECT CASE WHEN sum(s) = (SELECT count(*) FROM v) THEN 0 ELSE c.confidence END AS threshold,
          CAST(sum(s) AS BIGINT) AS accepted_reads, sum(s) / (SELECT count(*) FROM v) AS coverage,
          sum(tp) / sum(s) AS accepted_accuracy,
          avg(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / p) * (tp / s) / (tp / p + tp / s) END) AS accepted_macro_f1,
          1 - sum(tp) / sum(s) AS selective_risk, min(s / t) AS min_per_class_coverage,
          max(s / t) FILTER (label = 0) AS coverage_c0, max(s / t) FILTER (label = 8) AS coverage_c8
-  FROM cells c JOIN tot USING (label) GROUP BY c.confidence)"""
+  FROM cells c JOIN tot USING (label) GROUP BY c.confidence),
+curve AS (SELECT p.*, p.accepted_accuracy - full_.accepted_accuracy AS accuracy_gain, p.accepted_macro_f1 - full_.accepted_macro_f1 AS macro_f1_gain
+  FROM points p, (SELECT * FROM points WHERE threshold = 0) full_)"""
 
 
 _CURVE_COLUMNS = ("threshold", "coverage", "accepted_accuracy", "accepted_macro_f1", "selective_risk",
-                  "min_per_class_coverage")
+                  "min_per_class_coverage", "accuracy_gain", "macro_f1_gain")
 
 
 def _curve(grid: int):
@@ -191,7 +193,8 @@ best AS (SELECT curve.* FROM curve, base WHERE coverage >= 0.5 AND min_per_class
 
 
 @query("calibrate", sql(["predictions"], _curve_sql(1001) + _BASE + """
-SELECT 'target_met' AS selection_status, true AS threshold_enabled, round(threshold, 6) AS threshold, accepted_reads,
+SELECT CASE WHEN (SELECT count(*) FROM best) > 0 THEN 'target_met' ELSE 'no_feasible_selective_operating_point' END AS selection_status,
+       (SELECT count(*) FROM best) > 0 AS threshold_enabled, round(threshold, 6) AS threshold, accepted_reads,
        round(coverage, 6) AS coverage, round(accepted_accuracy, 6) AS accepted_accuracy,
        round(accepted_macro_f1, 6) AS accepted_macro_f1, round(accepted_accuracy - a, 6) AS accuracy_gain,
        round(accepted_macro_f1 - f, 6) AS macro_f1_gain FROM best, base"""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sigspark.functions import signal as sig
 from sigspark.operators import chunks as ch
 from sigspark.operators import splits
-from sigspark.plans.bridge import ROW_ORDER, reads, signals, table
+from sigspark.plans.bridge import READ_SPAN, ROW_ORDER, reads, signals, table
 from sigspark.plans.registry import query, sql
 
 PROFILE = ch.SignalProfile("mad", discard_first=5, chunk_size=20, overlap=10)
@@ -103,6 +103,43 @@ def _(spark, d):
     return samples_of(restored(spark, d), sig.despike(F.col("x"), WINDOW, THRESHOLD))
 
 
+def long_despiked_sql(src: str, p: str, window: int, threshold: float) -> str:
+    """As ``despiked_sql`` for any window: mirrored again and again, median of each row's frame."""
+    left = window // 2
+    return f""", {p}n AS (SELECT read_id, count(*) AS n FROM {src} GROUP BY 1),
+{p}padded AS (SELECT n.read_id, j AS pos, n, ((j % (2 * n)) + 2 * n) % (2 * n) AS m FROM {p}n n, range(-{left}, (SELECT max(n) FROM {p}n) + {window - 1 - left}) t(j)
+  WHERE j < n + {window - 1 - left}),
+{p}mirrored AS (SELECT p.read_id, p.pos, n, x FROM {p}padded p JOIN {src} s ON s.read_id = p.read_id AND s.pos = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END),
+{p}framed AS (SELECT read_id, pos, n, x, quantile_disc(x, {(left + 0.5) / window!r}) OVER (PARTITION BY read_id ORDER BY pos
+  ROWS BETWEEN {left} PRECEDING AND {window - 1 - left} FOLLOWING) AS m FROM {p}mirrored),
+{p}local AS (SELECT * FROM {p}framed WHERE pos >= 0 AND pos < n),
+{p}sc AS (SELECT read_id, greatest(1.4826 * median(abs(x - m)), 1.0) AS s FROM {p}local GROUP BY 1),
+{p}spiked AS (SELECT read_id, pos, CASE WHEN abs(x - m) <= {threshold} * s THEN x WHEN pos = 0 THEN m END AS v
+           FROM {p}local JOIN {p}sc USING (read_id)),
+{p}despiked AS (SELECT read_id, pos, last_value(v IGNORE NULLS) OVER (PARTITION BY read_id ORDER BY pos
+             ROWS UNBOUNDED PRECEDING) AS x FROM {p}spiked)"""
+
+
+#: Long reads: all values of the events, dealt to four reads per span of event ids, in the range of repaired signals.
+LONG_SQL = f"""WITH physical AS (
+  SELECT 'l' || CAST(event_id % 4 AS VARCHAR) || '-' || CAST(event_id // {READ_SPAN} AS VARCHAR) AS read_id, value / 4 AS x,
+         row_number() OVER (PARTITION BY event_id % 4, event_id // {READ_SPAN} ORDER BY ts, event_id) - 1 AS pos FROM events)"""
+
+
+def long_reads(spark, d):
+    rows = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id", (F.col("value") / 4).alias("x")))
+    rows = rows.groupBy((F.col("event_id") % 4).alias("k"), F.expr(f"event_id div {READ_SPAN}").alias("span"))
+    return rows.agg(F.array_sort(F.collect_list("at")).alias("s")).select(
+        F.concat(F.lit("l"), "k", F.lit("-"), "span").alias("read_id"), F.col("s.x").alias("x")
+    )
+
+
+@query("despike_long", LONG_SQL + long_despiked_sql("physical", "a_", sig.SPIKE_WINDOW, sig.SPIKE_THRESHOLD)
+       + "SELECT read_id, pos, round(x, 4) AS value FROM a_despiked")
+def _(spark, d):
+    return samples_of(long_reads(spark, d), sig.despike(F.col("x")))
+
+
 @query("central_mad", sql(["samples", "physical"], central_sql("physical", "a_")
                           + "SELECT read_id, pos, round(x, 4) AS value FROM a_central"))
 def _(spark, d):
@@ -129,6 +166,13 @@ def _(spark, d):
     return samples_of(restored(spark, d), sig.sclamp(F.col("x"), WINDOW))
 
 
+@query("profile_sclamp_long", LONG_SQL + _REPAIRED + long_despiked_sql("repaired", "a_", sig.SPIKE_WINDOW, sig.SPIKE_THRESHOLD)
+       + central_sql("a_despiked", "b_") + median5_sql("b_central", "c_")
+       + f"SELECT read_id, pos, round({CLAMP.format(x='x')}, 4) AS value FROM c_median5")
+def _(spark, d):
+    return samples_of(long_reads(spark, d), sig.sclamp(F.col("x")))
+
+
 _WINDOWS = """, n AS (SELECT read_id, count(*) AS n FROM samples GROUP BY 1),
 w AS (SELECT read_id, i AS window_index, 5 + i * 10 AS first FROM n CROSS JOIN range(2000) t(i) WHERE 5 + i * 10 + 20 <= n)"""
 

@@ -177,6 +177,9 @@ def test_calibration_needs_every_class_and_valid_limits(spark):
     for bad in ({"min_coverage": 0}, {"target_accuracy": 1.5}, {"min_per_class_coverage": -1}, {"min_accuracy_gain": -0.1}):
         with pytest.raises(ValueError):
             cal.calibrate(pred, CLASSES, **bad)
+    with pytest.raises(ValueError, match=r"min_coverage = nan .*min_accuracy_gain = -1"):
+        cal.Limits(min_coverage=float("nan"), min_accuracy_gain=-1)
+    assert cal.Limits(target_accuracy=None, min_per_class_coverage=0).target_accuracy is None
     with pytest.raises(ValueError, match="grid_size"):
         cal.risk_coverage(pred, CLASSES, 1)
 

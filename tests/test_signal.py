@@ -55,7 +55,7 @@ def naive_running_median(x, size):
     return np.array([np.sort(padded[i : i + size])[size // 2] for i in range(len(x))])
 
 
-@pytest.mark.parametrize("size", [4, 5, 64, 501])
+@pytest.mark.parametrize("size", [1, 2, 4, 5, 64, 501, 6000])
 def test_running_median_matches_sorting_every_window(size):
     for x in random_signals(8, seed=size):
         np.testing.assert_array_equal(sig.running_median(x, size), naive_running_median(x, size))
