@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions import signal as sig
 from sigspark.functions.arrays import uniform_position
-from sigspark.functions.hashing import digest, hash_below, uniform
+from sigspark.functions.hashing import digest, hash_below, normals, uniform
 from sigspark.operators.prefix import MAP_SIDE_LIMIT, first_k, with_running_sums
 from sigspark.session import cut_lineage
 
@@ -227,16 +227,14 @@ def augment(
         }
     )
 
-    def unit(i: Column, part: int) -> Column:
-        # 52 hash bits, shifted off zero for the logarithm
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(part), *who, i), 12)
-        return (bits + 1) / F.lit(float(2**52 + 1))
+    if noise_std > 0:
+        drawn = drawn.withColumn("_noise", normals(F.size("chunk"), seed, "noise", *who))
 
     def sample(v: Column, i: Column) -> Column:
         out = v * F.col("_scale") + F.col("_shift")
         if noise_std > 0:
-            out = out + F.sqrt(-2 * F.log(unit(i, 0))) * F.cos(2 * F.pi() * unit(i, 1)) * noise_std
+            out = out + F.col("_noise")[i] * noise_std
         inside = F.col("_masked") & (i >= F.col("_start")) & (i < F.col("_start") + mask_points)
         return F.when(inside, F.lit(0.0)).otherwise(out)
 
-    return drawn.withColumn("chunk", F.transform("chunk", sample)).drop("_scale", "_shift", "_masked", "_start")
+    return drawn.withColumn("chunk", F.transform("chunk", sample)).drop("_scale", "_shift", "_masked", "_start", "_noise")

@@ -106,8 +106,8 @@ def kmer_counts(sequences: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
     return _batch_counts(sequences, k, keys).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
 
 
-def kmer_distance(sequences: DataFrame, k: int = 5) -> DataFrame:
-    """Cosine distance between the k-mer profiles of all class pairs.
+def kmer_distance(sequences: DataFrame, k: int, classes: Sequence[str]) -> DataFrame:
+    """Cosine distance between the k-mer profiles of all pairs of ``classes``; 1 where no k-mer is shared.
 
     A profile has at most 4^k entries per class, so the join on the k-mer works on a table of classes x 4^k rows, which is
     built once.
@@ -123,12 +123,11 @@ def kmer_distance(sequences: DataFrame, k: int = 5) -> DataFrame:
     )
     a = norms.select(F.col("barcode").alias("src"), F.col("norm").alias("norm_src"))
     b = norms.select(F.col("barcode").alias("dst"), F.col("norm").alias("norm_dst"))
-    # classes without a common k-mer have distance 1; the grid of all class pairs is as large as the result, and
-    # one constant key makes it an equi-join
-    grid = a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    dot = F.coalesce("dot", F.lit(0.0))
-    return grid.join(dots, ["src", "dst"], "left").select(
-        "src", "dst", (1 - dot / (F.col("norm_src") * F.col("norm_dst"))).alias("distance")
+    # the declared pairs, as large as the result
+    grid = sequences.sparkSession.createDataFrame([(x, y) for x in classes for y in classes], "src string, dst string")
+    similarity = F.coalesce(F.col("dot") / (F.col("norm_src") * F.col("norm_dst")), F.lit(0.0))
+    return grid.join(dots, ["src", "dst"], "left").join(a, "src", "left").join(b, "dst", "left").select(
+        "src", "dst", (1 - similarity).alias("distance")
     )
 
 

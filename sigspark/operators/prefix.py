@@ -18,6 +18,8 @@ from sigspark.session import cut_lineage
 # Spark keeps only the first k rows of each group on the map side when k is at most this
 # (default of spark.sql.optimizer.windowGroupLimitThreshold).
 MAP_SIDE_LIMIT = 1000
+# Tasks that share the map tasks' rows of a hot group, near the square root of the map tasks of a large job.
+SALTS = 64
 
 
 def _sorted_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -75,15 +77,26 @@ def with_running_sums(
     return out.drop("_at", "_block", *[f"_{p}_{o}" for o in sums for p in ("v", "in", "before")])
 
 
-def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, name: str) -> DataFrame:
+def first_k(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, name: str, *, hot: bool = False
+) -> DataFrame:
     """The first ``k`` rows of every group, numbered from 1 in ``name``.
 
     For small ``k`` each map task drops all but its own first ``k`` rows per group before the shuffle, so the shuffle is
     bounded by tasks x groups x k whatever the group sizes are. Larger ``k`` uses the distributed rank.
+
+    ``hot`` is for few large groups, such as classes, whose rows come from every map task: the survivors of the map tasks first meet
+    in ``SALTS`` tasks per group, which keep ``k`` rows each, so that no task gets more than tasks / SALTS x k or SALTS x k
+    rows of a group.
     """
-    if k <= MAP_SIDE_LIMIT:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        ranked = df.withColumn(name, F.row_number().over(window).cast("long"))
-    else:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    if k > MAP_SIDE_LIMIT:
         ranked = with_row_number(df, keys, order, name)
+    elif hot:
+        salted = df.withColumn("_salt", F.spark_partition_id() % SALTS)
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        some = salted.withColumn("_in_salt", F.row_number().over(part)).where(F.col("_in_salt") <= k).drop("_salt", "_in_salt")
+        ranked = some.withColumn(name, F.row_number().over(window).cast("long"))
+    else:
+        ranked = df.withColumn(name, F.row_number().over(window).cast("long"))
     return ranked.where(F.col(name) <= k)

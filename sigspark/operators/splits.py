@@ -80,7 +80,7 @@ def take_targets(
     target = F.lit(None).cast("long")
     for split, count in targets.items():
         target = F.when(F.col("split") == split, F.lit(int(count))).otherwise(target)
-    ranked = first_k(rows, ["barcode", "split"], order, max(targets.values()), name)
+    ranked = first_k(rows, ["barcode", "split"], order, max(targets.values()), name, hot=True)
     return ranked.where(F.col(name) <= target)
 
 
@@ -117,7 +117,7 @@ def first_files(
     few = train.join(files, ["barcode", "ccf_file"], "left_semi")
     few = first_k(few, ["barcode", "ccf_file"], order, reads_per_file, "nth")
     held_out = first_k(
-        manifest.where(F.col("split").isin("val", "test")), ["split", "barcode"], order, eval_reads, "nth"
+        manifest.where(F.col("split").isin("val", "test")), ["split", "barcode"], order, eval_reads, "nth", hot=True
     )
     return few.unionByName(held_out).drop("nth")
 

@@ -233,22 +233,24 @@ dist AS (SELECT a.barcode AS src, b.barcode AS dst, 1 - sum(a.n * b.n) / (any_va
   FROM v a JOIN v b USING (kmer) JOIN norms x ON x.barcode = a.barcode JOIN norms y ON y.barcode = b.barcode GROUP BY 1, 2)"""
 
 
+LANGS = ["de", "en", "es", "fr"]
+
+
 @query("kmer_distance", sql(["sequences"], _DIST + "SELECT src, dst, round(distance, 6) + 0.0 AS distance FROM dist"))
 def _(spark, d):
-    return kmers.kmer_distance(sequences(spark, d), 5).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+    return kmers.kmer_distance(sequences(spark, d), 5, LANGS).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
 @query("distance_unpivot", sql(["sequences"], _DIST + "SELECT src, dst, round(distance, 6) + 0.0 AS distance FROM dist"))
 def _(spark, d):
     from sigspark.sources.tables import unpivot_distances
 
-    langs = ["de", "en", "es", "fr"]
     wide = (
-        kmers.kmer_distance(sequences(spark, d), 5)
+        kmers.kmer_distance(sequences(spark, d), 5, LANGS)
         .groupBy(F.concat("src", F.lit(" genome")).alias("label"))
-        .pivot("dst", langs)
+        .pivot("dst", LANGS)
         .agg(F.first("distance"))
-        .withColumnsRenamed({c: f"{c} genome" for c in langs})
+        .withColumnsRenamed({c: f"{c} genome" for c in LANGS})
     )
     return unpivot_distances(wide).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
@@ -259,7 +261,7 @@ def _(spark, d):
 s4 AS (SELECT src AS name FROM dist WHERE src NOT IN ('de', 'en') AND src NOT IN (SELECT name FROM s3) GROUP BY src)
 SELECT CAST(0 AS INTEGER) AS position, 'de' AS barcode UNION ALL SELECT 1, 'en' UNION ALL SELECT 2, name FROM s3 UNION ALL SELECT 3, name FROM s4"""))
 def _(spark, d):
-    return splits.greedy_order(kmers.kmer_distance(sequences(spark, d), 5), ("de", "en"))
+    return splits.greedy_order(kmers.kmer_distance(sequences(spark, d), 5, LANGS), ("de", "en"))
 
 
 PROFILE = ch.SignalProfile("mad", discard_first=5, chunk_size=20, overlap=10, max_chunks=4)
@@ -316,44 +318,64 @@ def _(spark, d):
     return read_scores(bag.score_bags(encoded(spark, d), RAW_HEAD, CLASSES, dim=RAW_DIM, keys=["read_id", "source_file"]))
 
 
-@query("mixup_rows", sql(["bags"], """
-, t AS (SELECT read_id || '-' || CAST(chunk_index AS VARCHAR) AS read_id FROM bags WHERE split = 'train'),
-h AS (SELECT read_id, row_number() OVER (ORDER BY sha256('42|1|' || read_id), read_id) AS n FROM t),
-b AS (SELECT read_id, n, (n - 1) // 32 AS batch FROM h)
-SELECT batch, read_id, coalesce(lead(read_id) OVER w, first_value(read_id) OVER w) AS partner_id,
-       CAST(1 AS DOUBLE) AS norm, CAST(1 AS DOUBLE) AS target_sum, true AS lam_in_range
-FROM b WINDOW w AS (PARTITION BY batch ORDER BY n)"""))
+@query("mixup_rows", sql(["bags"], f"""
+, t AS (SELECT read_id || '-' || CAST(chunk_index AS VARCHAR) AS read_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec
+  FROM bags WHERE split = 'train'),
+h AS (SELECT *, row_number() OVER (ORDER BY sha256('42|1|' || read_id), read_id) AS n,
+  list_extract(CAST({training.mixing_table(0.4)} AS DOUBLE[]), 1 + CAST(floor(CAST('0x' || substr(sha256('42|lam|1|' || read_id), 1, 8) AS BIGINT) / 4194304) AS BIGINT)) AS lam FROM t),
+b AS (SELECT *, (n - 1) // 32 AS batch, struct_pack(r := read_id, l := label, v := vec) AS own FROM h),
+p AS (SELECT *, coalesce(lead(own) OVER w, first_value(own) OVER w) AS partner FROM b WINDOW w AS (PARTITION BY batch ORDER BY n)),
+m AS (SELECT *, list_transform(list_zip(vec, partner.v), lambda z: lam * z[1] + (1 - lam) * z[2]) AS mix FROM p)
+SELECT batch, read_id, partner.r AS partner_id, round(lam, 6) AS lam,
+  round(mix[1] / sqrt(list_sum(list_transform(mix, lambda x: x * x))), 5) AS first_value,
+  round(list_sum(list_transform(mix, lambda x, i: x * i)) / sqrt(list_sum(list_transform(mix, lambda x: x * x))), 4) AS weighted,
+  round(CASE WHEN label = partner.l THEN CAST(1 AS DOUBLE) ELSE lam END, 6) AS own_target, CAST(1 AS DOUBLE) AS target_sum FROM m"""))
 def _(spark, d):
     rows = labelled(spark, d).where("split = 'train'")
     mixed = training.mixup_rows(rows, seed=42, epoch=1, alpha=0.4, batch_size=32, n_classes=10)
-    # lam is a random draw, so only its range and what must hold for every draw are compared
-    return mixed.select(
-        "batch", "read_id", "partner_id", F.round(norm(F.col("vector")), 6).alias("norm"),
-        F.round(sum_of(F.col("target")), 6).alias("target_sum"), F.col("lam").between(0.5, 1.0).alias("lam_in_range"),
+    weighted = F.aggregate(F.transform("vector", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return mixed.join(rows.select("read_id", "label"), "read_id").select(
+        "batch", "read_id", "partner_id", F.round("lam", 6).alias("lam"), F.round(F.col("vector")[0], 5).alias("first_value"),
+        F.round(weighted, 4).alias("weighted"), F.round(F.col("target")[F.col("label")], 6).alias("own_target"),
+        F.round(sum_of(F.col("target")), 6).alias("target_sum"),
     )
 
 
+def _estimators(steps: int):
+    return {
+        "ridge_small": LogisticRegression(maxIter=steps, regParam=0.01, tol=1e-9),
+        "ridge_large": LogisticRegression(maxIter=steps, regParam=0.3, tol=1e-9),
+    }
+
+
 @query("train_head")
 def _(spark, d):
     rows = labelled(spark, d)
     part = lambda s: rows.where(F.col("split") == s)
-    estimators = {
-        "ridge_small": LogisticRegression(maxIter=15, regParam=0.01),
-        "ridge_large": LogisticRegression(maxIter=15, regParam=0.3),
-    }
-    fitted = training.fit_head(part("train"), part("val"), estimators, CLASSES)
+    fitted = training.fit_head(part("train"), part("val"), _estimators(15), CLASSES)
     return training.predict(fitted.model, part("test")).select("read_id", "true_label", "predicted_label", "confidence")
 
 
+@query("train_head_balance", sql(["bags"], """
+, t AS (SELECT label FROM bags WHERE split = 'train')
+SELECT label, count(*) AS reads, round(count(*) / (SELECT count(*) FROM t), 4) AS mean_probability FROM t GROUP BY label"""))
+def _(spark, d):
+    """What a fit that ended at its optimum satisfies: the mean probability of a class is the share of its reads."""
+    rows = labelled(spark, d)
+    part = lambda s: rows.where(F.col("split") == s)
+    fitted = training.fit_head(part("train"), part("val"), _estimators(300), CLASSES)
+    found = training.class_balance(fitted.model, part("train"), CLASSES)
+    return found.where("reads > 0").select("label", "reads", F.round("mean_probability", 4).alias("mean_probability"))
+
+
 @query("train_kmer")
 def _(spark, d):
-    langs = ["de", "en", "es", "fr"]
     rows = kmers.kmer_vectors(sequences(spark, d), 4, relative=True).withColumnRenamed("kmers", "vector")
-    rows = rows.withColumn("label", splits.class_position(langs, F.col("barcode"))).withColumn(
+    rows = rows.withColumn("label", splits.class_position(LANGS, F.col("barcode"))).withColumn(
         "split", F.expr("CASE WHEN CAST(substr(read_id, 2) AS BIGINT) % 5 < 3 THEN 'train' WHEN CAST(substr(read_id, 2) AS BIGINT) % 5 = 3 THEN 'val' ELSE 'test' END")
     )
     part = lambda s: rows.where(F.col("split") == s)
     size = len(kmers.canonical_rank(4)[1])
-    estimators = {"mlp": MultilayerPerceptronClassifier(layers=[size, 32, len(langs)], maxIter=20, seed=42)}
-    fitted = training.fit_head(part("train"), part("val"), estimators, langs)
+    estimators = {"mlp": MultilayerPerceptronClassifier(layers=[size, 32, len(LANGS)], maxIter=20, seed=42)}
+    fitted = training.fit_head(part("train"), part("val"), estimators, LANGS)
     return training.predict(fitted.model, rows).select("split", "read_id", "true_label", "predicted_label", "confidence", "logits")

@@ -291,11 +291,36 @@ def _(spark, d):
     )
 
 
-@query("augment")
+def _mixed(x: str, out: str) -> str:
+    """Select items that scramble the 32-bit integer ``x`` into ``out``."""
+    return (f"(xor({x}, {x} >> 16) * 2146121005) & 4294967295 AS {out}1, "
+            f"(xor({out}1, {out}1 >> 15) * 73244475) & 4294967295 AS {out}2, xor({out}2, {out}2 >> 16) AS {out}")
+
+
+def _hashed(text: str, at: int = 1) -> str:
+    return f"CAST('0x' || substr(sha256('7|{text}|' || read_id || '|' || CAST(chunk_index AS VARCHAR)), {at}, 8) AS BIGINT)"
+
+
+@query("augment", sql(["samples", "physical"], _MAD + _WINDOWS.replace("n AS (", "sizes AS (", 1).replace("FROM n ", "FROM sizes ") + f"""
+, cut AS (SELECT w.read_id, CAST(window_index AS INTEGER) AS chunk_index, pos - first AS i, x FROM w JOIN normal x ON x.read_id = w.read_id AND pos BETWEEN first AND first + 19),
+chunks AS (SELECT DISTINCT read_id, chunk_index FROM cut),
+draws AS (SELECT read_id, chunk_index, {_hashed('scale')} / 4294967296 AS a, {_hashed('shift')} / 4294967296 AS b,
+  {_hashed('mask')} / 4294967296 AS m, {_hashed('start')} % 17 AS s, {_hashed('noise')} AS k1, {_hashed('noise', 9)} AS k2 FROM chunks),
+counters AS (SELECT *, (2 * i + k1) & 4294967295 AS c1, (2 * i + 1 + k1) & 4294967295 AS c2 FROM cut JOIN draws USING (read_id, chunk_index)),
+half AS (SELECT *, {_mixed('c1', 'p')}, {_mixed('c2', 'q')} FROM counters),
+full_ AS (SELECT * EXCLUDE (p, q), xor(p, k2) AS p, xor(q, k2) AS q FROM half),
+uniforms AS (SELECT *, {_mixed('p', 'u')}, {_mixed('q', 'v')} FROM full_),
+out_ AS (SELECT read_id, chunk_index, i, CASE WHEN m < 0.3 AND i >= s AND i < s + 4 THEN 0
+  ELSE x * (1 + (a * 2 - 1) * 0.05) + (b * 2 - 1) * 0.05 + 0.02 * sqrt(-2 * ln((u + 0.5) / 4294967296)) * cos(2 * pi() * ((v + 0.5) / 4294967296)) END AS y FROM uniforms)
+SELECT read_id, chunk_index, count(*) AS n, round(sum(y), 4) AS total, round(sum((i + 1) * y), 4) AS weighted FROM out_ GROUP BY 1, 2"""))
 def _(spark, d):
     chunks = ch.build_chunks(signals(spark, d), PROFILE)
-    return ch.augment(
-        chunks, seed=7, amplitude=0.05, offset=0.05, noise_std=0.02, mask_points=4, mask_probability=0.3
+    rows = ch.augment(chunks, seed=7, amplitude=0.05, offset=0.05, noise_std=0.02, mask_points=4, mask_probability=0.3)
+    total = F.aggregate("chunk", F.lit(0.0), lambda s, v: s + v)
+    weighted = F.aggregate(F.transform("chunk", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select(
+        "read_id", "chunk_index", F.size("chunk").cast("long").alias("n"), F.round(total, 4).alias("total"),
+        F.round(weighted, 4).alias("weighted"),
     )
 
 

@@ -231,5 +231,29 @@ def test_classes_without_a_common_kmer_have_distance_one(spark):
     from sigspark.operators.kmers import kmer_distance
 
     rows = spark.createDataFrame([("a", "r1", "aaaaaaaa"), ("b", "r2", "cccccccc")], "barcode string, read_id string, seq string")
-    found = {(r.src, r.dst): round(r.distance, 9) for r in kmer_distance(rows).collect()}
-    assert found == {("a", "a"): 0.0, ("b", "b"): 0.0, ("a", "b"): 1.0, ("b", "a"): 1.0}
+    found = {(r.src, r.dst): round(r.distance, 9) for r in kmer_distance(rows, 5, ["a", "b", "absent"]).collect()}
+    assert {k: v for k, v in found.items() if "absent" not in k} == {("a", "a"): 0.0, ("b", "b"): 0.0, ("a", "b"): 1.0, ("b", "a"): 1.0}
+    assert len(found) == 9 and all(v == 1.0 for k, v in found.items() if "absent" in k)
+    plan = kmer_distance(rows, 5, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("alpha", [0.2, 0.4, 1.0, 3.0])
+def test_mixing_table_follows_the_beta_distribution(alpha):
+    table = np.array(training.mixing_table(alpha))
+    draws = np.random.default_rng(0).beta(alpha, alpha, 400_000)
+    folded = np.maximum(draws, 1 - draws)
+    assert np.all(np.diff(table) <= 0) and table[0] <= 1 and table[-1] >= 0.5
+    expected = np.quantile(folded, 1 - (np.arange(1024) + 0.5) / 1024)
+    assert np.abs(table - expected).max() < 0.01
+
+
+def test_gradient_of_a_finished_fit_is_zero_per_class(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    rng = np.random.default_rng(2)
+    rows = [([float(v) for v in rng.normal(size=3) + i % 3], i % 3) for i in range(240)]
+    train = spark.createDataFrame(rows, "vector array<double>, label int")
+    done, stopped = (training.fit_head(train, train, {"one": LogisticRegression(maxIter=n, tol=1e-9)}, CLASSES[:3]) for n in (200, 0))
+    assert max(abs(r.gradient) for r in training.class_balance(done.model, train, CLASSES[:3]).collect()) < 1e-5
+    assert done.candidates.count() == 1 and stopped.candidates.first().accuracy <= done.candidates.first().accuracy

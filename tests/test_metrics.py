@@ -264,3 +264,24 @@ def test_gates(spark):
     rep = runs.reproducibility(wide).first()
     assert rep.n_completed == 3 and rep.std_population == pytest.approx(np.std([0.78, 0.84, 0.83]))
     assert runs.final_summary(wide, threshold=0.82).first().update_recommended
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_exact_quantiles_equal_numpy(spark, keys):
+    rng = np.random.default_rng(4)
+    rows = [(("hot", "a", "b")[int(rng.integers(0, 9)) // 4 if i % 7 else 2], None if i % 50 == 0 else float(rng.integers(0, 40)) / 7) for i in range(3000)]
+    rows.append(("lone", 2.5))
+    df = spark.createDataFrame(rows, "k string, v double")
+    wanted = {"low": 0.1, "mid": 0.5, "all": 1.0, "none": 0.0, "odd": 0.333}
+    found = {tuple(r[k] for k in keys): r for r in met.exact_quantiles(df, "v", wanted, keys).collect()}
+    for key in {r[0] for r in rows} if keys else {None}:
+        values = [v for k, v in rows if v is not None and key in (None, k)]
+        got = found[(key,) if keys else ()]
+        for name, q in wanted.items():
+            assert got[name] == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
+def test_a_summary_of_files_has_no_single_task_percentile(spark):
+    groups = spark.createDataFrame([(0.5,), (0.25,), (1.0,)], "accuracy double")
+    plan = met.group_summary(groups)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan.replace("median_group", "")

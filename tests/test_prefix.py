@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from sigspark.session import cut_lineage
 from sigspark.operators.prefix import MAP_SIDE_LIMIT, first_k, with_row_number, with_running_sums
 
 
@@ -69,6 +70,58 @@ def test_first_k_small_and_large(spark, k):
     assert got == expected
 
 
+def test_a_hot_group_is_limited_by_several_tasks(spark, monkeypatch):
+    """90 % of the rows are in one class; no reduce task reads more than a share of what the map tasks keep."""
+    from sigspark.operators import prefix
+
+    monkeypatch.setattr(prefix, "SALTS", 8)
+    rows = spark.range(64_000).select(F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("k"), F.xxhash64("id").alias("o"))
+    rows = cut_lineage(rows.repartition(64, "o"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    k, most = 200, {}
+    try:
+        for hot in (False, True):
+            before = last_stage(spark)
+            most[hot] = sorted((r.k, r.o, r.n) for r in first_k(rows, ["k"], ["o"], k, "n", hot=hot).collect()), largest_read(spark, before)
+    finally:
+        for c in ("adaptive.coalescePartitions.enabled", "files.maxPartitionBytes", "files.openCostInBytes"):
+            spark.conf.unset(f"spark.sql.{c}")
+    assert most[False][0] == most[True][0] and len(most[True][0]) == 2 * k
+    # 64 files with rows of both classes, each cut to k; with salts, some 8 files to a salt and then 8 salts
+    assert most[False][1] >= 64 * k and most[True][1] <= 64 * k / 2
+
+
+def _stages(spark):
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm, new = context._gateway.jvm, context._gateway.new_array
+    return context._jsc.sc().statusStore(), context._jsc.sc().statusStore().stageList(
+        jvm.java.util.ArrayList(), False, False, new(jvm.double, 0), jvm.java.util.ArrayList()
+    )
+
+
+def last_stage(spark):
+    _, stages = _stages(spark)
+    return max((stages.apply(i).stageId() for i in range(stages.size())), default=-1)
+
+
+def largest_read(spark, after):
+    """Most shuffle records that one task of a later stage read."""
+    store, stages = _stages(spark)
+    most = 0
+    for i in range(stages.size()):
+        stage = stages.apply(i)
+        if stage.stageId() > after and stage.status().toString() == "COMPLETE":
+            tasks = store.taskList(stage.stageId(), stage.attemptId(), 10_000)
+            for j in range(tasks.size()):
+                metrics = tasks.apply(j).taskMetrics()
+                if metrics.isDefined():
+                    most = max(most, metrics.get().shuffleReadMetrics().recordsRead())
+    return most
+
+
 def test_small_limits_are_cut_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
     plan = first_k(df, ["k"], ["o"], 5, "n")._jdf.queryExecution().executedPlan().toString()
