@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 
 #: Words, characters of words and ids of a store; a full one is kept until the next one is full. Some 150 MB a worker process.
 WORDS, CHARS, IDS = 250_000, 8_000_000, 2_000_000
+#: First words of texts that are kept.
+HEADS = 50_000
 #: Characters of the texts that are looked up together, and of a section that the library encodes whole.
 SLICE, SECTION = 1 << 21, 1 << 16
 #: Words that one call of the library encodes as one text.
@@ -118,6 +120,7 @@ class Encoder:
         risky = specials + [r"\s " if blanks else r"[\x1c-\x1f]"]
         self.whole = re.compile("|".join(risky))
         self.words, self.pieces = Store(), Store()
+        self.heads: dict[str, np.ndarray] = {}
 
     def _batch(self, texts: list[str], normal: bool = False) -> list[np.ndarray]:
         library = self.normal if normal else self.library
@@ -126,6 +129,17 @@ class Encoder:
     def _alone(self, text: str) -> np.ndarray:
         return self._batch([text])[0]
 
+    def _head(self, word: str) -> np.ndarray:
+        """Ids of the first word of a text; short ones are kept."""
+        found = self.heads.get(word)
+        if found is None:
+            found = self._alone(word)
+            if len(self.heads) >= HEADS:
+                self.heads.clear()
+            if len(word) <= 32:
+                self.heads[word] = found
+        return found
+
     def _rows(self, store: Store, words: list[str], before: str, marks: np.ndarray, first: bool) -> None:
         """Add words that are normal; ``marks`` are the ids that are the first or the last of exactly one word of a row."""
         for at in range(0, len(words), ROW):
@@ -210,7 +224,7 @@ class Encoder:
             at = 0
             if self.blanks:  # the first word has no blank before it
                 at = text.find(" ") + 1 or len(text) + 1
-                done[i].append(self._alone(text[: at - 1]))
+                done[i].append(self._head(text[: at - 1]))
             while at <= len(text):
                 cut = text.find(" ", at + SLICE)
                 cut = len(text) if cut < 0 else cut
