@@ -14,6 +14,7 @@ from sigspark.plans.bridge import bags, predictions, sequences, signals
 from sigspark.plans.registry import query, sql
 from sigspark.plans.signal_queries import MAD_SQL, picks_sql
 from sigspark.sources.predictions import wide_probabilities
+from sigspark.sources.signals import select_reads
 
 DIM = 64
 CLASSES = tuple(f"c{i}" for i in range(10))
@@ -48,8 +49,7 @@ SELECT read_id, count(*) AS n, min(chunk_index) AS first_chunk, max(chunk_index)
 FROM bags WHERE read_id IN (SELECT read_id FROM bags WHERE chunk_index = 0 AND label < 5) GROUP BY 1"""))
 def _(spark, d):
     rows = bags(spark, d)
-    wanted = rows.where("chunk_index = 0 AND label < 5").select("read_id")
-    return rows.join(wanted, "read_id", "left_semi").groupBy("read_id").agg(
+    return select_reads(rows, rows.where("chunk_index = 0 AND label < 5"), ["read_id"]).groupBy("read_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("chunk_index").alias("first_chunk"), F.max("chunk_index").alias("last_chunk"),
         F.min(F.size("embedding")).cast("long").alias("dim"),
     )

@@ -24,6 +24,7 @@ from sigspark.plans.cache import cache_chunks, require_profile, stored_chunks  #
 from sigspark.sources import files, sinks
 from sigspark.sources.manifests import SPLITS, assert_manifest, read_manifest
 from sigspark.sources.predictions import read_predictions
+from sigspark.sources.signals import select_reads
 
 
 def validate_manifest(spark: SparkSession, path: str) -> AuditResult:
@@ -48,7 +49,7 @@ def build_group_split(
 ) -> DataFrame:
     """File-held-out split of a manifest; with ``features`` only reads that have a feature row take part."""
     if features is not None:
-        manifest = manifest.join(features.select("read_id"), "read_id", "left_semi")
+        manifest = select_reads(manifest, features, ["read_id"])
     assigned = splits.assign_groups(manifest, targets=targets, cap=cap, seed=seed)
     assigned.write.mode("overwrite").parquet(f"{out}/assignments")
     assigned = manifest.sparkSession.read.parquet(f"{out}/assignments")

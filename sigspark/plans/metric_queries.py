@@ -26,15 +26,14 @@ def _(spark, d):
 
 
 @query("predictions_named", sql(["predictions"], """
-SELECT read_id, 'c' || CAST(true_label AS VARCHAR) AS true_species,
+SELECT read_id, CASE WHEN true_label < 8 THEN 'c' ELSE 'class_' END || CAST(true_label AS VARCHAR) AS true_species,
        CASE WHEN predicted_label < 8 THEN 'c' || CAST(predicted_label AS VARCHAR)
             ELSE 'class_' || CAST(predicted_label AS VARCHAR) END AS predicted_species,
        CAST(CASE WHEN true_label = predicted_label THEN 1 ELSE 0 END AS INTEGER) AS correct
-FROM predictions WHERE true_label < 8"""))
+FROM predictions"""))
 def _(spark, d):
     # class 8 is left undeclared to show the fallback name
-    rows = predictions(spark, d).where("true_label < 8")
-    return src.name_predictions(rows, CLASSES[:8]).select("read_id", "true_species", "predicted_species", "correct")
+    return src.name_predictions(predictions(spark, d), CLASSES[:8]).select("read_id", "true_species", "predicted_species", "correct")
 
 
 @query("class_metrics", sql(["predictions"], f"""

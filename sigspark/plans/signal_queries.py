@@ -9,6 +9,8 @@ from sigspark.operators import chunks as ch
 from sigspark.operators import splits
 from sigspark.plans.bridge import READ_SPAN, ROW_ORDER, reads, signals, table
 from sigspark.plans.registry import query, sql
+from sigspark.session import scratch_path
+from sigspark.sources.signals import first_eligible
 
 PROFILE = ch.SignalProfile("mad", discard_first=5, chunk_size=20, overlap=10)
 SHORT = ch.SignalProfile("mad", discard_first=60, chunk_size=20, overlap=10)
@@ -229,7 +231,17 @@ def _(spark, d):
 , n AS (SELECT read_id, source_file, source_read_index, count(*) AS n FROM samples GROUP BY 1, 2, 3)
 SELECT read_id, source_file, source_read_index FROM n WHERE n >= 80 ORDER BY source_file, source_read_index, read_id LIMIT 10"""))
 def _(spark, d):
-    return ch.limit_eligible(signals(spark, d), SHORT, 10).select("read_id", "source_file", "source_read_index")
+    """The reads are stored one file per source file first, named in its order."""
+    source = scratch_path(spark, "signals")
+    signals(spark, d).withColumn("f", F.col("source_file")).repartition("f").write.partitionBy("f").parquet(source)
+    return first_eligible(spark, source, SHORT, 10).select("read_id", "source_file", "source_read_index")
+
+
+@query("limit_reads", sql(["samples"], """
+, n AS (SELECT read_id, source_file, source_read_index, count(*) AS n FROM samples GROUP BY 1, 2, 3)
+SELECT read_id, source_file, source_read_index FROM n WHERE n >= 80 ORDER BY source_file, source_read_index, read_id LIMIT 1200"""))
+def _(spark, d):
+    return ch.limit_eligible(signals(spark, d), SHORT, 1200).select("read_id", "source_file", "source_read_index")
 
 
 @query("finite_audit", sql(["samples", "physical"], """

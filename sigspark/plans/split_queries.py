@@ -8,6 +8,7 @@ from sigspark.operators import audit, kmers, splits
 from sigspark.plans.bridge import MANIFEST_CLASSES, ROW_ORDER, manifest, reads, sequences
 from sigspark.plans.registry import query, sql
 from sigspark.sources import manifests as src
+from sigspark.sources import signals as signal_files
 
 ORDER = ", ".join(ROW_ORDER)
 TARGETS = {"train": 90, "val": 30, "test": 30}
@@ -251,24 +252,33 @@ def _(spark, d):
     return few.select("split", "barcode", "ccf_file", "read_id", *ROW_ORDER)
 
 
-@query("select_reads", sql(["manifest"], """
-, wanted AS (SELECT DISTINCT ccf_file, read_id FROM manifest WHERE l_quantity > 20 AND legacy_split = 'val')
-SELECT m.ccf_file, m.read_id, count(*) AS n FROM manifest m SEMI JOIN wanted w ON w.ccf_file = m.ccf_file AND w.read_id = m.read_id
-WHERE m.l_quantity < 40 GROUP BY 1, 2"""))
+_WANTED = "SELECT DISTINCT ccf_file, read_id FROM manifest WHERE l_quantity > 20 AND legacy_split = 'val'"
+
+
+def _scanned(spark, d):
+    """The manifest as a table of stored reads, and the reads that are wanted from it."""
+    rows = manifest(spark, d).withColumnRenamed("ccf_file", "source_file")
+    return rows, rows.where("l_quantity > 20 AND legacy_split = 'val'")
+
+
+@query("select_reads", sql(["manifest"], f"""
+, wanted AS ({_WANTED})
+SELECT m.ccf_file, m.read_id, count(*) AS n FROM manifest m SEMI JOIN wanted w ON w.ccf_file = m.ccf_file AND w.read_id = m.read_id GROUP BY 1, 2"""))
 def _(spark, d):
-    rows = manifest(spark, d)
-    wanted = rows.where("l_quantity > 20 AND legacy_split = 'val'").select("ccf_file", "read_id")
-    kept = rows.where("l_quantity < 40").join(wanted, ["ccf_file", "read_id"], "left_semi")
-    return kept.groupBy("ccf_file", "read_id").agg(F.count(F.lit(1)).alias("n"))
+    rows, wanted = _scanned(spark, d)
+    return signal_files.select_reads(rows, wanted).groupBy(F.col("source_file").alias("ccf_file"), "read_id").agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
-@query("missing_reads", sql(["manifest"], """
-SELECT DISTINCT ccf_file, read_id FROM manifest WHERE l_quantity > 20 AND legacy_split = 'val'
-EXCEPT SELECT ccf_file, read_id FROM manifest WHERE l_quantity < 40"""))
+@query("missing_reads", sql(["manifest"], f"""
+, wanted AS (SELECT DISTINCT 'raw/A' || substr(ccf_file, 6) AS ccf_file, read_id FROM ({_WANTED}))
+SELECT ccf_file, read_id FROM wanted EXCEPT SELECT ccf_file, read_id FROM manifest"""))
 def _(spark, d):
-    rows = manifest(spark, d)
-    wanted = rows.where("l_quantity > 20 AND legacy_split = 'val'").select("ccf_file", "read_id")
-    return wanted.join(rows.where("l_quantity < 40"), ["ccf_file", "read_id"], "left_anti").distinct()
+    """Wanted reads under the file names of one class; those of other classes are in no file."""
+    rows, wanted = _scanned(spark, d)
+    moved = wanted.withColumn("source_file", F.concat(F.lit("raw/A"), F.expr("substr(source_file, 6)")))
+    return signal_files.missing_reads(moved, rows).withColumnRenamed("source_file", "ccf_file")
 
 
 @query("semi_filter", sql(["manifest"], """
@@ -276,8 +286,8 @@ SELECT barcode, ccf_file, count(*) AS n FROM manifest
 WHERE read_id IN (SELECT read_id FROM manifest WHERE l_partkey % 3 = 0) GROUP BY 1, 2"""))
 def _(spark, d):
     rows = manifest(spark, d)
-    featured = rows.where("l_partkey % 3 = 0").select("read_id")
-    return rows.join(featured, "read_id", "left_semi").groupBy("barcode", "ccf_file").agg(F.count(F.lit(1)).alias("n"))
+    featured = rows.where("l_partkey % 3 = 0")
+    return signal_files.select_reads(rows, featured, ["read_id"]).groupBy("barcode", "ccf_file").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("union_splits", sql(["manifest"], """

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,15 @@ def _binary(spark: SparkSession, root: str) -> DataFrame:
 def empty_files(spark: SparkSession, root: str) -> DataFrame:
     """Paths of the files of size zero: those in the file index of the scan that its rows lack."""
     scan = _binary(spark, root)
-    listed = [(re.sub("^file:/+", "file:/", unquote(uri)),) for uri in scan.inputFiles()]
+    listed = [(plain_path(uri),) for uri in scan.inputFiles()]
     return spark.createDataFrame(listed, "path string").join(scan.select("path"), "path", "left_anti")
 
 
+def plain_path(uri: str) -> str:
+    """A file's name as the path column of a scan spells it."""
+    return re.sub("^file:/+", "file:/", unquote(uri))
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./]+$", 0))
 
@@ -72,13 +79,59 @@ def discover(spark: SparkSession, path: str, suffixes: Sequence[str] = SIGNAL_SU
     return files
 
 
+#: Bytes of a file that are hashed at a time.
+BLOCK = 8 << 20
+
+
+def _opener(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """A file system of Arrow and the path in it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pa_fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    host, _, inside = rest.lstrip("/").partition("/")
+    store, _ = pa_fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return store, inside if scheme not in ("hdfs", "viewfs") else f"/{inside}"
+
+
+def file_digest(path: str, block: int = BLOCK) -> str:
+    """SHA-256 of a file of any size, read in blocks."""
+    store, inside = _opener(path)
+    found = hashlib.sha256()
+    with store.open_input_stream(inside) as stream:
+        while data := stream.read(block):
+            found.update(data)
+    return found.hexdigest()
+
+
+def _streams(path: str) -> bool:
+    try:
+        return _opener(path) is not None
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
 def checksums(spark: SparkSession, root: str) -> DataFrame:
-    """SHA-256, path below ``root`` and size of every file; one file is one row, of at most 2 GB."""
-    nothing = F.lit(b"")
+    """SHA-256, path below ``root`` and size of every file; a file is hashed by one task, in blocks, whatever its size.
+
+    A store that Arrow has no file system for is read by Spark, which holds a file in memory and takes up to 2 GB.
+    """
     relative = _relative(F.col("path"), root).alias("path")
-    full = _binary(spark, root).select(F.sha2("content", 256).alias("sha256"), relative, F.col("length").alias("size"))
+    files = _binary(spark, root)
+    first = files.select("path").first()
+    if first is not None and not _streams(first.path):
+        full = files.select(F.sha2("content", 256).alias("sha256"), relative, F.col("length").alias("size"))
+    else:
+
+        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = pa.array([file_digest(p) for p in batch.column("path").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], ["path", "length", "sha256"])
+
+        names = files.select("path", "length").repartition("path")
+        hashed = names.mapInArrow(digests, "path string, length long, sha256 string")
+        full = hashed.select("sha256", relative, F.col("length").alias("size"))
     empty = empty_files(spark, root).select(
-        F.sha2(nothing, 256).alias("sha256"), relative, F.lit(0).cast("long").alias("size")
+        F.sha2(F.lit(b""), 256).alias("sha256"), relative, F.lit(0).cast("long").alias("size")
     )
     return full.unionByName(empty)
 

@@ -53,6 +53,43 @@ def test_checksums(spark, tmp_path):
     assert f"{hashlib.sha256(b'abc').hexdigest()}  mini/a.bin" in lines
 
 
+def test_a_file_above_two_gigabytes_is_hashed_in_blocks(spark, tmp_path):
+    big = tmp_path / "in" / "big file.bin"
+    big.parent.mkdir()
+    with big.open("wb") as out:
+        out.truncate(3 * 2**30)
+    wanted = hashlib.sha256()
+    for _ in range(3 * 2**30 >> 24):
+        wanted.update(bytes(1 << 24))
+    row = files.checksums(spark, str(big.parent)).first()
+    assert (row.sha256, row.path, row["size"]) == (wanted.hexdigest(), "big file.bin", 3 * 2**30)
+
+
+def test_files_behind_a_limit_are_never_opened(spark, tmp_path):
+    for part in range(5):
+        rows = spark.createDataFrame(signal_rows(10, start=10 * part), signals.SIGNAL_SCHEMA)
+        short = F.when(F.col("source_read_index") % 4 == 0, F.slice("signal", 1, 2)).otherwise(F.col("signal"))
+        rows.withColumn("signal", short).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    (tmp_path / "in" / "p3").mkdir(exist_ok=True)
+    for part in (3, 4):  # groups are one, two and four files; the limit falls into the second group
+        for file in (tmp_path / "in" / f"p{part}").glob("*.parquet"):
+            file.write_bytes(b"not a table")
+    eligible = [i for i in range(50) if i % 4]
+    for limit in (0, 1, 7, 8, 12, 20):
+        got = signals.first_eligible(spark, str(tmp_path / "in"), PROFILE, limit)
+        assert sorted(r.source_read_index for r in got.collect()) == eligible[:limit]
+    with pytest.raises(Exception, match="not a Parquet file|PARQUET|FAILED_READ_FILE"):
+        signals.first_eligible(spark, str(tmp_path / "in"), PROFILE, 40).count()
+
+
+def test_select_and_missing_reads(spark):
+    rows = spark.createDataFrame([("f", "a"), ("f", "a"), ("g", "b")], "source_file string, read_id string")
+    wanted = spark.createDataFrame([("f", "a", 1), ("f", "b", 1), ("f", "b", 2)], "source_file string, read_id string, x int")
+    assert signals.select_reads(rows, wanted).count() == 2
+    assert [tuple(r) for r in signals.missing_reads(wanted, rows).collect()] == [("f", "b")]
+    assert signals.select_reads(rows, wanted, ["read_id"]).count() == 3
+
+
 def test_manifest_reader(spark, tmp_path):
     path = tmp_path / "m.csv"
     path.write_text("split,split_order,barcode,label,read_id,raw_chunk_path,raw_chunk_start,raw_n_chunks\n"
