@@ -201,14 +201,15 @@ def cross_file_pairs(
 ) -> DataFrame:
     """Seeded training pairs: same class, two different files, one read of each; half as many pairs as rows by default.
 
-    Pair p takes the classes in turn. Files and reads are drawn by position, so the work is the numbering of rows plus
-    ``n_pairs`` equi-joins; no group is ever joined with itself.
+    Pair p takes the classes in turn. Rows are numbered once per class, file by file, so a file is a range of positions and a
+    draw is one position: both sides of all pairs are looked up in one equi-join; no group is ever joined with itself.
     """
-    numbered = with_row_number(rows, ["barcode", "ccf_file"], order, "nth").select(
-        "barcode", "ccf_file", "read_id", (F.col("nth") - 1).alias("nth")
+    numbered = with_row_number(
+        rows.select(*dict.fromkeys(["barcode", "ccf_file", "read_id", *order])), ["barcode"], ["ccf_file", *order], "at"
     )
-    sizes = numbered.groupBy("barcode", "ccf_file").agg(F.count(F.lit(1)).alias("reads"))
-    files = with_row_number(sizes, ["barcode"], ["ccf_file"], "file_at").withColumn("file_at", F.col("file_at") - 1)
+    numbered = cut_lineage(numbered.select("barcode", "ccf_file", "read_id", "at"))
+    files = numbered.groupBy("barcode", "ccf_file").agg(F.count(F.lit(1)).alias("reads"), F.min("at").alias("first_at"))
+    files = with_row_number(files, ["barcode"], ["ccf_file"], "file_at").withColumn("file_at", F.col("file_at") - 1)
     files = cut_lineage(files)
     per_class = files.groupBy("barcode").agg(F.count(F.lit(1)).alias("files"))
     message = F.concat(F.lit("class needs at least two files: "), F.col("barcode"))
@@ -217,24 +218,28 @@ def cross_file_pairs(
     n_classes = classes.count()
     if n_pairs is None:
         n_pairs = max(1, files.agg(F.sum("reads")).first()[0] // 2)
+    first = hash_below(F.col("files"), seed, "left", F.col("pair"))
+    step = 1 + hash_below(F.col("files") - 1, seed, "step", F.col("pair"))
     draws = (
         rows.sparkSession.range(n_pairs)
         .withColumnRenamed("id", "pair")
         .withColumn("class_at", F.col("pair") % n_classes + 1)
         .join(classes, "class_at")
-        .withColumn("first", hash_below(F.col("files"), seed, "left", F.col("pair")))
+        .withColumn("first", first)
+        .withColumn("second", (F.col("first") + step) % F.col("files"))
+    )
+    sides = F.array(
+        F.struct(F.lit("left").alias("side"), F.col("first").alias("file_at")),
+        F.struct(F.lit("right").alias("side"), F.col("second").alias("file_at")),
+    )
+    picked = (
+        draws.select("pair", "barcode", F.inline(sides))
+        .join(files, ["barcode", "file_at"])
+        .select("pair", "side", "barcode", (F.col("first_at") + hash_below(F.col("reads"), seed, F.col("side"), F.col("pair"))).alias("at"))
+        .join(numbered, ["barcode", "at"])
+    )
+    of = lambda side, column: F.max(F.when(F.col("side") == side, F.col(column)))
+    return picked.groupBy("pair").agg(
+        F.first("barcode").alias("barcode"),
+        *[of(side, column).alias(f"{side}_{name}") for side in ("left", "right") for column, name in (("ccf_file", "file"), ("read_id", "read"))],
     )
-    step = 1 + hash_below(F.col("files") - 1, seed, "step", F.col("pair"))
-    draws = draws.withColumn("second", (F.col("first") + step) % F.col("files"))
-
-    def side(at: str, name: str) -> DataFrame:
-        picked = (
-            draws.select("pair", "barcode", F.col(at).alias("file_at"))
-            .join(files, ["barcode", "file_at"])
-            .withColumn("nth", hash_below(F.col("reads"), seed, name, F.col("pair")))
-        )
-        return picked.join(numbered, ["barcode", "ccf_file", "nth"]).select(
-            "pair", "barcode", F.col("ccf_file").alias(f"{name}_file"), F.col("read_id").alias(f"{name}_read")
-        )
-
-    return side("first", "left").join(side("second", "right"), ["pair", "barcode"])
