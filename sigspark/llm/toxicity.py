@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import held_out, per_batch, texts, training_rows
+from sigspark.llm.common import held_out, per_batch, sliced, texts, training_rows
 from sigspark.session import cut_lineage
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#%&$|_-"
@@ -119,16 +119,25 @@ def _document_counts(batches: Iterator[pa.RecordBatch], settings: SubwordSetting
     """In how many of a task's texts of each class every bucket occurs."""
     counts = np.zeros((2, 1 << settings.bits), dtype=np.int64)
     for batch in batches:
-        for y, text in zip(batch.column("y").to_pylist(), texts(batch.column("text"))):
-            counts[y] += _shares(text, settings) > 0
+        for part in sliced(batch):
+            for y, text in zip(part.column("y").to_pylist(), texts(part.column("text"))):
+                counts[y] += _shares(text, settings) > 0
     some = np.flatnonzero(counts.sum(0))
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "n0", "n1"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch], chosen: np.ndarray, settings: SubwordSettings) -> Iterator[pa.RecordBatch]:
+    """Per text, the places among ``chosen`` of its n-grams and their shares, both as bytes."""
     for batch in batches:
-        bags = [_shares(t, settings)[chosen].astype(np.float32).tobytes() for t in texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(bags, pa.binary())], ["y", "bag"])
+        for part in sliced(batch):
+            places, shares = [], []
+            for text in texts(part.column("text")):
+                share = _shares(text, settings)[chosen]
+                some = np.flatnonzero(share)
+                places.append(some.astype("<u4").tobytes())
+                shares.append(share[some].astype("<f4").tobytes())
+            columns = [part.column("y"), pa.array(places, pa.binary()), pa.array(shares, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["y", "places", "shares"])
 
 
 def train(
@@ -136,7 +145,8 @@ def train(
 ) -> SubwordModel:
     """Joint gradient descent on the embeddings of the ``chosen`` buckets and on the softmax; classes weigh as in the table.
 
-    Without both classes, or without a telling n-gram, the score is a constant: the share of class 1.
+    ``bags`` (texts x buckets) are scaled in place. Without both classes, or without a telling n-gram, the score is a constant: the
+    share of class 1.
     """
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     weight = np.zeros(1 << settings.bits)
@@ -145,8 +155,9 @@ def train(
     importance = np.array([counts[k] / (y == k).sum() for k in (0, 1)])[y]
     importance = importance / importance.sum()
     # a common scale for rare and frequent n-grams
-    scale = 1 / (np.sqrt((bags**2).mean(0)) + 1e-9)
-    inputs = bags * scale
+    scale = 1 / (np.sqrt(np.einsum("ij,ij->j", bags, bags, dtype=np.float64) / len(y)) + 1e-9)
+    # single precision and in place: the bags are by far the largest thing on the driver
+    inputs = np.multiply(bags, scale, out=bags, casting="same_kind")
     rng = np.random.default_rng(settings.seed)
     embedding = np.zeros((len(chosen), settings.dim))
     softmax = rng.normal(0, 1, (settings.dim, 2)) / np.sqrt(settings.dim)
@@ -155,13 +166,13 @@ def train(
     momentum = [np.zeros_like(p) for p in parameters]
     target = np.eye(2)[y]
     for _ in range(settings.epochs):
-        pooled = inputs @ embedding
+        pooled = (inputs @ embedding.astype(inputs.dtype)).astype(np.float64)
         scores = pooled @ softmax + bias
         scores -= scores.max(1, keepdims=True)
         probabilities = np.exp(scores)
         probabilities /= probabilities.sum(1, keepdims=True)
         slope = (probabilities - target) * importance[:, None]
-        gradients = [inputs.T @ (slope @ softmax.T), pooled.T @ slope, slope.sum(0)]
+        gradients = [inputs.T @ (slope @ softmax.T).astype(inputs.dtype), pooled.T @ slope, slope.sum(0)]
         for parameter, gradient, moving in zip(parameters, gradients, momentum):
             moving *= 0.9
             moving += gradient
@@ -199,11 +210,13 @@ def fit(
         .select("bucket")
     )
     chosen = np.array(sorted(r.bucket for r in telling.collect()), dtype=np.int64)
-    found = rows.mapInArrow(lambda batches: _bags(batches, chosen, settings), "y int, bag binary").collect()
-    found = sorted((r.y, bytes(r.bag)) for r in found)  # one order, so that reruns agree
-    y = np.array([f[0] for f in found], dtype=np.int64)
-    bags = np.array([np.frombuffer(f[1], np.float32) for f in found], dtype=np.float64).reshape(len(y), len(chosen))
-    return train(y, bags, chosen, counts, settings)
+    # sparse on the way; one order, so that reruns agree
+    found = rows.mapInArrow(lambda batches: _bags(batches, chosen, settings), "y int, places binary, shares binary").collect()
+    found.sort(key=lambda r: (r.y, bytes(r.places), bytes(r.shares)))
+    bags = np.zeros((len(found), len(chosen)), dtype=np.float32)
+    for i, r in enumerate(found):
+        bags[i, np.frombuffer(r.places, "<u4")] = np.frombuffer(r.shares, "<f4")
+    return train(np.array([r.y for r in found], dtype=np.int64), bags, chosen, counts, settings)
 
 
 def score(documents: DataFrame, model: SubwordModel, threshold: float = 0.5) -> DataFrame:
