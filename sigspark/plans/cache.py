@@ -1,9 +1,10 @@
 """The chunk store of a folder of signal files, exact when files change, shrink or go, and when settings change.
 
-``chunks/run=<run>/file_id=<id>`` holds the windows that one call cut from one input file, ``ledger/version=<n>`` one row for
-every input file that is stored, ``commits`` the versions that are finished. A call writes into a run of its own, then a
-new ledger, then the commit; chunks count only if the last committed ledger names their run for their file. A call that is
-cut off thus leaves the store as it was, and what a call replaces is deleted after its commit.
+``chunks/run=<run>/file_id=<id>`` holds the windows that one call cut from one input file, ``ledger/run=<run>`` one row for
+every input file that is stored after the call, ``commits/<n>`` the run that made version n. A call writes into a run of its own, then
+its ledger, then the commit, a file that must not exist yet; chunks count only if the last committed ledger names their run for
+their file. A call that is cut off thus leaves the store as it was, and of two calls at once the later one to finish is an error and
+leaves nothing. What a call replaces is deleted by the next one, so that readers of the version before it can finish.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from sigspark.operators.audit import require_unique_reads
 from sigspark.operators.chunks import SignalProfile, build_chunks, read_status
 from sigspark.operators.prefix import with_row_number, with_running_sums
-from sigspark.session import cut_lineage, discard
+from sigspark.session import create_exclusively, cut_lineage, discard, names_in, text_of
 from sigspark.sources import files, sinks
 from sigspark.sources.signals import SIGNAL_SCHEMA
 
@@ -42,20 +43,37 @@ def _file_id(path: str) -> Column:
     return F.concat(F.lit("f"), F.substring(F.sha2(F.col(path), 256), 1, 20))
 
 
-def _version(spark: SparkSession, store: str) -> int:
-    """The last committed version, 0 for a new store."""
-    spark.createDataFrame([], "version long").write.mode("ignore").parquet(f"{store}/commits")
-    last = spark.read.schema("version long").parquet(f"{store}/commits").agg(F.max("version")).first()[0]
-    return last or 0
+def _ledgers(spark: SparkSession, store: str) -> tuple[int, list[str]]:
+    """The highest version number in use, and the runs of the last two committed versions, newest first."""
+    numbers = sorted((int(n) for n in names_in(spark, f"{store}/commits") if n.isdigit()), reverse=True)
+    runs: list[str] = []
+    for n in numbers:
+        # empty: its call was cut off inside the commit
+        run = text_of(spark, f"{store}/commits/{n}")
+        runs += [run] if run else []
+        if len(runs) == 2:
+            break
+    return numbers[0] if numbers else 0, runs
+
+
+def _ledger(spark: SparkSession, store: str, runs: Sequence[str]) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(f"{store}/ledger/run={runs[0]}") if runs else spark.createDataFrame([], LEDGER)
 
 
 def stored_files(spark: SparkSession, store: str) -> DataFrame:
     """The ledger of the last finished call: one row per stored input file, with its counters and its run."""
     store = store.rstrip("/")
-    version = _version(spark, store)
-    if not version:
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(f"{store}/ledger/version={version}")
+    return _ledger(spark, store, _ledgers(spark, store)[1])
+
+
+def _sweep(spark: SparkSession, store: str, old: DataFrame, used: DataFrame) -> None:
+    """Delete what ``old`` names and ``used`` does not: whole runs where nothing of them is in use, else single files."""
+    gone = old.select("run", "file_id").join(used.select("run", "file_id"), ["run", "file_id"], "left_anti")
+    runs = gone.select("run").distinct()
+    for row in runs.join(used.select("run").distinct(), "run", "left_anti").collect():
+        discard(spark, f"{store}/chunks/run={row.run}")
+    for row in gone.join(used.select("run").distinct(), "run", "left_semi").toLocalIterator():
+        discard(spark, f"{store}/chunks/run={row.run}/file_id={row.file_id}")
 
 
 def _chunk_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -129,8 +147,8 @@ def cache_chunks(
     store = store.rstrip("/")
     signature = files.config_hash({**asdict(profile), "max_reads": max_reads})
     found = files.discover(spark, input_dir, suffixes).select("path", "size", "mtime")
-    version = _version(spark, store)
-    before = stored_files(spark, store)
+    version, runs = _ledgers(spark, store)
+    before, earlier = _ledger(spark, store, runs), _ledger(spark, store, runs[1:])
     kept = cut_lineage(before.where(F.col("config_hash") == signature).join(found, ["path", "size", "mtime"], "left_semi"))
     todo = files.plan_incremental(found, kept.withColumn("status", F.lit("complete")), signature)
     room = max_reads - (kept.agg(F.sum("eligible")).first()[0] or 0) if max_reads else None
@@ -168,10 +186,11 @@ def cache_chunks(
         except ValueError:
             discard(spark, target)
             raise
-    replaced = before.join(kept, ["run", "file_id"], "left_anti").select("run", "file_id").collect()
-    if entries or replaced:
-        kept.unionByName(done).write.mode("overwrite").parquet(f"{store}/ledger/version={version + 1}")
-        spark.createDataFrame([(version + 1,)], "version long").coalesce(1).write.mode("append").parquet(f"{store}/commits")
-        for row in replaced:
-            discard(spark, f"{store}/chunks/run={row.run}/file_id={row.file_id}")
+    if entries or not before.join(kept, ["run", "file_id"], "left_anti").isEmpty():
+        kept.unionByName(done).write.parquet(f"{store}/ledger/run={run}")
+        if not create_exclusively(spark, f"{store}/commits/{version + 1}", run):
+            discard(spark, target)
+            discard(spark, f"{store}/ledger/run={run}")
+            raise RuntimeError(f"another call changed {store} meanwhile; nothing was stored")
+        _sweep(spark, store, earlier, _ledger(spark, store, [run]).unionByName(before))
     return done.select("path", *COUNTERS)

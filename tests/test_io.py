@@ -142,8 +142,7 @@ def test_chunk_cache_skips_finished_files(spark, tmp_path):
     # other settings make every file stale and replace its chunks
     longer = SignalProfile("mad", discard_first=2, chunk_size=12, overlap=4)
     assert sum(r.scanned for r in jobs.cache_chunks(spark, str(source), store, longer).collect()) == 30
-    spark.catalog.refreshByPath(f"{store}/chunks")
-    sizes = spark.read.parquet(f"{store}/chunks").select(F.size("chunk").alias("n")).distinct().collect()
+    sizes = cache.stored_chunks(spark, store).select(F.size("chunk").alias("n")).distinct().collect()
     assert [r.n for r in sizes] == [12]
 
 
@@ -213,6 +212,43 @@ def test_chunk_cache_keeps_its_limit_over_calls(spark, tmp_path):
     assert limited() == [] and set(in_store(spark, store)) == {"r1", "r2", "r3"}
 
 
+def test_of_two_calls_at_once_the_later_one_stores_nothing(spark, tmp_path, monkeypatch):
+    write_signals(spark, tmp_path / "in", 6)
+    store, source = str(tmp_path / "store"), str(tmp_path / "in")
+    write, calls = cache.sinks.write_store, []
+
+    def while_another_call_runs(*args, **options):
+        write(*args, **options)
+        if not calls:
+            calls.append(1)
+            cache.cache_chunks(spark, source, store, PROFILE)
+
+    monkeypatch.setattr(cache.sinks, "write_store", while_another_call_runs)
+    with pytest.raises(RuntimeError, match="another call changed"):
+        cache.cache_chunks(spark, source, store, PROFILE)
+    monkeypatch.undo()
+    assert cache.stored_reads(spark, store).count() == 6
+    assert len(list((tmp_path / "store" / "chunks").glob("run=*"))) == 1
+    # cut off inside a commit: the version counts as unused
+    (tmp_path / "store" / "commits" / "2").write_text("")
+    write_signals(spark, tmp_path / "in", 2, start=6)
+    cache.cache_chunks(spark, source, store, PROFILE)
+    assert cache.stored_reads(spark, store).count() == 8
+
+
+def test_replaced_chunks_stay_for_one_more_version(spark, tmp_path):
+    write_signals(spark, tmp_path / "in", 6)
+    store, source = str(tmp_path / "store"), str(tmp_path / "in")
+    cache.cache_chunks(spark, source, store, PROFILE)
+    reader = cache.stored_chunks(spark, store)
+    before = reader.count()
+    runs = lambda: len(list((tmp_path / "store" / "chunks").glob("run=*")))
+    cache.cache_chunks(spark, source, store, PROFILE, max_reads=2)
+    assert reader.count() == before and runs() == 2 and cache.stored_reads(spark, store).count() == 2
+    cache.cache_chunks(spark, source, store, PROFILE, max_reads=3)
+    assert runs() == 2 and cache.stored_reads(spark, store).count() == 3
+
+
 def test_prediction_from_stored_chunks(spark, tmp_path):
     write_signals(spark, tmp_path / "in", 12)
     jobs.cache_chunks(spark, str(tmp_path / "in"), str(tmp_path / "store"), PROFILE)
