@@ -27,6 +27,7 @@ from sigspark.plans.metric_queries import LABELS
 from sigspark.plans.registry import query, sql
 from sigspark.session import cut_lineage, scratch_path
 from sigspark.sources import files, sinks
+from sigspark.sources.predictions import read_predictions
 from sigspark.sources.signals import SIGNAL_SCHEMA
 from sigspark.streaming import classify as stream
 from sigspark.streaming.seen import SeenIds
@@ -131,6 +132,34 @@ def _(spark, d):
     raise RuntimeError("a read that came twice was scored twice")
 
 
+@query("stream_resume", sql(["samples", "physical"], RAW_SCORES_SQL))
+def _(spark, d):
+    """A run over the first half of the files, and its resumption with the same settings once the others are there."""
+    source, out, base = (scratch_path(spark, name) for name in ("signals", "predictions", "stream"))
+    reads = cut_lineage(signals(spark, d))
+    checkpoint = stream.run_checkpoint(base, {"profile": PROFILE, "source": source})
+    first = F.substring("source_file", 2, 1).cast("int") < 5
+    for part in (first, ~first):
+        reads.where(part).coalesce(1).write.mode("append").parquet(source)
+        stream.classify_stream(
+            spark, source, formula_encoder, RAW_HEAD, PROFILE, BAG_CLASSES, dim=RAW_DIM, out_dir=out, checkpoint=checkpoint
+        ).awaitTermination()
+    batches = stream.classified(spark, out, checkpoint)
+    if batches.select("batch_id").distinct().count() != 2:
+        raise RuntimeError("the resumed run read finished files again")
+    return read_scores(batches)
+
+
+@query("csv_round_trip", sql(["predictions"], """
+SELECT read_id, true_label, predicted_label, round(confidence, 6) AS confidence, split FROM predictions"""))
+def _(spark, d):
+    path = scratch_path(spark, "table") + ".csv"
+    sinks.write_csv(predictions_of(table(spark, d, "events")), path)
+    return read_predictions(spark, path).select(
+        "read_id", "true_label", "predicted_label", F.round("confidence", 6).alias("confidence"), "split"
+    )
+
+
 COUNTERS_SQL = """
 , lengths AS (SELECT source_file, source_read_index, read_id, count(*) AS n FROM samples GROUP BY ALL),
 ordered AS (SELECT *, coalesce(sum(CAST(n >= 25 AS INTEGER)) OVER (ORDER BY source_file, source_read_index, read_id

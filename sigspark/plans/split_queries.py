@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from sigspark.operators import audit, kmers, splits
 from sigspark.plans.bridge import MANIFEST_CLASSES, ROW_ORDER, manifest, reads, sequences
 from sigspark.plans.registry import query, sql
+from sigspark.session import scratch_path
 from sigspark.sources import manifests as src
 from sigspark.sources import signals as signal_files
+from sigspark.sources.sinks import write_csv
 
 ORDER = ", ".join(ROW_ORDER)
 TARGETS = {"train": 90, "val": 30, "test": 30}
@@ -32,6 +34,24 @@ def _(spark, d):
     )
 
 
+@query("bag_manifest", sql(["manifest"], """
+SELECT legacy_split AS split, CAST(l_orderkey AS BIGINT) AS split_order, barcode, label, read_id, 'p' || CAST(l_suppkey % 4 AS VARCHAR) AS part_id,
+       CAST(l_linenumber AS BIGINT) AS chunk_start, CAST(1 + l_partkey % 30 AS INTEGER) AS n_chunks, ccf_file
+FROM manifest WHERE legacy_split IN ('train', 'val', 'test')"""))
+def _(spark, d):
+    """Written as CSV, as users have them, and read back with types; unknown splits go."""
+    path = scratch_path(spark, "manifest") + ".csv"
+    rows = manifest(spark, d).selectExpr(
+        "legacy_split AS split", "l_orderkey AS split_order", "barcode", "label", "read_id", "concat('p', l_suppkey % 4) AS part_id",
+        "'parts' AS part_base", "l_linenumber AS part_read_index", "l_linenumber AS chunk_start", "1 + l_partkey % 30 AS n_chunks",
+        "'c.bin' AS chunk_path", "ccf_file", "l_orderkey AS ccf_read_index",
+    )
+    write_csv(rows, path)
+    return src.read_manifest(spark, path, kind="bag").select(
+        "split", "split_order", "barcode", "label", "read_id", "part_id", "chunk_start", "n_chunks", "ccf_file"
+    )
+
+
 @query("assert_profile", sql(["manifest"], """
 SELECT count(*) AS rows, min(label) AS min_label, max(label) AS max_label, 'mad' AS first_profile, 'mad' AS last_profile
 FROM manifest"""))
