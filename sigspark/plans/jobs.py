@@ -21,6 +21,7 @@ from sigspark.operators.audit import (
 from sigspark.operators.bags import AttentionParams, LinearHead, encode_chunks, score_bags
 from sigspark.operators.metrics import auroc, aurc, confidence_hist, confusion_wide
 from sigspark.plans.cache import cache_chunks, require_profile, stored_chunks  # noqa: F401
+from sigspark.session import own_stages
 from sigspark.sources import files, sinks
 from sigspark.sources.manifests import SPLITS, assert_manifest, read_manifest
 from sigspark.sources.predictions import read_predictions
@@ -43,6 +44,7 @@ def _store_split(selected: DataFrame, path: str, classes: Sequence[str], targets
     return tier_summary(stored)
 
 
+@own_stages
 def build_group_split(
     manifest: DataFrame, out: str, classes: Sequence[str], *, targets: Mapping[str, int], cap: int, seed: int,
     order: Sequence[str], features: DataFrame | None = None,
@@ -59,6 +61,7 @@ def build_group_split(
     return _store_split(selected, f"{out}/manifest", classes, targets)
 
 
+@own_stages
 def build_tier(
     manifest: DataFrame, out: str, classes: Sequence[str], *, targets: Mapping[str, int], seed: int, order: Sequence[str]
 ) -> DataFrame:
@@ -79,6 +82,7 @@ def build_subsets(manifest: DataFrame, out: str, ordered: Sequence[str], *, k_mi
     return audit
 
 
+@own_stages
 def export_benchmark(
     spark: SparkSession, benchmark: DataFrame, raw: DataFrame, chunks: DataFrame, out: str, *, max_chunks: int,
     profile_id: str,
@@ -132,6 +136,7 @@ def check_manifest(spark: SparkSession, path: str, classes: Sequence[str], profi
     assert_manifest(read_manifest(spark, path, kind="raw"), len(classes), profile_id).collect()
 
 
+@own_stages
 def calibrate(
     spark: SparkSession, predictions: str, out: str, classes: Sequence[str], settings: Mapping[str, float] | None = None,
     order_col: str = "read_id",
@@ -154,6 +159,7 @@ def calibrate(
     return spec
 
 
+@own_stages
 def report(
     spark: SparkSession, predictions: str, out: str, classes: Sequence[str], spec: cal.ThresholdSpec,
     order_col: str = "read_id",

@@ -264,11 +264,14 @@ SELECT (SELECT count(*) FROM t) AS total_reads, (SELECT count(*) FROM t WHERE ac
        round(avg(f1) FILTER (NOT accepted_only), 6) AS full_macro_f1,
        round((SELECT avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0.0 END) FROM t WHERE accepted), 6)
          AS accepted_accuracy,
-       round(avg(f1) FILTER (accepted_only), 6) AS accepted_macro_f1
+       round(avg(f1) FILTER (accepted_only), 6) AS accepted_macro_f1,
+       round(avg(rec) FILTER (NOT accepted_only), 6) AS full_balanced_accuracy, round(avg(rec) FILTER (accepted_only), 6) AS accepted_balanced_accuracy,
+       round((SELECT avg(confidence) FROM t), 6) AS full_mean_confidence, round((SELECT avg(confidence) FROM t WHERE accepted), 6) AS accepted_mean_confidence
 FROM rated"""))
 def _(spark, d):
+    sides = [f"{side}_{m}" for side in ("full", "accepted") for m in ("accuracy", "macro_f1", "balanced_accuracy", "mean_confidence")]
     return cal.selective_report(predictions(spark, d, "test"), CLASSES, _frozen(spark, d)).withColumns(
-        r6("accepted_rate", "threshold", "full_accuracy", "full_macro_f1", "accepted_accuracy", "accepted_macro_f1")
+        r6("accepted_rate", "threshold", *sides)
     )
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
@@ -35,6 +38,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Staged tables of the job that this thread is running.
+_STAGES: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("stages", default=None)
+
+
+def own_stages(job: Callable) -> Callable:
+    """A job that ends with its results written: what it staged on the way is deleted when it returns or fails.
+
+    What it returns must not read staged tables.
+    """
+
+    @wraps(job)
+    def run(*args, **options):
+        made: list[tuple[SparkSession, str]] = []
+        outer = _STAGES.set(made)
+        try:
+            return job(*args, **options)
+        finally:
+            _STAGES.reset(outer)
+            for spark, path in made:
+                discard(spark, path)
+
+    return run
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -42,6 +69,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     read column by column and has a size that the choice of joins can see.
     """
     path = scratch_path(df.sparkSession, "stage")
+    stages = _STAGES.get()
+    if stages is not None:
+        stages.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,6 +17,7 @@ from sigspark.operators.calibration import ThresholdSpec, abundance
 from sigspark.operators.chunks import SignalProfile, build_chunks, count_by_status, read_status
 from sigspark.operators.metrics import composition
 from sigspark.operators.prefix import with_row_number
+from sigspark.session import own_stages
 from sigspark.sources.files import config_hash
 from sigspark.sources.signals import SIGNAL_SCHEMA
 from sigspark.streaming.seen import SeenIds
@@ -103,6 +104,7 @@ def classify_stream(
         spark.readStream.schema(SIGNAL_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(input_dir)
     )
 
+    @own_stages
     def score(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         if max_reads > 0:

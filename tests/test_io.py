@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,22 @@ def test_chunk_cache_keeps_its_limit_over_calls(spark, tmp_path):
     assert limited() == [] and set(in_store(spark, store)) == {"r1", "r2", "r3"}
 
 
+def test_jobs_leave_no_staged_tables(spark, tmp_path):
+    from sigspark.session import shared_dir
+
+    rows = [(f"r{i}", i % 2, (i + i // 7) % 2, 0.5 + (i % 40) / 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "read_id string, true_label int, predicted_label int, confidence double")
+    path = str(tmp_path / "p")
+    df.write.parquet(path)
+    folder = shared_dir(spark).removeprefix("file:")
+    staged = lambda: {p for p in os.listdir(folder) if p.startswith("stage-")}
+    before = staged()
+    spec = jobs.calibrate(spark, path, str(tmp_path / "cal"), ["a", "b"])
+    jobs.report(spark, path, str(tmp_path / "report"), ["a", "b"], spec)
+    assert staged() == before
+    assert spark.read.option("header", True).csv(str(tmp_path / "cal" / "auroc")).count() == 1
+
+
 def test_of_two_calls_at_once_the_later_one_stores_nothing(spark, tmp_path, monkeypatch):
     write_signals(spark, tmp_path / "in", 6)
     store, source = str(tmp_path / "store"), str(tmp_path / "in")
