@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import let
@@ -255,6 +255,75 @@ def near_lines(one: Column, other: Column, edits: int) -> Column:
     return (F.abs(F.length(one) - F.length(other)) <= edits) & let(head, between)
 
 
+def _classes(edits: int) -> int:
+    """Classes of characters. An edit touches two at most, so most of them stay as they are between lines that are near."""
+    return 6 * (2 * edits + 1)
+
+
+def _projected(texts: DataFrame, edits: int) -> DataFrame:
+    """With ``classes`` and ``shares``, from the line's characters of each class in their order.
+
+    Characters are dealt to classes by the lower byte of their code, by a fixed rule for any script. ``classes`` has four bits
+    of the hash of every class, 16 classes a number; ``shares`` has whole hashes of 2 x ``edits`` + 1 groups of classes.
+    """
+    number = _classes(edits)
+    others = [[v for v in range(256) if v * 37 % 101 % number != j] for j in range(number)]
+    patterns = ["[" + "".join(f"\\x{v:02x}" for v in values) + "]+" for values in others]
+    low = F.regexp_replace(F.decode(_wide("line", "n"), "ISO-8859-1"), "(?s).(.)", "$1")
+    rows = texts.withColumn("n", F.length("line")).withColumn("__low", low)
+    rows = rows.withColumn("__of", F.array(*[F.xxhash64(F.regexp_replace("__low", pattern, "")) for pattern in patterns]))
+    of = [F.get("__of", F.lit(j)) for j in range(number)]
+    words = []
+    for at in range(0, number, 16):
+        word = F.lit(0).cast("long")
+        for j in range(at, min(at + 16, number)):
+            word = word.bitwiseOR(F.shiftleft(of[j].bitwiseAND(0xF), 4 * (j - at)))
+        words.append(word)
+    shares = [F.xxhash64(*of[j :: 2 * edits + 1]) for j in range(2 * edits + 1)]
+    return rows.withColumns({"classes": F.array(*words), "shares": F.array(*shares)}).drop("n", "__low", "__of")
+
+
+def _touched(edits: int) -> Column:
+    """In how many classes two lines are seen to differ; never more than they do."""
+    count = F.lit(0)
+    for k in range(-(-_classes(edits) // 16)):
+        apart = F.get("classes1", F.lit(k)).bitwiseXOR(F.get("classes2", F.lit(k)))
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 1))
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 2))
+        count = count + F.bit_count(apart.bitwiseAND(0x1111111111111111))
+    return count
+
+
+def _open(rows: DataFrame, bucket: WindowSpec, *columns: str, by: str = "a") -> DataFrame:
+    """Rows of the buckets that hold an indexed line and in which something is left to be compared: two values of ``by``."""
+    marks = {"__low": F.min(by).over(bucket), "__high": F.max(by).over(bucket), "__held": F.max("held").over(bucket)}
+    return rows.withColumns(marks).where("__low < __high and __held = 1").select(*columns)
+
+
+def _candidates(one: DataFrame, other: DataFrame, edits: int, *conditions: Column) -> DataFrame:
+    """a1, a2 of an indexed and a probing row of a bucket that may be within the threshold by rests and classes."""
+    held = one.where("held = 1").withColumnsRenamed({c: c + "1" for c in one.columns if c != "bucket"})
+    asked = other.where("held = 0").withColumnsRenamed({c: c + "2" for c in other.columns if c != "bucket"})
+    may = _may_match(F.col("rest1"), F.col("rest2"), edits) & (_touched(edits) <= 2 * edits)
+    test = (held["bucket"] == asked["bucket"]) & (F.col("a1") != F.col("a2")) & may
+    for condition in conditions:
+        test = test & condition
+    return held.join(asked, test).select("a1", "a2")
+
+
+def _stars(dealt: DataFrame, edits: int) -> DataFrame:
+    """Candidate pairs of every bucket's least indexed line with all that probe, and of its least probing line with all indexed."""
+    bucket = Window.partitionBy("bucket", "held")
+    marked = dealt.withColumn("least", F.min("a").over(bucket) == F.col("a"))
+    first = marked.where("least").drop("least").distinct()
+    return _candidates(first, dealt, edits).unionByName(_candidates(dealt, first, edits))
+
+
+def _across(apart: DataFrame, edits: int) -> DataFrame:
+    """All candidate pairs of a bucket whose lines are not known to be connected."""
+    return _candidates(apart, apart, edits, F.col("known1") != F.col("known2"))
+
+
 def line_classes(documents: DataFrame, edits: int = 2) -> DataFrame:
     """One row per distinct line of at least SHORTEST code points: a, b (identity), copies, first, leader.
 
@@ -267,26 +336,38 @@ def line_classes(documents: DataFrame, edits: int = 2) -> DataFrame:
     listed = F.broadcast(frequent.select("a", "b", F.col("first").alias("listed_first")))
     once = lines.join(listed, ["a", "b"], "left").where(F.col("listed_first").isNull() | (F.col("listed_first") == place))
 
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def keyed(looks: list[tuple[int, int, int]], number: int) -> DataFrame:
-        rows = _keyed(once, looks, edits, number == 2).withColumnsRenamed({"a": f"a{number}", "rest": f"rest{number}"})
-        return rows.repartition(parts, "key").distinct()
-
-    held, asked = keyed(index_looks(edits), 1), keyed(probe_looks(edits), 2)
-    near = _may_match(F.col("rest1"), F.col("rest2"), edits)
-    met = held.join(asked, (held["key"] == asked["key"]) & (F.col("a1") != F.col("a2")) & near)
-    pairs = cut_lineage(met.select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct())
+    def keyed(looks: list[tuple[int, int, int]], held: bool) -> DataFrame:
+        return _keyed(once, looks, edits, not held).withColumn("held", F.lit(int(held)))
 
-    wanted = pairs.select(F.col("a1").alias("a")).union(pairs.select("a2")).distinct()
+    rows = keyed(index_looks(edits), True).unionByName(keyed(probe_looks(edits), False))
+    entries = cut_lineage(_open(rows, Window.partitionBy("key"), "key", "a", "rest", "held").distinct())
+    wanted = entries.select("a").distinct()
     needed = cut_lineage(counts.join(wanted, "a", "left_semi").select("a", "b", "first.doc_id", "first.line_no"))
     if needed.count() <= LISTED:
         needed = F.broadcast(needed)
-    texts = cut_lineage(lines.join(needed, ["doc_id", "line_no", "a", "b"]).select("a", place.alias("node"), "line").distinct())
-    left = texts.withColumnsRenamed({"a": "a1", "node": "u", "line": "line1"})
-    right = texts.withColumnsRenamed({"a": "a2", "node": "v", "line": "line2"})
-    links = pairs.join(left, "a1").join(right, "a2")
-    links = links.where(near_lines(F.col("line1"), F.col("line2"), edits)).select("u", "v")
+    texts = lines.join(needed, ["doc_id", "line_no", "a", "b"]).select("a", place.alias("node"), "line").distinct()
+    texts = cut_lineage(_projected(texts, edits))
+
+    # lines that meet under a key and agree in a share of their characters' classes
+    share = F.posexplode("shares").alias("share", "agreed")
+    dealt = entries.join(texts.select("a", "classes", "shares"), "a").select("key", "a", "rest", "held", "classes", share)
+    dealt = dealt.select("a", "rest", "held", "classes", F.xxhash64("key", "share", "agreed").alias("bucket"))
+    dealt = cut_lineage(_open(dealt, Window.partitionBy("bucket"), *dealt.columns))
+
+    left = texts.select(F.col("a").alias("a1"), F.col("node").alias("u"), F.col("line").alias("line1"))
+    right = texts.select(F.col("a").alias("a2"), F.col("node").alias("v"), F.col("line").alias("line2"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """a1, a2, u, v of the pairs within the threshold."""
+        pairs = pairs.select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct()
+        near = near_lines(F.col("line1"), F.col("line2"), edits)
+        return cut_lineage(pairs.join(left, "a1").join(right, "a2").where(near).select("a1", "a2", "u", "v"))
+
+    stars = verified(_stars(dealt, edits))
+    known = components(stars, "a1", "a2").withColumnsRenamed({"node": "a", "component": "known"})
+    labelled = dealt.join(known, "a", "left").withColumn("known", F.coalesce("known", "a"))
+    apart = cut_lineage(_open(labelled, Window.partitionBy("bucket"), *labelled.columns, by="known"))
+    links = stars.unionByName(verified(_across(apart, edits))).select("u", "v")
     linked = components(links, "u", "v").withColumnsRenamed({"node": "first", "component": "leader"})
     return counts.join(linked, "first", "left").withColumn("leader", F.coalesce("leader", "first"))
 
