@@ -66,8 +66,9 @@ def _(spark, d):
 SELECT source_file, count(*) AS n_reads, CAST(sum(least(c, 4)) AS BIGINT) AS n_chunks FROM n GROUP BY 1"""))
 def _(spark, d):
     path = scratch_path(spark, "chunks")
-    sinks.write_store(ch.build_chunks(signals(spark, d), PROFILE), path, by="source_file")
-    return spark.read.parquet(path).groupBy("source_file", "read_id").agg(F.count(F.lit(1)).alias("n")).groupBy(
+    chunks = ch.build_chunks(signals(spark, d), PROFILE)
+    sinks.write_store(chunks, path, by="source_file")
+    return sinks.read_store(chunks, path).groupBy("source_file", "read_id").agg(F.count(F.lit(1)).alias("n")).groupBy(
         "source_file"
     ).agg(F.count(F.lit(1)).alias("n_reads"), F.sum("n").alias("n_chunks"))
 

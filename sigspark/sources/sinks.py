@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.metrics import class_metrics, class_summary, confusion_wide
+from sigspark.session import exists
 from sigspark.sources.predictions import name_predictions, wide_probabilities
 
 
@@ -26,6 +27,12 @@ def write_store(rows: DataFrame, path: str, *, by: str, rows_per_file: int = 100
     )
 
 
+def read_store(rows: DataFrame, path: str) -> DataFrame:
+    """The store at ``path`` that :func:`write_store` made of ``rows``; one of no rows holds no file to infer a schema from."""
+    spark = rows.sparkSession
+    return spark.read.schema(rows.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], rows.schema)
+
+
 def missing_rows(expected: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return expected.join(stored, list(keys), "left_anti")
 
