@@ -100,8 +100,9 @@ def _(spark, d):
 def _(spark, d):
     chunks = ch.build_chunks(signals(spark, d), PROFILE)
     path = scratch_path(spark, "embeddings")
-    sinks.write_store(bag.encode_chunks(chunks, formula_encoder, chunk_size=PROFILE.chunk_size), path, by="source_file")
-    stored = spark.read.parquet(path)
+    encoded = bag.encode_chunks(chunks, formula_encoder, chunk_size=PROFILE.chunk_size)
+    sinks.write_store(encoded, path, by="source_file")
+    stored = sinks.read_store(encoded, path)
     sinks.require_complete(chunks.select("read_id", "chunk_index"), stored, ["read_id", "chunk_index"])
     return embedding_values(stored)
 

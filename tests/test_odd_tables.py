@@ -38,3 +38,7 @@ def _difference(spark, folder: str, name: str) -> str | None:
 
 def test_chunk_store_without_an_eligible_read(spark, few_samples):
     assert _difference(spark, few_samples, "chunk_store") == "both are empty"
+
+
+def test_embed_store_without_an_eligible_read(spark, few_samples):
+    assert _difference(spark, few_samples, "embed_store") == "both are empty"
