@@ -149,10 +149,11 @@ def _(spark, d):
         stream.classify_stream(
             spark, source, formula_encoder, RAW_HEAD, PROFILE, BAG_CLASSES, dim=RAW_DIM, out_dir=out, checkpoint=checkpoint
         ).awaitTermination()
-    batches = stream.classified(spark, out, checkpoint)
-    if batches.select("batch_id").distinct().count() != 2:
-        raise RuntimeError("the resumed run read finished files again")
-    return read_scores(batches)
+    # a batch may hold no eligible read, so what was scanned tells, not what was scored
+    scanned = stream.file_counters(spark, out, checkpoint).agg(F.sum("scanned")).first()[0]
+    if (scanned or 0) != reads.count():
+        raise RuntimeError("the resumed run read finished files again, or passed over new ones")
+    return read_scores(stream.classified(spark, out, checkpoint))
 
 
 @query("csv_round_trip", sql(["predictions"], """
