@@ -185,6 +185,9 @@ def _(spark, d):
         reads.where(part).coalesce(1).write.mode("append").parquet(source)
     checkpoint = scratch_path(spark, "stream")
     limit = ch.read_status(reads, PROFILE).where("status = 'eligible'").count() // 2
+    if limit == 0:
+        # half of the eligible reads is none, while a limit of 0 would stand for all
+        return ch.status_counts(reads, PROFILE).limit(0)
     stream.classify_stream(
         spark, source, formula_encoder, RAW_HEAD, PROFILE, BAG_CLASSES, dim=RAW_DIM, out_dir=out, checkpoint=checkpoint,
         files_per_trigger=1, max_reads=limit,

@@ -50,3 +50,7 @@ def test_stream_classify_without_an_eligible_read(spark, few_samples):
 
 def test_stream_resume_without_an_eligible_read(spark, few_samples):
     assert _difference(spark, few_samples, "stream_resume") == "both are empty"
+
+
+def test_stream_counters_limited_to_no_read(spark, few_samples):
+    assert _difference(spark, few_samples, "stream_counters") == "both are empty"
