@@ -128,13 +128,16 @@ def np_mad(x: np.ndarray) -> np.ndarray:
 
 
 def np_central_mad(x: np.ndarray) -> np.ndarray:
-    """Median-centred values over the scaled median absolute residual of the central 98 %, which is not re-centred."""
+    """Median-centred values over the scaled median absolute residual of the central 98 %, which is not re-centred.
+
+    Two different samples both lie outside their central 98 %; the scale is then the least one.
+    """
     if x.size == 0:
         return x
     residual = x - np.median(x)
     low, high = np.quantile(residual, QUANTILES)
     central = np.abs(residual[(residual >= low) & (residual <= high)])
-    return residual / max(MAD_SCALE * float(np.median(central)), 1.0)
+    return residual / max(MAD_SCALE * float(np.median(central)) if central.size else 0.0, 1.0)
 
 
 def np_median5(x: np.ndarray) -> np.ndarray:

@@ -54,3 +54,7 @@ def test_stream_resume_without_an_eligible_read(spark, few_samples):
 
 def test_stream_counters_limited_to_no_read(spark, few_samples):
     assert _difference(spark, few_samples, "stream_counters") == "both are empty"
+
+
+def test_central_mad_of_few_samples(spark, few_samples):
+    assert _difference(spark, few_samples, "central_mad") is None
