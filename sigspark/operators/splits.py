@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.hashing import digest, hash_below
@@ -77,11 +79,15 @@ def take_targets(
     rows: DataFrame, targets: Mapping[str, int], order: Sequence[str | Column], name: str
 ) -> DataFrame:
     """The first rows of every (class, split), as many as the target of the split."""
+    ranked = first_k(rows, ["barcode", "split"], order, max(targets.values()), name, hot=True)
+    return ranked.where(F.col(name) <= _target(targets))
+
+
+def _target(targets: Mapping[str, int]) -> Column:
     target = F.lit(None).cast("long")
     for split, count in targets.items():
         target = F.when(F.col("split") == split, F.lit(int(count))).otherwise(target)
-    ranked = first_k(rows, ["barcode", "split"], order, max(targets.values()), name, hot=True)
-    return ranked.where(F.col(name) <= target)
+    return target
 
 
 def split_order(rows: DataFrame, order: Sequence[str | Column], split: str = "split") -> DataFrame:
@@ -95,16 +101,57 @@ def round_robin(
 ) -> DataFrame:
     """Balanced tier: one read of every file in turn, files and reads in seeded hash order, up to the target.
 
-    A file can supply at most the target, so each file is cut to that many rows before files are interleaved.
+    How many reads each file gives follows from the sizes of the files alone. So the manifest is staged once, and only rows of files that
+    give any, at most as many files per (class, split) as its target, are hashed and put in order.
     """
-    hashed = manifest.where(F.col("split").isin(*targets)).withColumns(
+    keys = ["barcode", "split", "ccf_file"]
+    rows = cut_lineage(manifest.where(F.col("split").isin(*targets)))
+    shares = cut_lineage(_shares(rows, targets, seed))
+    if shares.count() <= BROADCAST_ROWS:
+        shares = F.broadcast(shares)
+    hashed = _join_null_safe(rows, shares, keys).withColumns(
         {"at_file": digest(seed, "group", F.col("ccf_file")), "at_read": digest(seed, "read", F.col("read_id"))}
     )
-    lap = first_k(
-        hashed, ["barcode", "split", "ccf_file"], ["at_read", *order], max(targets.values()), "lap"
-    )
+    lap = first_k(hashed, keys, ["at_read", *order], max(targets.values()), "lap").where(F.col("lap") <= F.col("share"))
     chosen = take_targets(lap, targets, ["lap", "at_file"], "split_order")
-    return chosen.withColumn("split_order", F.col("split_order") - 1).drop("at_file", "at_read", "lap")
+    return chosen.withColumn("split_order", F.col("split_order") - 1).drop("at_file", "at_read", "lap", "share")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    condition = reduce(and_, [left[k].eqNullSafe(right[renamed]) for k, renamed in names.items()])
+    return left.join(right, condition, how).drop(*names.values())
+
+
+def _shares(rows: DataFrame, targets: Mapping[str, int], seed: int) -> DataFrame:
+    """(barcode, split, ccf_file, share): how many reads each file gives to its tier, without the files that give none.
+
+    Every file gives its reads up to lap ``whole``, the last lap that leaves the target unmet; of the files that have more, the first
+    ``extra`` in hash order give one more.
+    """
+    cell, keys = ["barcode", "split"], ["barcode", "split", "ccf_file"]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("target", _target(targets))
+    files = cut_lineage(sizes)
+    # no more sizes per (class, split) than its target
+    upward = Window.partitionBy(*cell).orderBy("size")
+    laps = files.groupBy(*cell, "target", F.least("n", "target").alias("size")).agg(F.count(F.lit(1)).alias("files")).select(
+        *cell, "target", "size",
+        F.coalesce(F.sum(F.col("size") * F.col("files")).over(upward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("smaller"),
+        F.sum("files").over(upward.rowsBetween(0, Window.unboundedFollowing)).alias("larger"),
+    )
+    open_ = F.col("target") - F.col("smaller")
+    whole = F.floor((open_ - 1) / F.col("larger"))
+    met = laps.where(F.col("size") * F.col("larger") >= open_)
+    last = met.groupBy(*cell).agg(
+        F.min(F.struct("size", whole.alias("whole"), (open_ - whole * F.col("larger")).alias("extra"))).alias("last")
+    ).select(*cell, "last.whole", "last.extra")
+    files = _join_null_safe(files, last, cell, "left")
+    more = files.where(F.col("n") > F.col("whole")).withColumn("at_file", digest(seed, "group", F.col("ccf_file")))
+    more = first_k(more, cell, ["at_file"], max(targets.values()), "nth", hot=True).where(F.col("nth") <= F.col("extra"))
+    files = _join_null_safe(files, more.select(*keys, F.lit(1).alias("one")), keys, "left")
+    share = F.coalesce(F.least("n", "whole"), F.col("n")) + F.coalesce("one", F.lit(0))
+    return files.select(*keys, share.alias("share")).where("share > 0")
 
 
 def first_files(

@@ -249,7 +249,8 @@ SELECT read_id, barcode, split, ccf_file, r - 1 AS split_order FROM pick WHERE r
 
 def _rr(targets):
     def run(spark, d):
-        chosen = splits.round_robin(reads(spark, d), targets=targets, seed=SEED, order=ROW_ORDER)
+        rows = reads(spark, d).select("read_id", "barcode", "split", "ccf_file", *ROW_ORDER)
+        chosen = splits.round_robin(rows, targets=targets, seed=SEED, order=ROW_ORDER)
         return chosen.select("read_id", "barcode", "split", "ccf_file", "split_order")
 
     return run

@@ -261,3 +261,18 @@ def test_feature_match_rejects_missing_and_mislabelled_reads(spark):
         kmers.match_features(selected, good.where("read_id = 'a'"), order=["at"]).collect()
     with pytest.raises(Exception, match="label mismatch for read b"):
         kmers.match_features(selected, good.withColumn("barcode", F.lit("x")), order=["at"]).collect()
+
+
+def test_round_robin_shares_name_only_the_files_that_give(spark):
+    """Sizes 1 to 9 and 40, one file without a name; as if every lap were dealt by hand."""
+    sizes = {("x", f"f{n}"): n for n in (1, 2, 2, 3, 5, 9, 40)} | {("x", None): 4, ("y", "g"): 3}
+    rows = [(c, "train", f) for (c, f), n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "barcode string, split string, ccf_file string")
+    for target in (1, 3, 7, 8, 20, 100):
+        got = {(r.barcode, r.ccf_file): r.share for r in splits._shares(df, {"train": target}, 5).collect()}
+        expected: dict = {}
+        for c in ("x", "y"):
+            at = sorted((f for k, f in sizes if k == c), key=lambda f: hashlib.sha256("|".join(["5", "group", *([f] if f else [])]).encode()).hexdigest())
+            turns = [f for lap in range(1, 41) for f in at if sizes[c, f] >= lap][:target]
+            expected |= {(c, f): turns.count(f) for f in turns}
+        assert got == expected
