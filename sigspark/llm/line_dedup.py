@@ -6,6 +6,11 @@ at a place that the difference of lengths narrows down. So every line is indexed
 and probes the index, for every shorter length within the threshold, with the substrings that can be that segment. Lines
 that meet are verified by a banded bit-parallel edit distance over what lies between their common ends.
 
+No list of all lines that share a segment is made. A first, semi join leaves the lines that meet another one, a row per key.
+Of these, neighbours in the order of the lines, read forwards and backwards, are verified and their components found. Then
+lines of different components meet by segment and by what else two edits leave unchanged, and are listed if the parities of
+their characters and pairs of characters allow it. Links inside a component found before would not change it.
+
 Only 64-bit hashes of segments and lines are shuffled. Copies of a line are one entry: frequent lines are
 counted first, and a bounded list of the most frequent ones keeps their copies out of the join before the shuffle; others
 are made distinct behind it. Texts are read again for candidate lines only.
@@ -17,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import let
@@ -255,6 +260,120 @@ def near_lines(one: Column, other: Column, edits: int) -> Column:
     return (F.abs(F.length(one) - F.length(other)) <= edits) & let(head, between)
 
 
+def _ways(edits: int, middle: bool) -> list[int]:
+    """Masks of ``rest``, one of which leaves the same bits of two lines within the threshold (see :func:`_may_match`)."""
+    if edits == 1:
+        return [0xFFFFFFFF, 0xFFFFFFFF << 32]
+    if edits != 2:
+        return [0]
+    if middle:
+        return [0xFFF << 12 * left | 0xFFF << 12 * right for left in (0, 1) for right in (2, 3)]
+    return [0xFFF << 12 * j for j in range(5)]
+
+
+def _masked(rest: Column, mask: int) -> Column:
+    return rest.bitwiseAND(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def _by_place(rest: Column, edits: int, choose: Callable[[list[int]], Column]) -> Column:
+    """``choose`` of the ways beside the middle segment or an outer one, whichever ``rest`` belongs to."""
+    if edits != 2:
+        return choose(_ways(edits, False))
+    return F.when(F.shiftrightunsigned(rest, 60) == 1, choose(_ways(edits, True))).otherwise(choose(_ways(edits, False)))
+
+
+def _meeting(lines: DataFrame, edits: int) -> DataFrame:
+    """key, a, rest, held of the lines that meet another one under a key, as an indexed line (held = 1) or as one that probes.
+
+    A line is one row per key however many others it meets there.
+    """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(looks: list[tuple[int, int, int]], probe: bool) -> DataFrame:
+        return _keyed(lines, looks, edits, probe).repartition(parts, "key").distinct()
+
+    def meets(some: DataFrame, others: DataFrame, held: int) -> DataFrame:
+        others = others.select(F.col("key").alias("__key"), F.col("a").alias("__a"), F.col("rest").alias("__rest"))
+        near = _may_match(F.col("rest"), F.col("__rest"), edits)
+        test = (F.col("key") == F.col("__key")) & (F.col("a") != F.col("__a")) & near
+        return some.join(others, test, "left_semi").select("key", "a", "rest", F.lit(held).alias("held"))
+
+    held, asked = keyed(index_looks(edits), False), keyed(probe_looks(edits), True)
+    return meets(held, asked, 1).unionByName(meets(asked, held, 0))
+
+
+def _parities(line: str) -> dict[str, Column]:
+    """``one`` and ``two``: for 64 classes of characters, and of neighbouring characters, whether their number is odd.
+
+    An edit takes out or puts in at most two characters and four pairs of neighbours, and changes no more bits than these.
+    """
+    chars = F.split(line, "")
+
+    def parity(of: Callable[[Column, Column, Column], Column]) -> Column:
+        def bits(array: Column) -> Column:
+            return F.transform(
+                array, lambda c, i: F.call_function("shiftleft", F.lit(1).cast("long"), of(array, c, i).bitwiseAND(63).cast("int"))
+            )
+
+        return F.aggregate(let(chars, bits), F.lit(0).cast("long"), lambda sum, bit: sum.bitwiseXOR(bit))
+
+    return {
+        "one": parity(lambda array, c, i: F.xxhash64(c)),
+        "two": parity(lambda array, c, i: F.xxhash64(c, F.get(array, i + 1))),
+    }
+
+
+def _neighbours(texts: DataFrame, edits: int) -> DataFrame:
+    """a1, a2 of the lines that follow each other in the order of the lines, or of the lines read backwards.
+
+    Of a dense group this finds, with two pairs a line, most of what connects it. Where a task's range ends a pair is left
+    out; no result rests on these pairs alone.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = None
+    for by in (F.col("line"), F.reverse("line")):
+        ranged = texts.select("a", "one", "two", by.alias("by")).repartitionByRange(parts, "by")
+        follows = Window.partitionBy("at").orderBy("by")
+        rows = ranged.withColumn("at", F.spark_partition_id()).withColumns(
+            {"a0": F.lag("a").over(follows), "one0": F.lag("one").over(follows), "two0": F.lag("two").over(follows)}
+        )
+        rows = rows.where(_few_changes(edits, "one", "one0", "two", "two0"))
+        rows = rows.select(F.least("a", "a0").alias("a1"), F.greatest("a", "a0").alias("a2"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct()
+
+
+def _few_changes(edits: int, one: str, other_one: str, two: str, other_two: str) -> Column:
+    """Whether the parities of two lines leave it open that they are within the threshold."""
+    ones = F.bit_count(F.col(one).bitwiseXOR(F.col(other_one)))
+    twos = F.bit_count(F.col(two).bitwiseXOR(F.col(other_two)))
+    return (ones <= 2 * edits) & (twos <= 4 * edits)
+
+
+def _pairs(met: DataFrame, edits: int) -> DataFrame:
+    """a1, a2 of lines not known to be connected that meet under a key, agree in one way of ``rest`` and in their parities.
+
+    Lines meet by key and way, and only in the first way that they agree in.
+    """
+    def buckets(masks: list[int]) -> Column:
+        return F.array(*[
+            F.struct(F.lit(way).alias("way"), F.xxhash64("key", F.lit(way), _masked(F.col("rest"), mask)).alias("bucket"))
+            for way, mask in enumerate(masks)
+        ])
+
+    dealt = met.select("a", "rest", "held", "one", "two", "known", F.inline(_by_place(F.col("rest"), edits, buckets)))
+    held = dealt.where("held = 1").select("bucket", *[F.col(c).alias(c + "1") for c in ("way", "a", "rest", "one", "two", "known")])
+    asked = dealt.where("held = 0").select("bucket", *[F.col(c).alias(c + "2") for c in ("a", "rest", "one", "two", "known")])
+    differ = F.col("rest1").bitwiseXOR(F.col("rest2"))
+
+    def first(masks: list[int]) -> Column:
+        return F.coalesce(*[F.when(_masked(differ, mask) == 0, way) for way, mask in enumerate(masks)])
+
+    test = (held["bucket"] == asked["bucket"]) & (F.col("known1") != F.col("known2"))
+    test = test & _few_changes(edits, "one1", "one2", "two1", "two2") & (F.col("way1") == _by_place(F.col("rest1"), edits, first))
+    return held.join(asked, test).select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct()
+
+
 def line_classes(documents: DataFrame, edits: int = 2) -> DataFrame:
     """One row per distinct line of at least SHORTEST code points: a, b (identity), copies, first, leader.
 
@@ -267,26 +386,27 @@ def line_classes(documents: DataFrame, edits: int = 2) -> DataFrame:
     listed = F.broadcast(frequent.select("a", "b", F.col("first").alias("listed_first")))
     once = lines.join(listed, ["a", "b"], "left").where(F.col("listed_first").isNull() | (F.col("listed_first") == place))
 
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def keyed(looks: list[tuple[int, int, int]], number: int) -> DataFrame:
-        rows = _keyed(once, looks, edits, number == 2).withColumnsRenamed({"a": f"a{number}", "rest": f"rest{number}"})
-        return rows.repartition(parts, "key").distinct()
-
-    held, asked = keyed(index_looks(edits), 1), keyed(probe_looks(edits), 2)
-    near = _may_match(F.col("rest1"), F.col("rest2"), edits)
-    met = held.join(asked, (held["key"] == asked["key"]) & (F.col("a1") != F.col("a2")) & near)
-    pairs = cut_lineage(met.select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct())
-
-    wanted = pairs.select(F.col("a1").alias("a")).union(pairs.select("a2")).distinct()
+    met = cut_lineage(_meeting(once, edits))
+    wanted = met.select("a").distinct()
     needed = cut_lineage(counts.join(wanted, "a", "left_semi").select("a", "b", "first.doc_id", "first.line_no"))
     if needed.count() <= LISTED:
         needed = F.broadcast(needed)
-    texts = cut_lineage(lines.join(needed, ["doc_id", "line_no", "a", "b"]).select("a", place.alias("node"), "line").distinct())
-    left = texts.withColumnsRenamed({"a": "a1", "node": "u", "line": "line1"})
-    right = texts.withColumnsRenamed({"a": "a2", "node": "v", "line": "line2"})
-    links = pairs.join(left, "a1").join(right, "a2")
-    links = links.where(near_lines(F.col("line1"), F.col("line2"), edits)).select("u", "v")
+    texts = lines.join(needed, ["doc_id", "line_no", "a", "b"]).select("a", place.alias("node"), "line").distinct()
+    texts = cut_lineage(texts.withColumns(_parities("line")))
+
+    left = texts.select(F.col("a").alias("a1"), F.col("node").alias("u"), F.col("line").alias("line1"))
+    right = texts.select(F.col("a").alias("a2"), F.col("node").alias("v"), F.col("line").alias("line2"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """a1, a2, u, v of the pairs within the threshold."""
+        near = near_lines(F.col("line1"), F.col("line2"), edits)
+        return cut_lineage(pairs.join(left, "a1").join(right, "a2").where(near).select("a1", "a2", "u", "v"))
+
+    chained = verified(_neighbours(texts, edits))
+    known = components(chained, "a1", "a2").withColumnsRenamed({"node": "a", "component": "known"})
+    marked = texts.join(known, "a", "left").select("a", "one", "two", F.coalesce("known", "a").alias("known"))
+    apart = verified(cut_lineage(_pairs(met.join(marked, "a"), edits)))
+    links = chained.unionByName(apart).select("u", "v")
     linked = components(links, "u", "v").withColumnsRenamed({"node": "first", "component": "leader"})
     return counts.join(linked, "first", "left").withColumn("leader", F.coalesce("leader", "first"))
 

@@ -289,6 +289,26 @@ def test_line_dedup_links_two_edits_by_default(spark):
     assert {r.text for r in line_dedup.without_duplicates(frame).collect()} == {text.split("\n")[0] for _, text in rows}
 
 
+def test_line_dedup_lists_few_pairs_of_large_groups(spark, monkeypatch):
+    rng = random.Random(8)
+    template = [rng.choice(["other", "word", "line", "of", "the", "corpus", "thing"]) + rng.choice("abcdefgh") for _ in range(40)]
+    apart, numbered = set(), [f"a line that is the same but for its number {k:04d} in the middle of it" for k in range(0, 1600, 2)]
+    while len(apart) < 800:
+        line = list(template)
+        for place in rng.sample(range(40), 2):
+            line[place] = "".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(6))
+        apart.add(" ".join(line))
+    twins = [line[:50] + "X" + line[50:-1] for line in sorted(apart)[:20]]
+    listed = []
+    pairs = line_dedup._pairs
+    monkeypatch.setattr(line_dedup, "_pairs", lambda *some: listed.append(pairs(*some)) or listed[-1])
+    rows = list(enumerate([*sorted(apart), *twins, *numbered]))
+    found = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # the numbered lines are all connected, the others but for their twins are not
+    assert {r.doc_id for r in found} == {*range(800, 820), *range(821, 1620)}
+    assert listed[0].count() < 2 * len(rows)
+
+
 def test_line_dedup_on_awkward_rows(awkward, empty):
     cut = line_dedup.without_duplicates(awkward)
     assert cut.columns == awkward.columns
