@@ -81,7 +81,7 @@ def _pieces_of_one(i: Column, start: Column, size: Column, whole: Column, n: Col
     return [(begin, half), (end - other + 1, other)]
 
 
-def _pieces_of_two(rows: DataFrame, probe: bool) -> DataFrame:
+def _pieces_of_two(rows: DataFrame) -> DataFrame:
     """With from0, long0 to from4, long4: the five pieces that a threshold of two edits compares beside segment ``i``.
 
     Beside the middle segment each side has at most one edit: two halves of the left, two of the right. Beside an outer
@@ -102,57 +102,75 @@ def _pieces_of_two(rows: DataFrame, probe: bool) -> DataFrame:
         F.col(name) for name in ("before", "beside", "begin", "end", "after", "half", "last", "third", "middle")
     )
     sides = [(begin, half), (start - before + half, before - half), (start + size, last), (n - after + last + 1, after - last)]
-    outer = [(begin, third), *[(begin + third + (move if probe else 0), third) for move in (-1, 0, 1)]]
+    outer = [(begin, third), *[(begin + third + F.lit(move) * (1 - F.col("held")), third) for move in (-1, 0, 1)]]
     pieces = {}
     for j, (a, b) in enumerate(zip(sides, outer)):
         pieces |= {f"from{j}": F.when(middle, a[0]).otherwise(b[0]), f"long{j}": F.when(middle, a[1]).otherwise(b[1])}
     return rows.withColumns(pieces | {"from4": end - beside + third + third + 1, "long4": beside - third - third})
 
 
-def _keyed(lines: DataFrame, looks: list[tuple[int, int, int]], edits: int, probe: bool) -> DataFrame:
-    """a, key, rest of every line for every (segment number, shift, shorter).
+#: The bit of ``rest`` that says that the row is an indexed line, not one that probes, and the one for the middle segment.
+HELD, MIDDLE = 62, 60
+
+
+def _keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """a, key, rest of every line for every (segment number, shift, shorter), as an indexed line and as one that probes.
 
     The key hashes segment number, indexed length and substring. ``rest`` serves thresholds of one and two edits: it has some
     bits of the hash of each piece of the line beside the segment, one or two of which are unchanged as well (see
-    :func:`_may_match`). One key a row keeps the generated code small enough to be compiled; all keys of a line in one
+    :func:`_ways`). One key a row keeps the generated code small enough to be compiled; all keys of a line in one
     expression took ten times as long.
     """
-    array = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(at).alias("at"), F.lit(d).alias("d")) for i, at, d in looks])
+    looks = [(*look, 1) for look in index_looks(edits)] + [(*look, 0) for look in probe_looks(edits)]
+    array = F.array(*[F.struct(*map(F.lit, look)) for look in looks])
     wide = lines.select("a", "n", _wide("line", "n").alias("wide"))
-    rows = wide.select("a", "wide", "n", F.inline(array).alias("i", "at", "d")).withColumn("whole", F.col("n") - F.col("d"))
+    rows = wide.select("a", "wide", "n", F.inline(array).alias("i", "at", "d", "held"))
+    rows = rows.withColumn("whole", F.col("n") - F.col("d"))
     start, size = _segment(F.col("whole"), F.col("i"), edits + 1)
     rows = rows.withColumns({"start": start + F.col("at"), "size": size})
     rows = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
     i, start, size, whole, n = (F.col(name) for name in ("i", "start", "size", "whole", "n"))
     key = F.xxhash64(_part(start, size), whole, i)
+    rest = F.shiftleft(F.col("held").cast("long"), HELD)
     if edits == 1:
-        left, right = [_part(*piece) for piece in _pieces_of_one(i, start, size, whole, n)]
-        rest = left.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(right, 32))
+        for j, piece in enumerate(_pieces_of_one(i, start, size, whole, n)):
+            rest = rest.bitwiseOR(F.shiftleft(_part(*piece).bitwiseAND(0x3FFFFFFF), 30 * j))
     elif edits == 2:
-        rows = _pieces_of_two(rows, probe)
-        rest = F.shiftleft((i == 1).cast("long"), 60)
+        rows = _pieces_of_two(rows)
+        rest = rest.bitwiseOR(F.shiftleft((i == 1).cast("long"), MIDDLE))
         for j in range(5):
             piece = _part(F.col(f"from{j}"), F.col(f"long{j}"))
             rest = rest.bitwiseOR(F.shiftleft(piece.bitwiseAND(0xFFF), 12 * j))
-    else:
-        rest = F.lit(0).cast("long")
     return rows.select("a", key.alias("key"), rest.alias("rest"))
 
 
-def _may_match(one: Column, other: Column, edits: int) -> Column:
-    """Whether ``rest`` of two lines with the same key leaves it open that they are within the threshold; never wrong if they are.
+def _ways(edits: int, middle: bool) -> list[int]:
+    """Masks of ``rest``: of two lines with the same key within the threshold, the bits under one of them are equal.
 
-    One edit: either half is unchanged. Two edits: beside the middle segment (bit 60) a half on each side is unchanged,
-    beside an outer one any of the pieces.
+    One edit: either half is unchanged. Two edits: beside the middle segment a half on each side is unchanged, beside an
+    outer one any of the pieces.
     """
-    apart = one.bitwiseXOR(other)
     if edits == 1:
-        return (apart.bitwiseAND(0xFFFFFFFF) == 0) | (F.shiftrightunsigned(apart, 32) == 0)
+        return [0x3FFFFFFF, 0x3FFFFFFF << 30]
     if edits != 2:
-        return F.lit(True)
-    same = [apart.bitwiseAND(0xFFF << 12 * j) == 0 for j in range(5)]
-    middle = F.shiftrightunsigned(one, 60) == 1
-    return F.when(middle, (same[0] | same[1]) & (same[2] | same[3])).otherwise(same[0] | same[1] | same[2] | same[3] | same[4])
+        return [0]
+    if middle:
+        return [0xFFF << 12 * left | 0xFFF << 12 * right for left in (0, 1) for right in (2, 3)]
+    return [0xFFF << 12 * j for j in range(5)]
+
+
+def _by_place(rest: Column, edits: int, choose: Callable[[list[int]], Column]) -> Column:
+    """``choose`` of the ways beside the middle segment or an outer one, whichever ``rest`` belongs to."""
+    if edits != 2:
+        return choose(_ways(edits, False))
+    middle = F.shiftrightunsigned(rest, MIDDLE).bitwiseAND(1) == 1
+    return F.when(middle, choose(_ways(edits, True))).otherwise(choose(_ways(edits, False)))
+
+
+def _first_way(one: Column, other: Column, edits: int) -> Column:
+    """The first way in which ``rest`` of two lines with the same key agrees, null if they cannot be within the threshold."""
+    apart = one.bitwiseXOR(other)
+    return _by_place(one, edits, lambda masks: F.coalesce(*[F.when(apart.bitwiseAND(m) == 0, w) for w, m in enumerate(masks)]))
 
 
 def index_looks(edits: int) -> list[tuple[int, int, int]]:
@@ -260,46 +278,25 @@ def near_lines(one: Column, other: Column, edits: int) -> Column:
     return (F.abs(F.length(one) - F.length(other)) <= edits) & let(head, between)
 
 
-def _ways(edits: int, middle: bool) -> list[int]:
-    """Masks of ``rest``, one of which leaves the same bits of two lines within the threshold (see :func:`_may_match`)."""
-    if edits == 1:
-        return [0xFFFFFFFF, 0xFFFFFFFF << 32]
-    if edits != 2:
-        return [0]
-    if middle:
-        return [0xFFF << 12 * left | 0xFFF << 12 * right for left in (0, 1) for right in (2, 3)]
-    return [0xFFF << 12 * j for j in range(5)]
-
-
-def _masked(rest: Column, mask: int) -> Column:
-    return rest.bitwiseAND(mask - (1 << 64) if mask >> 63 else mask)
-
-
-def _by_place(rest: Column, edits: int, choose: Callable[[list[int]], Column]) -> Column:
-    """``choose`` of the ways beside the middle segment or an outer one, whichever ``rest`` belongs to."""
-    if edits != 2:
-        return choose(_ways(edits, False))
-    return F.when(F.shiftrightunsigned(rest, 60) == 1, choose(_ways(edits, True))).otherwise(choose(_ways(edits, False)))
-
-
 def _meeting(lines: DataFrame, edits: int) -> DataFrame:
     """key, a, rest, held of the lines that meet another one under a key, as an indexed line (held = 1) or as one that probes.
 
-    A line is one row per key however many others it meets there.
+    A line is one row per key however many others it meets there. Keys of one line only, nearly all, go before copies are
+    made distinct.
     """
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def keyed(looks: list[tuple[int, int, int]], probe: bool) -> DataFrame:
-        return _keyed(lines, looks, edits, probe).repartition(parts, "key").distinct()
-
-    def meets(some: DataFrame, others: DataFrame, held: int) -> DataFrame:
+    here = Window.partitionBy("key")
+    marks = {"low": F.min("a").over(here), "high": F.max("a").over(here), "most": F.max("rest").over(here)}
+    rows = _keyed(lines, edits).withColumns(marks).where((F.col("low") < F.col("high")) & (F.col("most") >= 1 << HELD))
+    rows = cut_lineage(rows.select("key", "a", "rest").distinct())
+    rows = rows.withColumn("held", F.shiftrightunsigned("rest", HELD).cast("int"))
+    held, asked = rows.where("held = 1"), rows.where("held = 0")
+
+    def meets(some: DataFrame, others: DataFrame) -> DataFrame:
         others = others.select(F.col("key").alias("__key"), F.col("a").alias("__a"), F.col("rest").alias("__rest"))
-        near = _may_match(F.col("rest"), F.col("__rest"), edits)
-        test = (F.col("key") == F.col("__key")) & (F.col("a") != F.col("__a")) & near
-        return some.join(others, test, "left_semi").select("key", "a", "rest", F.lit(held).alias("held"))
+        near = _first_way(F.col("rest"), F.col("__rest"), edits).isNotNull()
+        return some.join(others, (F.col("key") == F.col("__key")) & (F.col("a") != F.col("__a")) & near, "left_semi")
 
-    held, asked = keyed(index_looks(edits), False), keyed(probe_looks(edits), True)
-    return meets(held, asked, 1).unionByName(meets(asked, held, 0))
+    return meets(held, asked).unionByName(meets(asked, held))
 
 
 def _parities(line: str) -> dict[str, Column]:
@@ -357,20 +354,15 @@ def _pairs(met: DataFrame, edits: int) -> DataFrame:
     """
     def buckets(masks: list[int]) -> Column:
         return F.array(*[
-            F.struct(F.lit(way).alias("way"), F.xxhash64("key", F.lit(way), _masked(F.col("rest"), mask)).alias("bucket"))
+            F.struct(F.lit(way).alias("way"), F.xxhash64("key", F.lit(way), F.col("rest").bitwiseAND(mask)).alias("bucket"))
             for way, mask in enumerate(masks)
         ])
 
     dealt = met.select("a", "rest", "held", "one", "two", "known", F.inline(_by_place(F.col("rest"), edits, buckets)))
     held = dealt.where("held = 1").select("bucket", *[F.col(c).alias(c + "1") for c in ("way", "a", "rest", "one", "two", "known")])
     asked = dealt.where("held = 0").select("bucket", *[F.col(c).alias(c + "2") for c in ("a", "rest", "one", "two", "known")])
-    differ = F.col("rest1").bitwiseXOR(F.col("rest2"))
-
-    def first(masks: list[int]) -> Column:
-        return F.coalesce(*[F.when(_masked(differ, mask) == 0, way) for way, mask in enumerate(masks)])
-
     test = (held["bucket"] == asked["bucket"]) & (F.col("known1") != F.col("known2"))
-    test = test & _few_changes(edits, "one1", "one2", "two1", "two2") & (F.col("way1") == _by_place(F.col("rest1"), edits, first))
+    test = test & _few_changes(edits, "one1", "one2", "two1", "two2") & (F.col("way1") == _first_way(F.col("rest1"), F.col("rest2"), edits))
     return held.join(asked, test).select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct()
 
 
