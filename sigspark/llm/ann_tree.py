@@ -6,8 +6,11 @@ How many leaves have to be visited is calibrated: for a sample of queries the ex
 all rows, and the number of visits is the smallest at which the wanted share of them lies in a visited leaf.
 
 Copies of a vector are one row with its smallest ids: as no answer is longer than k, k + 1 ids of each vector are all that
-can appear. Queries and rows meet by leaf; a leaf with very many rows or queries is split into blocks of bounded size. Every
-meeting hands on k + 1 answers per query.
+can appear. Queries and rows meet by leaf; a leaf with very many rows or queries is split into blocks of bounded size.
+
+Leaves are visited in rounds: the first one, then up to ``growth`` times as many as before. After each round a query keeps
+its k + 1 nearest answers, and from then on only rows nearer than the last of them (or as near) are handed on, so what a
+round hands on does not grow with the number of leaves. The answers are those of all visits.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ class TreeSettings:
     seed: int = 3
     row_block: int = 8192
     query_block: int = 2048
+    growth: int = 6
 
 
 @dataclass(frozen=True)
@@ -137,6 +141,14 @@ def _nearest(queries: np.ndarray, rows: np.ndarray, ids: list, k: int) -> list[l
     return answers
 
 
+def rounds(visits: int, growth: int) -> list[tuple[int, int]]:
+    """(first, end) of the visits of every round: the first one, then ``growth`` times as many in all as before."""
+    ends = [0, 1]
+    while ends[-1] < visits:
+        ends.append(min(visits, ends[-1] * growth))
+    return list(zip(ends, ends[1:]))
+
+
 def _brute(batches: Iterator[pa.RecordBatch], queries: np.ndarray, tree: Tree, k: int) -> Iterator[pa.RecordBatch]:
     """The k nearest vectors of a task's rows for every calibration query, with their leaves."""
     best: list[list[tuple[float, int]]] = [[] for _ in queries]
@@ -203,46 +215,65 @@ def search(
         found = [best_bins(q, tree, visits) for q in matrix(batch.column("vec"))]
         at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
         return pa.RecordBatch.from_arrays(
-            [batch.column("q").take(at), batch.column("vec").take(at), pa.array([x for f in found for x in f], pa.int64())],
-            ["q", "vec", "leaf"],
+            [batch.column("q").take(at), batch.column("vec").take(at), pa.array([x for f in found for x in f], pa.int64()),
+             pa.array([i for f in found for i in range(len(f))], pa.int32())], ["q", "vec", "leaf", "visit"],
         )
 
-    walks = cut_lineage(distinct.select("q", "vec").mapInArrow(per_batch(walk), f"q long, vec {KIND}, leaf long"))
+    walks = cut_lineage(distinct.select("q", "vec").mapInArrow(per_batch(walk), f"q long, vec {KIND}, leaf long, visit int"))
     # one number per leaf of the bounded tree
     filled = {r.leaf: -(-r["count"] // settings.row_block) for r in placed.groupBy("leaf").count().collect()}
-    wanted = {r.leaf: -(-r["count"] // settings.query_block) for r in walks.groupBy("leaf").count().collect()}
-    blocks = spark.createDataFrame(
-        [(leaf, n, wanted[leaf]) for leaf, n in filled.items() if leaf in wanted], "leaf long, rows int, asks int"
-    )
 
-    def spread(frame: DataFrame, key: str, mine: str, other: str) -> DataFrame:
+    def spread(frame: DataFrame, blocks: DataFrame, key: str, mine: str, other: str) -> DataFrame:
         return frame.join(blocks, "leaf").withColumn(mine + "_at", F.pmod(F.xxhash64(key), F.col(mine)).cast("int")).withColumn(
             other + "_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         )
 
-    meeting = spread(placed, "vec", "rows", "asks").select(
-        "leaf", "rows_at", "asks_at", F.lit(None).cast("long").alias("q"), "vec", "ids"
-    ).unionByName(
-        spread(walks, "q", "asks", "rows").select(
-            "leaf", "rows_at", "asks_at", "q", "vec", F.lit(None).cast("array<long>").alias("ids")
-        )
-    )
-
     def meet(group: pa.Table) -> pa.Table:
         asking = group.filter(group.column("q").is_valid())
         held = group.filter(group.column("q").is_null())
         out: list[tuple[int, int, float]] = []
         if asking.num_rows and held.num_rows:
             near = _nearest(matrix(asking.column("vec")), matrix(held.column("vec")), held.column("ids").to_pylist(), k + 1)
-            out = [(q, i, d) for q, found in zip(asking.column("q").to_pylist(), near) for d, i in found]
+            limits = asking.column("most").to_pylist()
+            out = [
+                (q, i, d) for q, most, found in zip(asking.column("q").to_pylist(), limits, near)
+                for d, i in found if most is None or d <= most
+            ]
         return pa.table(
             [pa.array([o[n] for o in out], kind) for n, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))],
             names=["q", "vec_id", "score"],
         )
 
-    partial = meeting.groupBy("leaf", "rows_at", "asks_at").applyInArrow(meet, "q long, vec_id long, score double")
     best = Window.partitionBy("q").orderBy("score", "vec_id")
-    answers = partial.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
+
+    def further(answers: DataFrame | None, first: int, end: int) -> DataFrame:
+        """The k + 1 nearest of every query after a round of visits."""
+        now = walks.where((F.col("visit") >= first) & (F.col("visit") < end))
+        if answers is None:
+            now = now.withColumn("most", F.lit(None).cast("double"))
+        else:  # a query that has fewer than k + 1 answers takes all
+            full = answers.groupBy("q").agg(F.count("*").alias("n"), F.max("score").alias("most")).where(F.col("n") > k)
+            now = now.join(full.select("q", "most"), "q", "left")
+        wanted = {r.leaf: -(-r["count"] // settings.query_block) for r in now.groupBy("leaf").count().collect()}
+        blocks = spark.createDataFrame(
+            [(leaf, n, wanted[leaf]) for leaf, n in filled.items() if leaf in wanted], "leaf long, rows int, asks int"
+        )
+        meeting = spread(placed, blocks, "vec", "rows", "asks").select(
+            "leaf", "rows_at", "asks_at", F.lit(None).cast("long").alias("q"), "vec", "ids", F.lit(None).cast("double").alias("most")
+        ).unionByName(
+            spread(now, blocks, "q", "asks", "rows").select(
+                "leaf", "rows_at", "asks_at", "q", "vec", F.lit(None).cast("array<long>").alias("ids"), "most"
+            )
+        )
+        partial = meeting.groupBy("leaf", "rows_at", "asks_at").applyInArrow(meet, "q long, vec_id long, score double")
+        if answers is not None:
+            partial = partial.unionByName(answers)
+        ranked = partial.withColumn("place", F.row_number().over(best))
+        return cut_lineage(ranked.where(F.col("place") <= k + 1).drop("place"))
+
+    answers = None
+    for first, end in rounds(visits, settings.growth):
+        answers = further(answers, first, end)
     asked = asked.join(distinct, "vec").select(F.col("vec_id").alias("query_id"), "q")
     own = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sigspark.llm import ann_tree, cosine_lsh, huffman, line_dedup, mixing, packing, quality_crf, secret_dfa, simhash, tokens, toxicity
 from sigspark.llm.common import table
@@ -160,6 +161,21 @@ def test_nearest_neighbours(spark):
     assert ann_tree.ann_query(few.limit(0)).count() == 0
 
 
+def test_visits_in_rounds_find_what_all_visits_find(spark):
+    assert ann_tree.rounds(1, 6) == [(0, 1)] and ann_tree.rounds(40, 6) == [(0, 1), (1, 6), (6, 36), (36, 40)]
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-2, 3, (600, 4)).astype(float)  # many ties and copies
+    rows[:, 0] += 7
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    settings = ann_tree.TreeSettings(leaf=8, recall=1.0, growth=2, row_block=5, query_block=4)
+    found = ann_tree.search(frame, F.col("vec_id") % 20 == 0, k=7, settings=settings).collect()
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
+    for q in range(0, 600, 20):
+        distance = np.sqrt(((rows - rows[q]) ** 2).sum(1))
+        order = [int(i) for i in np.lexsort((np.arange(600), distance)) if i != q][:7]
+        assert [got[q, n + 1][1] for n in range(7)] == [float(distance[i]) for i in order]
+
+
 def test_mix_meets_targets(spark, awkward, empty):
     # 180 words dealt 5 : 2 : 1, but the second and third source cannot take more than 20 each
     assert mixing.source_targets([100, 10, 10]) == pytest.approx([140.0, 20.0, 20.0])
